@@ -10,6 +10,13 @@ from .common import table
 from .exact_dedup import exact_groups
 from .fingerprint import edited_fingerprints
 from .license_scan import license_scan
+from .packing import pack_documents
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +33,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_best_fit_packing": op1_best_fit_packing,
         "op4_imatch": op4_imatch,
         "op6_exact_dedup": op6_exact_dedup,
         "op10_license_scan": op10_license_scan,
