@@ -154,7 +154,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, per_shard: int = 16_384, n_ite
     def packed(batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values(["_id", "piece"], kind="stable", ignore_index=True)
         place, offset = sum_of_squares(batch["length"].to_numpy(), capacity)
-        return batch.assign(sequence_id=(batch["_shard"].astype("int64") << 32) + place, offset=offset)
+        return batch.assign(sequence_id=(batch["_shard"].to_numpy(dtype="int64") << 32) + place, offset=offset)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
     dealt = pieces.withColumn("_shard", F.pmod(F.xxhash64("_id", "piece"), F.lit(shards)).cast("int"))

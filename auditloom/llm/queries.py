@@ -11,6 +11,7 @@ from .exact_dedup import exact_groups
 from .fingerprint import edited_fingerprints
 from .license_scan import license_scan
 from .packing import pack_documents
+from .quality import fit, quality_scores
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +28,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return quality_scores(documents, fit(documents, table(spark, sf_dir, "labels")))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
@@ -36,6 +42,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_best_fit_packing": op1_best_fit_packing,
         "op4_imatch": op4_imatch,
         "op6_exact_dedup": op6_exact_dedup,
+        "op8_quality_classifier": op8_quality_classifier,
         "op10_license_scan": op10_license_scan,
     }
 
