@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .exact_dedup import exact_groups
 from .fingerprint import edited_fingerprints
+from .jaccard_join import jaccard_classes
 from .license_scan import license_scan
 from .packing import pack_documents
 from .quality import fit, quality_scores
@@ -20,6 +21,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(table(spark, sf_dir, "documents"), words=4, ratio=(85, 100))
+
+
 def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -40,6 +45,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op4_imatch": op4_imatch,
         "op6_exact_dedup": op6_exact_dedup,
         "op8_quality_classifier": op8_quality_classifier,
