@@ -13,6 +13,7 @@ from .jaccard_join import jaccard_classes
 from .license_scan import license_scan
 from .packing import pack_documents
 from .quality import fit, quality_scores
+from .repeats import repeat_report
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +26,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"), words=4, ratio=(85, 100))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_report(table(spark, sf_dir, "documents"))
+
+
 def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -46,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_imatch": op4_imatch,
         "op6_exact_dedup": op6_exact_dedup,
         "op8_quality_classifier": op8_quality_classifier,
