@@ -48,6 +48,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    import corpus_pipeline
+
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -56,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_exact_dedup": op6_exact_dedup,
         "op8_quality_classifier": op8_quality_classifier,
         "op10_license_scan": op10_license_scan,
+        "pipeline": corpus_pipeline.run,
     }
 
 
