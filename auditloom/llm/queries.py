@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .exact_dedup import exact_groups
 from .fingerprint import edited_fingerprints
+from .html_extract import main_texts
 from .jaccard_join import jaccard_classes
 from .license_scan import license_scan
 from .packing import pack_documents
@@ -43,6 +44,10 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents, fit(documents, table(spark, sf_dir, "labels")))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
@@ -57,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_imatch": op4_imatch,
         "op6_exact_dedup": op6_exact_dedup,
         "op8_quality_classifier": op8_quality_classifier,
+        "op9_html_extraction": op9_html_extraction,
         "op10_license_scan": op10_license_scan,
         "pipeline": corpus_pipeline.run,
     }
