@@ -1,4 +1,4 @@
-"""The registered queries of the engine and their SQL."""
+"""The registered queries of the engine and their SQL, gathered from the modules beside this one."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import retrieval
+
+MODULES = (retrieval,)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: row[0] for module in MODULES for name, row in module.TABLE.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: row[1] for module in MODULES for name, row in module.TABLE.items() if row[1]}
