@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import retrieval
+from . import retrieval, textual
 
-MODULES = (retrieval,)
+MODULES = (retrieval, textual)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
