@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import retrieval, textual
+from . import audit, retrieval, textual
 
-MODULES = (retrieval, textual)
+MODULES = (retrieval, textual, audit)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
