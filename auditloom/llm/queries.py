@@ -12,6 +12,7 @@ from .fingerprint import edited_fingerprints
 from .html_extract import main_texts
 from .jaccard_join import jaccard_classes
 from .license_scan import license_scan
+from .ngram_lm import backoff_scores
 from .packing import pack_documents
 from .quality import fit, quality_scores
 from .repeats import repeat_report
@@ -39,6 +40,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return quality_scores(documents, fit(documents, table(spark, sf_dir, "labels")))
@@ -61,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_imatch": op4_imatch,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_stupid_backoff": op7_stupid_backoff,
         "op8_quality_classifier": op8_quality_classifier,
         "op9_html_extraction": op9_html_extraction,
         "op10_license_scan": op10_license_scan,
