@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_groups
@@ -16,6 +17,7 @@ from .ngram_lm import backoff_scores
 from .packing import pack_documents
 from .quality import fit, quality_scores
 from .repeats import repeat_report
+from .sampled_pieces import sampled_segmentations
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +38,13 @@ def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op5_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = sampled_segmentations(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "rank", "n_pieces", F.crc32("ids").alias("ids_crc32"), "log_prob", "perturbed", "log_inclusion")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -65,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_imatch": op4_imatch,
+        "op5_sampled_pieces": op5_sampled_pieces,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_stupid_backoff": op7_stupid_backoff,
         "op8_quality_classifier": op8_quality_classifier,
