@@ -229,7 +229,7 @@ def repeat_spans(docs: DataFrame, length: int = 100) -> DataFrame:
         def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             import xxhash
 
-            powers, names = Powers(), ["key", "_id", "place", "first", "last", "bytes"] if which == "some" else ["w1", "w2", "_id", "place", "first"]
+            powers, names = Powers(), [*(["key"] if which == "some" else ["c1", "c2"]), "_id", "place", "first", "last", "bytes"]
             for batch in batches:
                 out: list[tuple] = []
                 for doc, text, own in zip(batch["_id"], batch["_text"], batch[which], strict=True):
@@ -237,12 +237,12 @@ def repeat_spans(docs: DataFrame, length: int = 100) -> DataFrame:
                     found = anchors(np.frombuffer(data, np.uint8), length, gram, powers)
                     for i in np.flatnonzero(np.isin(found[0], np.asarray(own, dtype=np.int64))):
                         k, place, first, last = (int(x[i]) for x in found)
+                        around = data[first : last + length]
                         if which == "some":
-                            out.append((k, doc, place, first, last, data[first : last + length]))
+                            out.append((k, doc, place, first, last, around))
                         else:
-                            for s in range(first, last + 1):
-                                h = xxhash.xxh3_128_intdigest(data[s : s + length])
-                                out.append(((h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63), doc, place, s))
+                            h = xxhash.xxh3_128_intdigest(b"%d %d " % (place - first, last - place) + around)
+                            out.append(((h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63), doc, place, first, last, around))
                     if len(out) > 50_000:
                         yield pd.DataFrame(out, columns=names)
                         out = []
@@ -255,11 +255,33 @@ def repeat_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     spans = some.groupBy(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("_bucket")).applyInPandas(
         lambda batch: repeated_windows(batch, length, gram), f"_id {kind}, start long, end long"
     )
-    # Windows of very common anchors: the first of each stays, found by an aggregate that tasks combine.
-    hot = near.where(F.size("hot") > 0).select("_id", "_text", "hot").mapInPandas(opened("hot"), f"w1 long, w2 long, _id {kind}, place long, first long")
-    stays = hot.groupBy(F.col("w1").alias("_w1"), F.col("w2").alias("_w2")).agg(F.min(F.struct("_id", F.col("first").alias("s"))).alias("_stays"))
-    again = hot.join(stays, (F.col("w1") == F.col("_w1")) & (F.col("w2") == F.col("_w2"))).where((F.col("_id") != F.col("_stays._id")) | (F.col("first") != F.col("_stays.s")))
-    again = again.groupBy("_id", "place").agg(F.min("first").alias("start"), (F.max("first") + length).alias("end")).drop("place")
+    # Very common anchors: of those with equal bytes around them the first is opened, the others go with all their
+    # windows; of equal windows of the opened ones the first stays. Both are aggregates that tasks combine.
+    hot = near.where(F.size("hot") > 0).select("_id", "_text", "hot").mapInPandas(
+        opened("hot"), f"c1 long, c2 long, _id {kind}, place long, first long, last long, bytes binary"
+    )
+    around = hot.groupBy("c1", "c2").agg(F.min(F.struct("_id", "place", "first", "last")).alias("r"), F.min("bytes").alias("bytes"))
+    lone = lambda *c: [*(F.col(x) for x in c), F.lit(1).alias("stays")]
+    marked = hot.select("_id", "place", "first", "last", F.lit(0).alias("stays")).unionByName(around.select(*lone("r._id", "r.place", "r.first", "r.last")))
+    other = marked.groupBy("_id", "place").agg(F.max("stays").alias("stays"), F.min("first").alias("start"), (F.max("last") + length).alias("end"))
+    other = other.where("stays = 0").select("_id", "start", "end")
+
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        for batch in batches:
+            out = []
+            for doc, place, first, data in zip(batch["_id"], batch["place"], batch["first"], batch["bytes"], strict=True):
+                for s in range(len(data) - length + 1):
+                    h = xxhash.xxh3_128_intdigest(data[s : s + length])
+                    out.append(((h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63), doc, place, first + s))
+            yield pd.DataFrame(out, columns=["w1", "w2", "_id", "place", "s"])
+
+    each = around.select("r._id", "r.place", "r.first", "bytes").mapInPandas(windows, f"w1 long, w2 long, _id {kind}, place long, s long")
+    stays = each.groupBy("w1", "w2").agg(F.min(F.struct("_id", "s", "place")).alias("r"))
+    marked = each.select("_id", "place", "s", F.lit(0).alias("stays")).unionByName(stays.select(*lone("r._id", "r.place", "r.s")))
+    again = marked.groupBy("_id", "place", "s").agg(F.max("stays").alias("stays")).where("stays = 0")
+    again = again.groupBy("_id", "place").agg(F.min("s").alias("start"), (F.max("s") + length).alias("end")).drop("place").unionByName(other)
     whole = copies.select("_id", F.lit(0).cast("long").alias("start"), F.col("size").alias("end"))
     out = written(spans.unionByName(again).unionByName(whole).groupBy("_id").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")))
     drop_written(base, rows, wanted)
