@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import text_of
@@ -150,24 +150,25 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     return train(texts, known)
 
 
-def quality_scores(df: DataFrame, net: ByteConvNet, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """One row per input row: id, held_out, score (0 to 1) and predicted, and the columns named in `keep`.
+def scorer(spark: SparkSession, net: ByteConvNet):
+    """A function of text columns that gives the network's score; null counts as the empty text."""
+    model = spark.sparkContext.broadcast(pickle.dumps(net))
 
-    The score depends on the text alone. Null text is empty; an empty text is scored as one chunk of padding. A null id
-    is not held out. Repeated rows have equal scores.
-    """
-    model = df.sparkSession.sparkContext.broadcast(pickle.dumps(net))
-
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = pickle.loads(model.value)
-        for batch in batches:
-            yield batch.assign(score=[own.score(t.encode()) for t in batch.pop("_text")])
+        for texts in batches:
+            yield pd.Series([own.score((t or "").encode()) for t in texts], dtype="float64")
+
+    return score
+
 
-    keep = keep or []
-    kinds = ", ".join(f"_k{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    rows = df.select(F.col(id_col).alias("_id"), *(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)), text_of(text_col).alias("_text"))
-    out = rows.mapInPandas(scored, f"_id {df.schema[id_col].dataType.simpleString()}, {kinds + ', ' if kinds else ''}score double")
+def quality_scores(df: DataFrame, net: ByteConvNet, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, held_out, score (0 to 1) and predicted.
+
+    The score depends on the text alone. Null text is empty; an empty text is scored as one chunk of padding. A null id
+    is not held out. Repeated rows have equal scores. Other columns are ignored. An empty table gives an empty result.
+    """
+    rows = df.select(F.col(id_col).alias("_id"), scorer(df.sparkSession, net)(text_of(text_col)).alias("score"))
     held = F.coalesce(F.pmod(F.crc32(F.col("_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
-    return out.select(
-        F.col("_id").alias(id_col), held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep))
-    )
+    return rows.select(F.col("_id").alias(id_col), held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

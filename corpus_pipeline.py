@@ -9,20 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import drop_written, table, written
+from auditloom.llm.common import drop_written, table, text_of, written
 from auditloom.llm.exact_dedup import drop_exact
 from auditloom.llm.jaccard_join import jaccard_classes
 from auditloom.llm.packing import pack_documents
-from auditloom.llm.quality import fit, quality_scores
+from auditloom.llm.quality import fit, scorer
 from auditloom.llm.repeats import drop_repeats
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the classifier scores at 0.5 or more; it learns from the dataset's documents and labels."""
     net = fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    columns = [c for c in docs.columns if c != "doc_id"]
-    scored = quality_scores(docs, net, keep=columns)
-    return scored.where("predicted = 1").select(*docs.columns)
+    return docs.where(scorer(spark, net)(text_of("text")) >= 0.5)
 
 
 def keep_first_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
