@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import text_of, written
 from .license_scan import spaced_words
 
 #: Randomised lexicons of each scale; a lexicon of scale s keeps one term in s.
-SUBSETS = 32
+SUBSETS = 16
 SCALES = (16, 64, 256, 1024)
 #: Stands for the hash where a lexicon keeps no term.
 EMPTY = "...."
@@ -58,10 +61,16 @@ def fingerprints(terms: DataFrame, keys: list[str], lexicon_terms: DataFrame, fe
     """
     lex = F.broadcast(lexicon_terms.select(F.col("term").alias("_lex"), F.lit(True).alias("_in")))
     flat = terms.select(*keys, (F.size("_terms") <= few).alias("_few"), F.explode_outer("_terms").alias("_term")).join(lex, F.col("_term") == F.col("_lex"), "left")
-    kept = F.when(F.col("_in") | F.col("_few"), F.xxhash64("_term"))
-    sets = flat.groupBy(*keys).agg(F.array_sort(F.collect_set(kept)).alias("_t"))
+    # A term's hash in the upper bits, and in the lower ones the lexicons of the smallest scale that hold it.
     held = lambda t, k, s: F.pmod(F.xxhash64(t, k), F.lit(s)) == 0
-    sets = sets.withColumn("_s0", F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda k: F.filter("_t", lambda t: held(t, k, SCALES[0]))))
+    bare = F.xxhash64("_term").bitwiseAND(F.lit(-(1 << SUBSETS)))
+    flat = flat.select(*keys, F.when(F.col("_in") | F.col("_few"), bare).alias("_h"))
+    mask = sum((F.when(held(F.col("_h"), F.lit(k), SCALES[0]), F.lit(1 << k)).otherwise(F.lit(0)) for k in range(SUBSETS)), F.lit(0)).cast("long")
+    flat = flat.select(*keys, "_h", mask.alias("_mask"))
+    sets = flat.groupBy(*keys).agg(F.array_sort(F.collect_set(F.when(F.col("_mask") > 0, F.col("_h").bitwiseOR(F.col("_mask"))))).alias("_t"))
+    upper = lambda t: t.bitwiseAND(F.lit(-(1 << SUBSETS)))
+    bit = lambda t, k: F.getbit(t, k)
+    sets = sets.withColumn("_s0", F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda k: F.transform(F.filter("_t", lambda t: bit(t, k) == 1), upper)))
     narrowed = lambda scale: lambda a, k: F.filter(a, lambda t: held(t, k, scale))
     for at, scale in enumerate(SCALES[1:], 1):
         sets = sets.withColumn(f"_s{at}", F.transform(f"_s{at - 1}", narrowed(scale)))
@@ -84,6 +93,18 @@ def likeness(one: Column, other: Column) -> Column:
     return F.when(one == other, F.lit(1.0)).otherwise(F.greatest(*shares).cast("double"))
 
 
+@contextmanager
+def object_aggregates(spark: SparkSession, groups: int = 20_000) -> Iterator[None]:
+    """Let a task hold so many collected sets before it sorts its rows instead; a document's rows come together."""
+    key = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(groups))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", band: tuple[float, float] = (0.001, 0.05)) -> DataFrame:
     """One row per input row: the fingerprints of its text and of its edited text, and how near they are.
 
@@ -91,15 +112,16 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     points, or all, of the row with the next larger id; the row with the largest id is followed by that with the
     smallest. near_edited and near_next are the likeness of the row's fingerprint to the edited text's and to the next
     row's. Null text is empty; an empty text has a fingerprint without hashes, like other texts without terms. Ids should
-    be unique. A row without an id has no next one and its edit appends nothing. Other columns are ignored.
+    be unique. Rows without an id have no place in their order and are left out. Other columns are ignored.
     """
-    docs = df.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
+    docs = df.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).where(F.col("_id").isNotNull())
+    dealt = docs.repartition("_id")  # one shuffle of the texts serves both joins
     n_docs = docs.count()
     lex = lexicon(docs, "_text", band, n_docs)
     following = next_rows(docs.select("_id", F.floor(F.length("_text") / 4).cast("int").alias("_k")))
-    heads = docs.select(F.col("_id").alias("_n"), F.col("_text").alias("_next_text")).join(following, F.col("_n") == F.col("_next"), "right")
+    heads = dealt.select(F.col("_id").alias("_n"), F.col("_text").alias("_next_text")).join(following, F.col("_n") == F.col("_next"), "right")
     heads = heads.select(F.col("_id").alias("_for"), "_next", "_k", F.expr("substring(_next_text, 1, _k)").alias("_head"))
-    both = docs.join(heads, F.col("_id") == F.col("_for"), "left")
+    both = dealt.join(heads, F.col("_id") == F.col("_for"), "left")
     n = F.length("_text")
     edited = F.concat(F.expr("substring(_text, 1, length(_text) - coalesce(_k, floor(length(_text) / 4)))"), F.coalesce("_head", F.lit("")))
     both = both.select("_id", "_next", n.cast("long").alias("n_chars"), "_text", edited.alias("_edited"))
@@ -112,7 +134,8 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.max(F.when(F.col("_side") == 0, F.col("fingerprint"))).alias("fingerprint"),
         F.max(F.when(F.col("_side") == 1, F.col("fingerprint"))).alias("edited_fingerprint"),
     )
-    pair = written(pair)
+    with object_aggregates(df.sparkSession):
+        pair = written(pair)
     others = pair.select(F.col("_id").alias("_other"), F.col("fingerprint").alias("_next_fingerprint"))
     return pair.join(others, F.col("_next") == F.col("_other"), "left").select(
         F.col("_id").alias(id_col),
