@@ -66,6 +66,14 @@ def knn_macro_avg(spark: SparkSession, d: str) -> DataFrame:
     return out.select("k", "metric", *(F.round(c, 8).alias(c) for c in ("mean", "std", "low", "high")), "n")
 
 
+def metric_delta(spark: SparkSession, d: str) -> DataFrame:
+    """Change of each metric's mean from 1 place to 10, in percent."""
+    queries, gold = vector_gold(spark, d)
+    ranked = knn(spark, d)
+    mean = lambda k: M.macro_average(M.long_form(M.metrics_at_k(queries, ranked, gold, k), "query_id"), "metric").select("metric", F.col("mean").alias(f"at_{k}"))
+    return mean(1).join(mean(10), "metric").select("metric", F.round(M.delta_percent(F.col("at_10"), F.col("at_1")), 3).alias("delta"))
+
+
 KNN_SQL = """
     q AS (SELECT vec_id AS query_id, embedding AS qv, label AS ql FROM embeddings WHERE vec_id % 20 = 0),
     s AS (SELECT query_id, vec_id AS doc_id, label, ql,
@@ -225,6 +233,11 @@ TABLE = {
         f"WITH {RANKED}{GOLD_SQL}, m AS ({' UNION ALL '.join(_metrics_sql(k) for k in (1, 3, 5, 10))}), u AS (UNPIVOT m ON {', '.join(M.METRICS)} INTO NAME metric VALUE value)"
         " SELECT k, metric, round(avg(value), 8) AS mean, round(stddev_pop(value), 8) AS std, round(min(value), 8) AS low, round(max(value), 8) AS high, count(*) AS n FROM u GROUP BY k, metric",
     ),
+    "metric_delta": (
+        metric_delta,
+        f"WITH {RANKED}{GOLD_SQL}, a AS ({_metrics_sql(1)}), b AS ({_metrics_sql(10)}), x AS (UNPIVOT a ON {', '.join(M.METRICS)} INTO NAME metric VALUE v), y AS (UNPIVOT b ON {', '.join(M.METRICS)} INTO NAME metric VALUE v),"
+        " m AS (SELECT metric, avg(v) AS p FROM x GROUP BY metric), n AS (SELECT metric, avg(v) AS q FROM y GROUP BY metric) SELECT metric, CASE WHEN p <> 0 THEN round(100 * (q - p) / p, 3) END AS delta FROM m JOIN n USING (metric)",
+    ),
     "bm25_topk": (bm25, f"WITH {BM25_SQL.format(qw=1, idf=IDF)} SELECT query_id, doc_id, score, rk FROM b WHERE rk <= 10"),
     "bm25_weighted": (lambda s, d: bm25(s, d, weighted=True), f"WITH {BM25_SQL.format(qw='qtf', idf=IDF)} SELECT query_id, doc_id, score, rk FROM b WHERE rk <= 10"),
     "bm25_no_idf": (lambda s, d: bm25(s, d, idf=False), f"WITH {BM25_SQL.format(qw=1, idf='1.0')} SELECT query_id, doc_id, score, rk FROM b WHERE rk <= 10"),

@@ -129,6 +129,19 @@ def visible_spans(spark: SparkSession, d: str) -> DataFrame:
     return P.visible_spans(spans_of(spark, d), 106)
 
 
+def coverage_ceiling(spark: SparkSession, d: str) -> DataFrame:
+    """Share of the spans that some window covers, and windows a span."""
+    spans, hits = spans_of(spark, d), P.chunk_coverage(spans_of(spark, d))
+    return hits.agg(F.countDistinct("clause_id").alias("reachable"), F.count("*").alias("pairs")).crossJoin(spans.agg(F.count("*").alias("total"))).select("reachable", "total", F.round(F.col("reachable") / F.col("total"), 4).alias("ceiling"), F.round(F.col("pairs") / F.col("total"), 4).alias("windows"))
+
+
+def chunk_mean_clauses(spark: SparkSession, d: str) -> DataFrame:
+    """Mean number of clauses a window covers, windows without any included."""
+    per = P.chunk_coverage(spans_of(spark, d)).groupBy("chunk").agg(F.count("*").alias("n"))
+    whole = spark.range(14).select(F.col("id").alias("chunk")).join(per, "chunk", "left")
+    return whole.agg(F.round(F.avg(F.coalesce("n", F.lit(0))), 6).alias("mean"), F.count("*").alias("chunks"))
+
+
 def exact_quote_locate(spark: SparkSession, d: str) -> DataFrame:
     quotes = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", F.col("text").alias("quote"))
     return P.located(docs(spark, d), quotes).select("doc_id", "item_id", F.col("at").cast("long").alias("at"))
@@ -224,6 +237,16 @@ TABLE = {
         f"WITH {SPANS}, c AS (SELECT unnest(range(0, 20)) AS chunk), x AS (SELECT clause_id, chunk, least(b, chunk * 700 + 800) - greatest(a, chunk * 700) AS o, b - a AS n FROM s, c) SELECT clause_id, chunk, round(o / n, 9) AS covered FROM x WHERE o > 0 AND o / n >= 0.6",
     ),
     "visible_spans": (visible_spans, f"WITH {SPANS}, c AS (SELECT unnest(range(0, 20)) * 700 AS lo) SELECT DISTINCT clause_id FROM s, c WHERE a < lo + 106 AND b > lo"),
+    "coverage_ceiling": (
+        coverage_ceiling,
+        f"WITH {SPANS}, c AS (SELECT unnest(range(0, 20)) AS chunk), x AS (SELECT clause_id, least(b, chunk * 700 + 800) - greatest(a, chunk * 700) AS o, b - a AS n FROM s, c), h AS (SELECT clause_id FROM x WHERE o > 0 AND o / n >= 0.6)"
+        " SELECT count(DISTINCT clause_id) AS reachable, (SELECT count(*) FROM s) AS total, round(count(DISTINCT clause_id) / (SELECT count(*) FROM s), 4) AS ceiling, round(count(*) / (SELECT count(*) FROM s), 4) AS windows FROM h",
+    ),
+    "chunk_mean_clauses": (
+        chunk_mean_clauses,
+        f"WITH {SPANS}, c AS (SELECT unnest(range(0, 14)) AS chunk), x AS (SELECT chunk, sum(CASE WHEN least(b, chunk * 700 + 800) - greatest(a, chunk * 700) > 0 AND (least(b, chunk * 700 + 800) - greatest(a, chunk * 700)) / (b - a) >= 0.6 THEN 1 ELSE 0 END) AS n FROM c, s GROUP BY chunk)"
+        " SELECT round(avg(n), 6) AS mean, count(*) AS chunks FROM x",
+    ),
     "exact_quote_locate": (
         exact_quote_locate,
         "SELECT doc_id, item_id, instr(d.text, b.text)::BIGINT AS at FROM documents d, benchmark b WHERE contains(d.text, b.text) AND len(regexp_extract_all(lower(b.text), '[a-z0-9]+')) > 0",
