@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_written, text_of, written
@@ -35,7 +35,7 @@ def rarity_levels(docs: DataFrame, words: int) -> np.ndarray:
         shingler, counts = Shingler(words), np.zeros(1 << SKETCH_BITS, dtype=np.int64)
         for batch in batches:
             for text in batch["_text"]:
-                np.add.at(counts, (shingler.hashes(text) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+                np.add.at(counts, (shingler.all_hashes(text) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
         yield pd.DataFrame({"part": range(SKETCH_PARTS), "counts": [x.tobytes() for x in np.split(counts, SKETCH_PARTS)]})
 
     def add(batch: pd.DataFrame) -> pd.DataFrame:
@@ -60,7 +60,7 @@ def token_rows(docs: DataFrame, words: int, levels: np.ndarray, ratio: tuple[int
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
-        shingler, level = Shingler(words), ranks.value
+        shingler, level = Shingler(words), ranks.value.astype(np.uint64)
         for batch in batches:
             out = []
             for text in batch.pop("_text"):
@@ -71,12 +71,45 @@ def token_rows(docs: DataFrame, words: int, levels: np.ndarray, ratio: tuple[int
                 if (n + 1) * low > n * high:
                     prefix = h[:0]
                 else:
-                    prefix = h[np.lexsort((h, level[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))[:p]]
+                    rank = level[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] << np.uint64(56) | h >> np.uint64(8)
+                    prefix = h[rank <= np.partition(rank, p - 1)[p - 1]]
                 d = xxhash.xxh3_128_intdigest(h.tobytes())
-                out.append((n, (d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63), prefix.view(np.int64)))
-            yield batch.assign(**{c: [x[i] for x in out] for i, c in enumerate(("n", "h1", "h2", "prefix"))})
+                out.append((n, (d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63), prefix.view(np.int64), bits_of(h) if len(prefix) else b""))
+            yield batch.assign(**{c: [x[i] for x in out] for i, c in enumerate(("n", "h1", "h2", "prefix", "bits"))})
 
-    return docs.mapInPandas(rows, f"_id {docs.schema['_id'].dataType.simpleString()}, n long, h1 long, h2 long, prefix array<long>")
+    return docs.mapInPandas(rows, f"_id {docs.schema['_id'].dataType.simpleString()}, n long, h1 long, h2 long, prefix array<long>, bits binary")
+
+
+def bits_of(h: np.ndarray) -> bytes:
+    """Which of 2n to 4n slots the tokens of a set fall in: a 30th of the tokens' own bytes."""
+    slots = np.zeros(max(64, 1 << (2 * len(h) - 1).bit_length()), dtype=bool)
+    slots[(h & np.uint64(len(slots) - 1)).astype(np.int64)] = True
+    return np.packbits(slots).tobytes()
+
+
+def may_link(batch: pd.DataFrame, ratio: tuple[int, int]) -> np.ndarray:
+    """Which rows (g1, g2, side, label, n, bits) of two groups may link with one of the other side (or, of one group, with another).
+
+    A slot that only one of two sets has holds a token that only this one has: its overlap is at most n less such slots.
+    """
+    low, high = ratio
+    side, labels, n = batch["side"].to_numpy(), batch["label"].to_numpy(), batch["n"].to_numpy()
+    bits = [np.frombuffer(x, np.uint8) for x in batch["bits"]]
+    queries = np.flatnonzero(side == 0)
+    others = queries if batch["g1"].iloc[0] == batch["g2"].iloc[0] else np.flatnonzero(side == 1)
+    width = np.array([len(x) for x in bits])
+    stacks = {w: (own := others[width[others] == w], np.stack([bits[i] for i in own])) for w in np.unique(width[others])}
+    keep = np.zeros(len(batch), dtype=bool)
+    fold = lambda x, w: np.bitwise_or.reduce(x.reshape(*x.shape[:-1], -1, w), axis=-2)
+    for q in queries:
+        for w, (own, stack) in stacks.items():
+            least = min(w, width[q])
+            a, b = fold(bits[q], least), fold(stack, least)
+            overlap = np.minimum(n[q] - np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64), n[own] - np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64))
+            hit = (labels[own] != labels[q]) & ((low + high) * overlap >= low * (n[q] + n[own]))
+            keep[q] |= hit.any()
+            keep[own[hit]] = True
+    return keep
 
 
 def tokens_of(docs: DataFrame, words: int) -> DataFrame:
@@ -91,6 +124,28 @@ def tokens_of(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInPandas(rows, f"_id {docs.schema['_id'].dataType.simpleString()}, n long, tokens binary")
 
 
+def least_shared(large: Column, small: Column, ratio: tuple[int, int]) -> Column:
+    """How many prefix tokens two linked sets share at least, if their sizes lie between these two.
+
+    Of the overlap o that a link asks for, all but the last o - k tokens in the common order lie within the first
+    n - o + k of a set of n. The prefix has n - ceil(r * n) + 1 tokens, so that k = o - ceil(r * n) + 1 of them are shared. The
+    value falls as the larger size grows and rises with the smaller one; one less makes up for rounding in between.
+    """
+    low, high = ratio
+    small = F.greatest(small, F.ceil(large * low / high))
+    overlap = F.ceil((large + small) * low / (low + high))
+    return F.greatest(F.lit(1), overlap - F.ceil(large * low / high) - 1)
+
+
+def chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """One row (_id, _text) for each of the ids; a table of bounded size keeps most other texts out before the shuffle."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << SLOT_BITS)).cast("int")
+    ids = ids.select(F.col("_id").alias("_want")).distinct()
+    slots = ids.select(slot("_want").alias("_slot")).distinct()
+    near = docs.join(F.broadcast(slots), slot("_id") == F.col("_slot"), "left_semi")
+    return near.join(ids, F.col("_id") == F.col("_want"), "left_semi").dropDuplicates(["_id"])
+
+
 def linked(x: np.ndarray, y: np.ndarray, ratio: tuple[int, int]) -> bool:
     """Whether two sorted sets of hashes link."""
     small, large = (x, y) if len(x) < len(y) else (y, x)
@@ -100,7 +155,7 @@ def linked(x: np.ndarray, y: np.ndarray, ratio: tuple[int, int]) -> bool:
 
 
 def compare_groups(batch: pd.DataFrame, ratio: tuple[int, int]) -> list[tuple[int, int]]:
-    """Links between two groups (or within one): rows with side, _id, label and tokens.
+    """Links between two groups (or within one): rows with g1, g2, side, _id, label and tokens.
 
     Members with one label are linked already. Of the links found here those are returned that join what isn't joined
     yet, by earlier ones of the same two groups.
@@ -108,8 +163,11 @@ def compare_groups(batch: pd.DataFrame, ratio: tuple[int, int]) -> list[tuple[in
     low, high = ratio
     sets = [np.frombuffer(t, dtype=np.uint64) for t in batch["tokens"]]
     side, ids, labels = batch["side"].to_numpy(), batch["_id"].to_numpy(), batch["label"].to_numpy()
-    queries = np.flatnonzero(side == 0)
-    members = np.flatnonzero(side == 1) if (side == 1).any() else queries
+    queries, members = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if batch["g1"].iloc[0] == batch["g2"].iloc[0]:
+        members = queries
+    if not len(queries) or not len(members):
+        return []
     flat, sizes = np.concatenate([sets[i] for i in members]), np.array([len(sets[i]) for i in members])
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     union = np.unique(flat)
@@ -142,7 +200,7 @@ def jaccard_classes(df: DataFrame, words: int = 5, ratio: tuple[int, int] = (80,
 
     Two documents link when ratio[1] * intersection >= ratio[0] * union of their sets of `words`-word shingles. Null text
     is empty; a text without words has n_shingles 0 and is linked with nothing. Rows that repeat an id are one node of
-    the graph. Ids must be integers; a row with a null id keeps it as its component_id. Other columns are ignored. An
+    the graph. Ids must be integers; a row without one is no node, and its component is the smallest id with an equal set, or null. Other columns are ignored. An
     empty table gives an empty result.
     """
     low, high = ratio
@@ -157,37 +215,31 @@ def jaccard_classes(df: DataFrame, words: int = 5, ratio: tuple[int, int] = (80,
     # Postings of prefix tokens that more than one node has, with the smallest node of about the same size as leader.
     class_of = F.floor(F.log(F.col("n").cast("double")) / float(np.log(high / low))) if low < high else F.lit(0)
     posts = base.select("_id", "n", F.explode("prefix").alias("token"))
-    shared = posts.groupBy(F.col("token").alias("_t")).agg(F.min("_id").alias("_lo"), F.max("_id").alias("_hi")).where("_lo < _hi").select("_t")
-    posts = posts.join(shared, F.col("token") == F.col("_t")).drop("_t").join(copies, F.col("_id") == F.col("_copy"), "left_anti")
-    posts = written(posts.select("token", "_id", "n", class_of.cast("int").alias("size")).distinct())
-    leaders = posts.groupBy(F.col("token").alias("_t"), F.col("size").alias("_s")).agg(F.min("_id").alias("lead"))
-    pairs = posts.join(leaders, (F.col("token") == F.col("_t")) & (F.col("size") == F.col("_s"))).where("lead <> _id").select("_id", "lead").distinct()
-    pairs = written(pairs)
-
-    # Token sets of the nodes that have postings with others; slots keep most other texts out before the shuffle.
-    alone = posts.groupBy(F.col("token").alias("_t")).agg(F.min("_id").alias("_lo"), F.max("_id").alias("_hi")).where("_lo < _hi").select("_t")
-    posts_shared = posts.join(alone, F.col("token") == F.col("_t"), "left_semi")
-    wanted = posts_shared.select(F.col("_id").alias("_want")).distinct()
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << SLOT_BITS)).cast("int")
-    slots = wanted.select(slot("_want").alias("_slot")).distinct()
-    near = docs.join(F.broadcast(slots), slot("_id") == F.col("_slot"), "left_semi").dropDuplicates(["_id"])
-    tokens = written(tokens_of(near.join(wanted, F.col("_id") == F.col("_want"), "left_semi"), words))
+    several = lambda df, c="_id": df.groupBy(F.col("token").alias("_t")).agg(F.min(c).alias("_lo"), F.max(c).alias("_hi")).where("_lo < _hi").select("_t")
+    posts = posts.join(several(posts), F.col("token") == F.col("_t")).drop("_t").join(copies, F.col("_id") == F.col("_copy"), "left_anti").distinct()
+    posts = posts.join(several(posts), F.col("token") == F.col("_t"), "left_semi")
+    posts = written(posts.select("token", "_id", "n", class_of.cast("int").alias("size")))
+
+    # First round: each node against leaders with which it shares at least half of the tokens that a link asks for.
+    leaders = posts.groupBy(F.col("token").alias("_t"), F.col("size").alias("_s")).agg(F.min(F.struct("_id", "n")).alias("lead"))
+    pairs = posts.join(leaders, (F.col("token") == F.col("_t")) & (F.col("size") == F.col("_s"))).where("lead._id <> _id")
+    pairs = pairs.groupBy("_id", "n", F.col("lead._id").alias("lead"), F.col("lead.n").alias("ln")).agg(F.count("*").alias("m"))
+    pairs = written(pairs.where(2 * F.col("m") >= least_shared(F.greatest("n", "ln"), F.least("n", "ln"), ratio)).select("_id", "lead"))
+    tokens = written(tokens_of(chosen(docs, pairs.select("_id").unionByName(pairs.select(F.col("lead").alias("_id")))), words))
 
-    # First round: each node against its leaders.
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ok = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), ratio) for x, y in zip(batch["tokens"], batch["lead_tokens"], strict=True)]
             yield batch.loc[ok, ["_id", "lead"]]
 
-    lead_tokens = tokens.select(F.col("_id").alias("_l"), F.col("tokens").alias("lead_tokens"), F.col("n").alias("_ln"))
-    sized = pairs.join(tokens, "_id").join(lead_tokens, F.col("lead") == F.col("_l"))
-    sized = sized.where((F.col("n") * high >= F.col("_ln") * low) & (F.col("_ln") * high >= F.col("n") * low))
-    first = written(sized.select("_id", "lead", "tokens", "lead_tokens").mapInPandas(check, "_id long, lead long"))
+    lead_tokens = tokens.select(F.col("_id").alias("_l"), F.col("tokens").alias("lead_tokens"))
+    both = pairs.join(tokens.select("_id", "tokens"), "_id").join(lead_tokens, F.col("lead") == F.col("_l"))
+    first = written(both.select("_id", "lead", "tokens", "lead_tokens").mapInPandas(check, "_id long, lead long"))
 
     # Groups: nodes with one leader, those already linked by themselves, in chunks of GROUP_SIZE.
     label = first.groupBy("_id").agg(F.min("lead").alias("label"))
     family = pairs.groupBy(F.col("_id").alias("_f")).agg(F.min("lead").alias("family"))
-    nodes = wanted.join(label, F.col("_want") == F.col("_id"), "left").drop("_id").join(family, F.col("_want") == F.col("_f"), "left")
+    nodes = posts.select(F.col("_id").alias("_want")).distinct().join(label, F.col("_want") == F.col("_id"), "left").drop("_id").join(family, F.col("_want") == F.col("_f"), "left")
     nodes = nodes.select(F.col("_want").alias("_id"), F.least("_want", "label").alias("label"), F.least("_want", "family").alias("family"))
     many = nodes.groupBy(F.col("family").alias("_f"), F.col("label").alias("_l")).agg(F.count("*").alias("_m"))
     nodes = nodes.join(many, (F.col("family") == F.col("_f")) & (F.col("label") == F.col("_l")))
@@ -196,8 +248,8 @@ def jaccard_classes(df: DataFrame, words: int = 5, ratio: tuple[int, int] = (80,
     nodes = nodes.join(size, (F.col("family") == F.col("_f")) & (F.col("own") == F.col("_o")))
     nodes = written(nodes.select("_id", "label", F.xxhash64("family", "own", F.pmod(F.xxhash64("_id"), F.col("_m"))).alias("gid")))
 
-    # The matrix, and the groups that meet in a token and may still have something to link.
-    matrix = posts_shared.join(nodes, "_id").groupBy("token", "gid").agg(
+    # The matrix, and the groups that meet in as many tokens as a link of documents of their sizes asks for.
+    matrix = posts.join(nodes, "_id").groupBy("token", "gid").agg(
         F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most")
     )
     mixed = matrix.groupBy(F.col("token").alias("_t")).agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi")).where("_lo < _hi").select("_t")
@@ -205,13 +257,21 @@ def jaccard_classes(df: DataFrame, words: int = 5, ratio: tuple[int, int] = (80,
     x, y = matrix.alias("x"), matrix.alias("y")
     open_ = (F.col("x.gid") <= F.col("y.gid")) & (F.least("x.lo", "y.lo") < F.greatest("x.hi", "y.hi"))
     fits = (F.col("x.most") * high >= F.col("y.least") * low) & (F.col("y.most") * high >= F.col("x.least") * low)
-    meet = x.join(y, (F.col("x.token") == F.col("y.token")) & open_ & fits).select(F.col("x.gid").alias("g1"), F.col("y.gid").alias("g2")).distinct()
+    meet = x.join(y, (F.col("x.token") == F.col("y.token")) & open_ & fits).groupBy(F.col("x.gid").alias("g1"), F.col("y.gid").alias("g2")).agg(
+        F.count("*").alias("m"), F.max(F.greatest("x.most", "y.most")).alias("most"), F.min(F.least("x.least", "y.least")).alias("least")
+    )
+    meet = written(meet.where(F.col("m") >= least_shared(F.col("most"), F.col("least"), ratio)).select("g1", "g2"))
 
     # Second round: the groups that meet.
     side = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("g1").alias("gid")), F.struct(F.lit(1).alias("side"), F.col("g2").alias("gid")))).alias("e")
     sides = meet.select("g1", "g2", side).select("g1", "g2", "e.side", "e.gid").where((F.col("side") == 0) | (F.col("g1") != F.col("g2")))
-    members = nodes.join(tokens.select("_id", "tokens"), "_id")
-    second = sides.join(members, "gid").groupBy("g1", "g2").applyInPandas(
+    marked = nodes.join(sides.select("gid").distinct(), "gid", "left_semi").join(base.select("_id", "n", "bits"), "_id")
+    close = sides.join(marked, "gid").groupBy("g1", "g2").applyInPandas(
+        lambda batch: batch.loc[may_link(batch, ratio), ["g1", "g2", "side", "_id", "label"]], "g1 long, g2 long, side int, _id long, label long"
+    )
+    close = written(close)
+    members = written(tokens_of(chosen(docs, close.select("_id")), words).select("_id", "tokens"))
+    second = close.join(members, "_id").groupBy("g1", "g2").applyInPandas(
         lambda batch: pd.DataFrame(compare_groups(batch, ratio), columns=["_id", "lead"]), "_id long, lead long"
     )
     links = written(first.unionByName(second))
@@ -221,5 +281,5 @@ def jaccard_classes(df: DataFrame, words: int = 5, ratio: tuple[int, int] = (80,
         F.col("n").alias("n_shingles"),
         F.coalesce("component", "rep", "_id").cast(df.schema[id_col].dataType).alias("component_id"),
     )
-    drop_written(posts, pairs, tokens, first, nodes, matrix)
+    drop_written(posts, pairs, tokens, first, nodes, matrix, meet, close, members)
     return out

@@ -33,8 +33,8 @@ class Shingler(dict):
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
 
-    def hashes(self, text: str | None) -> np.ndarray:
-        """Sorted distinct hashes."""
+    def all_hashes(self, text: str | None) -> np.ndarray:
+        """The hash of each shingle in text order."""
         words = (text or "").encode().lower().split()
         if not words:
             return np.empty(0, np.uint64)
@@ -43,5 +43,9 @@ class Shingler(dict):
         h = np.full(len(w) - k + 1, k, dtype=np.uint64)
         for j in range(k):
             h = mixed(h * _M + w[j : len(w) - k + 1 + j])
-        h.sort()
-        return h[np.concatenate([[True], h[1:] != h[:-1]])]
+        return h
+
+    def hashes(self, text: str | None) -> np.ndarray:
+        """Sorted distinct hashes."""
+        h = np.sort(self.all_hashes(text))
+        return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
