@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,12 +34,12 @@ class Encoder(dict):
 
     The tokenizer splits before each space or line end that follows a word, so that the ids of a text whose words are
     parted by single spaces and line ends are those of its words, each with what precedes it. This dict keeps them by
-    word, up to `most` of them; a word with other white space, or none, has None. Texts with such words or with a
+    word, in two generations of up to `most`; a word with other white space, or none, has None. Texts with such words or with a
     special token go to the tokenizer whole. New words of Latin letters are merged from the same vocabulary's ranks,
     which is several times faster than a call of the tokenizer for each; others go to the tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 300_000):
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -46,21 +48,28 @@ class Encoder(dict):
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = {t: i for t, i in self.tokenizer.get_vocab().items() if t not in self.special}
         self.ranked = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=byte_ranks(vocabulary), special_tokens={})
-        self.most = most
+        self.most, self.old = most, {}
+        self.marks = {m: self.whole(m) for m in ",."}
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes | None:
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        body = word.removeprefix("\n")
-        if body.split() != [body]:
-            ids = None
-        elif max(body) < "\u0250":
-            ids = np.asarray(self.ranked.encode_ordinary(word if body != word else f" {word}"), dtype="<u4").tobytes()
-        else:
-            ids = self.whole(word if body != word else f" {word}")
+        ids = self.old.get(word, b"")
+        if ids == b"":
+            body = word.removeprefix("\n")
+            if body.split() != [body]:
+                ids = None
+            elif word[-1] in ",." and len(body) > 1 and body[-2].isalpha() and max(body) < "\u0250":
+                # Letters and a mark after them are never in one token.
+                ids = self[word[:-1]] + self.marks[word[-1]]
+            elif max(body) < "\u0250":
+                ids = array("I", self.ranked.encode_ordinary(word if body != word else f" {word}")).tobytes()
+            else:
+                ids = self.whole(word if body != word else f" {word}")
         self[word] = ids
         return ids
 
@@ -74,6 +83,12 @@ class Encoder(dict):
         return self.whole(text)
 
 
+@functools.lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """One encoder for all tasks that a worker process runs, so that its words stay."""
+    return Encoder(path)
+
+
 def token_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """The token sequences to pack: id, piece, start, length and ids (little-endian unsigned 32-bit).
 
@@ -83,7 +98,7 @@ def token_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, size = Encoder(tokenizer), 4 * capacity
+        encoder, size = encoder_of(tokenizer), 4 * capacity
         end = np.asarray([end_id], dtype="<u4").tobytes()
         for batch in batches:
             rows, at = [], 0
