@@ -14,9 +14,12 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 # HTML elements by their part in a page.
 RAW = "script|style|noscript|template|textarea|iframe|svg|math|select|object"
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
@@ -92,28 +95,33 @@ def blocks_of(page: str) -> Iterator[tuple[str, bool, bool, str]]:
     yield from ended()
 
 
-def page_tokens(page: str) -> dict[tuple[str, str], list[int]]:
-    """Count, length of text and of text aside of each token: (path, "") for a tag on the way to a block, (path, text) for a string."""
-    found: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0, 0])
+def string_key(path: str, text: str) -> int:
+    """A string of text and where it stands, as a signed 64-bit hash."""
+    return xxhash.xxh3_64_intdigest(f"{path} {text}") - (1 << 63)
+
+
+def page_tokens(page: str) -> dict[tuple[str, int], list[int]]:
+    """Count, length of text and of text aside of each token: (path, 0) for a tag on the way to a block, ("", key) for a string."""
+    found: dict[tuple[str, int], list[int]] = defaultdict(lambda: [0, 0, 0])
     for path, aside, _, text in blocks_of(page):
         parts = path.split("/")
         for k in range(2, len(parts) + 1):
-            tag = found["/".join(parts[:k]), ""]
+            tag = found["/".join(parts[:k]), 0]
             tag[0] += k == len(parts)
             tag[1] += len(text)
             tag[2] += len(text) * aside
-        found[path, text][0] += 1
+        found["", string_key(path, text)][0] += 1
     return found
 
 
-def extract(page: str | None, main: str | None, constant: set[str]) -> str:
+def extract(page: str | None, main: str | None, constant: set[int]) -> str:
     """The article's blocks, two line ends between any two.
 
     main is the path of the slot that the host's template leaves for the article. Where a page lacks it, the blocks
-    within its article elements are taken, or, without such, all that is not aside. constant has "path text" of the
-    template's own strings.
+    within its article elements are taken, or, without such, all that is not aside. constant has the keys of the template's own
+    strings.
     """
-    rows = [(path, within, text) for path, aside, within, text in blocks_of(page or "") if not aside and f"{path} {text}" not in constant]
+    rows = [(path, within, text) for path, aside, within, text in blocks_of(page or "") if not aside and not (constant and string_key(path, text) in constant)]
     own = [text for path, _, text in rows if main and (path == main or path.startswith(f"{main}/"))]
     own = own or [text for _, within, text in rows if within] or [text for _, _, text in rows]
     return "\n\n".join(own)
@@ -131,32 +139,34 @@ def templates(rows: DataFrame, share: float = 0.5, constant_share: float = 0.9,
         for batch in batches:
             out = []
             for host, key, page in zip(batch["_host"], batch["_page"], batch["_html"], strict=True):
-                out.append((host, key, "", "", 1, 0, 0))
+                out.append((host, key, "", 0, 1, 0, 0))
                 out += [(host, key, path, text, *n) for (path, text), n in page_tokens(page).items()]
             yield pd.DataFrame(out, columns=["_host", "_page", "path", "text", "n", "chars", "aside"])
 
-    found = rows.mapInPandas(tokens, "_host string, _page string, path string, text string, n long, chars long, aside long")
+    found = rows.mapInPandas(tokens, "_host string, _page string, path string, text long, n long, chars long, aside long")
     vector = found.groupBy("_host", "path", "text").agg(
         F.bit_xor(F.xxhash64("_page", "n")).alias("vector"), F.count("*").alias("pages"), F.sum("chars").alias("chars"), F.sum("aside").alias("aside")
     )
-    hosts = vector.where("path = ''").select(F.col("_host").alias("_h"), F.col("pages").alias("of"))
-    large = vector.where("path <> '' AND pages > 1").join(hosts, F.col("_host") == F.col("_h")).where((F.col("pages") >= share * F.col("of")) & ((F.col("text") == "") | (F.col("pages") >= constant_share * F.col("of")) & (F.col("of") >= least_pages)))
+    # Strings of one page alone are no template; what is left is written, so that the pages are read once.
+    vector = written(vector.where("pages > 1 OR text = 0"))
+    hosts = vector.where("path = '' AND text = 0").select(F.col("_host").alias("_h"), F.col("pages").alias("of"))
+    large = vector.where("(path <> '' OR text <> 0) AND pages > 1").join(hosts, F.col("_host") == F.col("_h")).where((F.col("pages") >= share * F.col("of")) & ((F.col("text") == 0) | (F.col("pages") >= constant_share * F.col("of")) & (F.col("of") >= least_pages)))
     classes = large.groupBy(F.col("_host").alias("_h"), F.col("vector").alias("_v"), F.col("pages").alias("_p")).agg(F.count("*").alias("_size")).where("_size > 1")
     same = (large["_host"] == classes["_h"]) & (large["vector"] == classes["_v"]) & (large["pages"] == classes["_p"])
-    tags = large.where("text = ''").select("_host", "path", "text", "chars", "aside").unionByName(large.where("text <> ''").join(classes, same, "left_semi").select("_host", "path", "text", "chars", "aside"))
+    tags = large.where("text = 0").select("_host", "path", "text", "chars", "aside").unionByName(large.where("text <> 0").join(classes, same, "left_semi").select("_host", "path", "text", "chars", "aside"))
 
     def deduced(batch: pd.DataFrame) -> pd.DataFrame:
         # Nested by path: the slot of the article is the deepest tag that holds most of the text that is not aside.
-        text = batch["text"].to_numpy() != ""
+        text = batch["text"].to_numpy() != 0
         own = batch[~text].assign(rest=lambda b: b["chars"] - b["aside"]).sort_values("path")
         whole = own["rest"].max() if len(own) else 0
         articles = [p for p, r in zip(own["path"], own["rest"], strict=True) if re.search(r"/(article|main)[^/]*$", p) and r > 0.3 * whole]
         inner = [p for p, r in zip(own["path"], own["rest"], strict=True) if r >= 0.8 * whole > 0 and re.search(r"/(div|section|td|body|center)[^/]*$", p)]
         main = min(articles, key=lambda p: (p.count("/"), p)) if articles else max(inner, key=lambda p: (p.count("/"), p), default=None)
-        constant = [f"{p} {t}" for p, t in zip(batch["path"][text], batch["text"][text], strict=True)]
-        return pd.DataFrame({"_host": batch["_host"][:1], "main": [main], "constant": [sorted(constant)]})
+        constant = sorted(int(x) for x in batch["text"][text])
+        return pd.DataFrame({"_host": batch["_host"][:1], "main": [main], "constant": [constant]})
 
-    return tags.groupBy("_host").applyInPandas(deduced, "_host string, main string, constant array<string>")
+    return tags.groupBy("_host").applyInPandas(deduced, "_host string, main string, constant array<long>")
 
 
 def main_texts(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
