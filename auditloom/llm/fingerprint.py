@@ -23,6 +23,11 @@ def terms_of(text: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(spaced_words(text), " ")), "")
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """The smallest _id of each group of texts that have the same words in the same order, as _rep, written."""
+    return written(docs.groupBy(F.md5(spaced_words(F.col("_text"))).alias("_words")).agg(F.min("_id").alias("_rep")).select("_rep"))
+
+
 def lexicon(df: DataFrame, text_col: str, band: tuple[float, float], n_docs: int) -> DataFrame:
     """The terms whose share of documents lies in the band.
 
@@ -51,25 +56,36 @@ def next_rows(ids: DataFrame, per_block: int = 4096) -> DataFrame:
     return ids.join(firsts, F.col("_block") == F.col("_of"), "left").withColumn("_next", following).drop("_block", "_of", "_after")
 
 
-def fingerprints(terms: DataFrame, keys: list[str], lexicon_terms: DataFrame, few: int = 24) -> DataFrame:
+def fingerprints(terms: DataFrame, keys: list[str], lexicon_terms: DataFrame, few: int = 24, least: float = 0.25) -> DataFrame:
     """keys and fingerprint: for each scale and lexicon the hash of the sorted distinct terms that the lexicon keeps.
 
-    terms has the keys and _terms, distinct terms. Terms within the band count; in a document of at most `few` terms all
-    count. A lexicon that keeps no term of the document gives dots in place of a hash. Lexicon k of scale s holds the
-    terms whose hash under k is divisible by s, so that those of a larger scale lie within those of a smaller one. The
-    rows of one document lie in one partition already, and a document has no more terms than words.
+    terms has the keys and _terms, distinct terms. Terms within the band count; in a document of at most `few` terms, or
+    of whose terms less than the share `least` lies within the band, all count: what most texts of a table share would
+    else leave no hash, or those of the few other terms alone. A lexicon that keeps no term of the document gives dots in
+    place of a hash; where all do, the hash of all terms stands in those of the smallest scale, so that only documents
+    without terms have dots alone. Lexicon k of scale s holds the terms whose hash under k is divisible by s, so that
+    those of a larger scale lie within those of a smaller one. The rows of one document lie in one partition already, and
+    a document has no more terms than words.
     """
     lex = F.broadcast(lexicon_terms.select(F.col("term").alias("_lex"), F.lit(True).alias("_in")))
-    flat = terms.select(*keys, (F.size("_terms") <= few).alias("_few"), F.explode_outer("_terms").alias("_term")).join(lex, F.col("_term") == F.col("_lex"), "left")
-    # A term's hash in the upper bits, and in the lower ones the lexicons of the smallest scale that hold it.
+    flat = terms.select(*keys, F.explode_outer("_terms").alias("_term")).join(lex, F.col("_term") == F.col("_lex"), "left")
+    # A term's hash in the upper bits, then whether it lies within the band, and in the lower ones the lexicons of the smallest scale that hold it.
     held = lambda t, k, s: F.pmod(F.xxhash64(t, k), F.lit(s)) == 0
-    bare = F.xxhash64("_term").bitwiseAND(F.lit(-(1 << SUBSETS)))
-    flat = flat.select(*keys, F.when(F.col("_in") | F.col("_few"), bare).alias("_h"))
-    mask = sum((F.when(held(F.col("_h"), F.lit(k), SCALES[0]), F.lit(1 << k)).otherwise(F.lit(0)) for k in range(SUBSETS)), F.lit(0)).cast("long")
-    flat = flat.select(*keys, "_h", mask.alias("_mask"))
-    sets = flat.groupBy(*keys).agg(F.array_sort(F.collect_set(F.when(F.col("_mask") > 0, F.col("_h").bitwiseOR(F.col("_mask"))))).alias("_t"))
-    upper = lambda t: t.bitwiseAND(F.lit(-(1 << SUBSETS)))
+    upper = lambda t: t.bitwiseAND(F.lit(-(1 << (SUBSETS + 1))))
     bit = lambda t, k: F.getbit(t, k)
+    flat = flat.select(*keys, "_in", F.when(F.col("_term").isNotNull(), upper(F.xxhash64("_term"))).alias("_h"))
+    mask = sum((F.when(held(F.col("_h"), F.lit(k), SCALES[0]), F.lit(1 << k)).otherwise(F.lit(0)) for k in range(SUBSETS)), F.lit(0)).cast("long")
+    flat = flat.select(*keys, "_h", "_in", mask.alias("_mask"))
+    inner = F.when(F.col("_in"), F.lit(1 << SUBSETS)).otherwise(F.lit(0)).cast("long")
+    sets = flat.groupBy(*keys).agg(
+        F.array_sort(F.collect_set(F.when(F.col("_mask") > 0, F.col("_h").bitwiseOR(inner).bitwiseOR(F.col("_mask"))))).alias("_t"),
+        F.count("_h").alias("_of"),
+        F.count("_in").alias("_own"),
+        F.bit_xor("_h").alias("_all"),
+    )
+    whole = (F.col("_of") <= few) | (F.col("_own") < least * F.col("_of"))
+    sets = sets.withColumn("_t", F.when(whole, F.col("_t")).otherwise(F.filter("_t", lambda t: bit(t, F.lit(SUBSETS)) == 1)))
+    sets = sets.withColumn("_t", F.when((F.size("_t") == 0) & (F.col("_of") > 0), F.array(F.col("_all").bitwiseOR(F.lit((1 << SUBSETS) - 1)))).otherwise(F.col("_t")))
     sets = sets.withColumn("_s0", F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda k: F.transform(F.filter("_t", lambda t: bit(t, k) == 1), upper)))
     narrowed = lambda scale: lambda a, k: F.filter(a, lambda t: held(t, k, scale))
     for at, scale in enumerate(SCALES[1:], 1):
@@ -81,7 +97,8 @@ def fingerprints(terms: DataFrame, keys: list[str], lexicon_terms: DataFrame, fe
 def likeness(one: Column, other: Column) -> Column:
     """The largest share, over the scales, of lexicons whose hashes agree, of those that keep a term of either text.
 
-    A scale counts if at least a quarter of its lexicons keep a term; equal fingerprints have likeness 1.
+    A scale counts if at least a quarter of its lexicons keep a term; equal fingerprints have likeness 1: they stand for
+    the same counted terms, or both for none.
     """
     parts = lambda c, at: F.slice(F.regexp_extract_all(c, F.lit("(.{4})")), at * SUBSETS + 1, SUBSETS)
     count = lambda a: F.size(F.filter(a, lambda x: x))
@@ -110,14 +127,15 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     The edited text is the text with its last quarter (code points, rounded down) replaced by the first as many code
     points, or all, of the row with the next larger id; the row with the largest id is followed by that with the
-    smallest. near_edited and near_next are the likeness of the row's fingerprint to the edited text's and to the next
+    smallest. The band holds for distinct texts: copies (the same words in the same order) count once. near_edited and near_next are the likeness of the row's fingerprint to the edited text's and to the next
     row's. Null text is empty; an empty text has a fingerprint without hashes, like other texts without terms. Ids should
     be unique. Rows without an id have no place in their order and are left out. Other columns are ignored.
     """
     docs = df.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).where(F.col("_id").isNotNull())
     dealt = docs.repartition("_id")  # one shuffle of the texts serves both joins
-    n_docs = docs.count()
-    lex = lexicon(docs, "_text", band, n_docs)
+    reps = representatives(docs)
+    # An inner join: a semi join would be pushed below the shuffle of the texts, which the other joins use again.
+    lex = lexicon(dealt.join(reps, F.col("_id") == F.col("_rep")), "_text", band, reps.count())
     following = next_rows(docs.select("_id", F.floor(F.length("_text") / 4).cast("int").alias("_k")))
     heads = dealt.select(F.col("_id").alias("_n"), F.col("_text").alias("_next_text")).join(following, F.col("_n") == F.col("_next"), "right")
     heads = heads.select(F.col("_id").alias("_for"), "_next", "_k", F.expr("substring(_next_text, 1, _k)").alias("_head"))

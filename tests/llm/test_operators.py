@@ -216,6 +216,28 @@ def test_fingerprints(docs, empty):
     assert fingerprint.edited_fingerprints(empty).count() == 0
 
 
+def test_fingerprints_of_hot_texts(spark):
+    rng = random.Random(11)
+    some = lambda n: " ".join(rng.choice((f"w{rng.randrange(6000)}", f"common{rng.randrange(60)}")) for _ in range(n))
+    copies, near, other = some(300), some(300).split(), [some(200) for _ in range(120)]
+    texts = []
+    for i, t in enumerate(other):  # a third of the rows are copies, a third near copies
+        near[7 * i % 300] = f"changed{i}"
+        texts += [copies, t, " ".join(near).upper() if i % 2 else " ".join(near)]
+    got = rows(fingerprint.edited_fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert all(re.search("[0-9a-f]", r["fingerprint"]) for r in got.values())
+    assert len({got[i]["fingerprint"] for i in range(0, len(texts), 3)}) == 1
+    assert max(r["near_next"] for r in got.values()) < 0.8
+    for start in (0, 2):
+        assert np.mean([got[i]["near_edited"] for i in range(start, len(texts), 3)]) > 0.3
+
+
+def test_fingerprints_of_small_tables_tell_texts_apart(spark):
+    texts = [f"w{i}" for i in range(9)] + [" ".join(f"t{j}x{i}" for j in range(60)) for i in range(9)]
+    got = rows(fingerprint.edited_fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert len({r["fingerprint"] for r in got.values()}) == len(texts) and all(r["near_next"] < 1 for r in got.values())
+
+
 def test_next_rows_over_many_blocks(spark):
     ids = [x * x for x in range(500)]
     got = {r._id: r._next for r in fingerprint.next_rows(spark.createDataFrame([(i,) for i in ids], "_id long"), per_block=7).collect()}
