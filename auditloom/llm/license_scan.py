@@ -62,6 +62,11 @@ def template_tokens(templates: dict[str, str]) -> dict[str, list[str]]:
     return {label: sorted({w for w in "".join(c if c.isalnum() else " " for c in text.lower()).split()}) for label, text in templates.items()}
 
 
+def spans_of(templates: dict[str, str]) -> dict[str, int]:
+    """The words of a text block for each template: twice its own and a dozen, for names, years and marks between them."""
+    return {label: 2 * len("".join(c if c.isalnum() else " " for c in text).split()) + 12 for label, text in templates.items()}
+
+
 def token_counts(spaced: DataFrame, vocabulary: list[str], words: str = "_words") -> DataFrame:
     """In how many documents each word of the templates stands; at most len(vocabulary) rows."""
     found = F.array_intersect(F.col(words), F.array(*map(F.lit, vocabulary)))
@@ -69,13 +74,15 @@ def token_counts(spaced: DataFrame, vocabulary: list[str], words: str = "_words"
 
 
 def template_matches(df: DataFrame, id_col: str, text_col: str, templates: dict[str, str] = TEMPLATES, containment: float = 0.9) -> DataFrame:
-    """Every (id, label, containment) where a line holds at least that share of a template's distinct words.
-
-    Words are put in the order of their document frequency over the whole table (rarest first, ties by word). A line
-    that holds at least ceil(c * t) of a template's t words holds one of its t - ceil(c * t) + 1 rarest: only lines with
-    such a word are opened (prefix filter), only those with enough words (length filter) and with enough of the
-    template's words from there on (positional filter) are compared. The templates are a parameter and the index over
-    them has at most as many rows as they have words.
+    """Every (id, label, containment) where a text block holds at least that share of a template's distinct words.
+
+    Blocks are all runs of spans_of() words of the text, whatever its line ends. Each run lies in one of the parts that
+    start at every multiple of the longest span and are twice as long. Words are put in the order of their document
+    frequency over the whole table (rarest first, ties by word). A block that holds at least ceil(c * t) of a template's
+    t words holds one of its t - ceil(c * t) + 1 rarest: only parts with such a word are opened (prefix filter), only
+    those with enough words (length filter) and with enough of the template's words from there on (positional filter)
+    have their blocks compared. The templates are a parameter and the index over them has at most as many rows as they
+    have words.
     """
     tokens = template_tokens(templates)
     need = {label: math.ceil(containment * len(t) - 1e-9) for label, t in tokens.items()}
@@ -88,24 +95,34 @@ def template_matches(df: DataFrame, id_col: str, text_col: str, templates: dict[
     if not index:
         return base.select("_id", F.lit("").alias("label"), F.lit(0.0).alias("containment")).where(F.lit(False))
     prefixes = F.array(*(F.lit(w) for w in sorted({w for w, _, _ in index})))
-    lines = (
+    spans = spans_of(templates)
+    longest = max(spans.values())
+    starts = F.sequence(F.lit(0), F.floor((F.size("_all") - 1) / longest).cast("int"))
+    parts = (
         base.where(F.rlike(F.lower("_text"), F.lit("|".join(sorted({w for w, _, _ in index})))))
-        .select("_id", F.explode(F.split("_text", "\n")).alias("_line"))
-        .select("_id", F.array_distinct(F.split(spaced_words(F.col("_line")), " ")).alias("_words"))
-        .where(F.arrays_overlap("_words", prefixes))
-        .select("_id", "_words", F.explode(F.array_intersect("_words", prefixes)).alias("token"))
+        .select("_id", F.split(spaced_words(F.col("_text")), " ").alias("_all"))
+        .select("_id", F.explode(F.transform(starts, lambda k: F.slice("_all", k * longest + 1, 2 * longest))).alias("_part"))
+        .where(F.arrays_overlap("_part", prefixes))
+        .select("_id", "_part", F.array_distinct("_part").alias("_words"))
+        .select("_id", "_part", "_words", F.explode(F.array_intersect("_words", prefixes)).alias("token"))
     )
     columns = "token string, label string, place int"
-    looked = lines.join(F.broadcast(spark.createDataFrame(index, columns)), "token")
+    looked = parts.join(F.broadcast(spark.createDataFrame(index, columns)), "token")
     sets = F.create_map(*(x for label, t in ordered.items() for x in (F.lit(label), F.array(*map(F.lit, t)))))
     least = F.create_map(*(x for label in ordered for x in (F.lit(label), F.lit(need[label]))))
     sizes = F.create_map(*(x for label, t in ordered.items() for x in (F.lit(label), F.lit(len(t)))))
+    widths = F.create_map(*(x for label in ordered for x in (F.lit(label), F.lit(spans[label]))))
+    blocks = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_part") - F.col("_span") + 1))
+    held = lambda at: F.size(F.array_intersect(F.slice("_part", at, F.col("_span")), F.col("_set")))
     rest = F.size(F.array_intersect("_words", F.slice(sets[F.col("label")], F.col("place") + 1, sizes[F.col("label")])))
     return (
         looked.where(F.size("_words") >= least[F.col("label")])
         .where(sizes[F.col("label")] - F.col("place") >= least[F.col("label")])
         .where(rest >= least[F.col("label")])
-        .select("_id", "label", (F.size(F.array_intersect("_words", sets[F.col("label")])) / sizes[F.col("label")]).alias("containment"))
+        .select("_id", "label", "_part", sets[F.col("label")].alias("_set"), least[F.col("label")].alias("_least"), widths[F.col("label")].alias("_span"))
+        .select("_id", "label", "_least", F.size("_set").alias("_of"), F.array_max(F.transform(blocks, held)).alias("_held"))
+        .where(F.col("_held") >= F.col("_least"))
+        .select("_id", "label", (F.col("_held") / F.col("_of")).alias("containment"))
         .groupBy("_id", "label")
         .agg(F.max("containment").alias("containment"))
     )
@@ -116,7 +133,8 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     score is the largest containment of a template, or 1 where a base phrase stands, or 0. Null text is empty and has
     no word. Ids should be unique: rows that repeat an id share the labels that the template join found for it. Other
-    columns are ignored. Lines of any length are compared as sets, so a very long one costs no more than its words.
+    columns are ignored. Line ends are word limits like any other, so wrapped notices are found, and words scattered over a long line
+    are no notice.
     """
     spaced = df.select(F.col(id_col).alias("_id"), spaced_words(text_of(text_col)).alias("_s"))
     places = {label: phrase_places(F.col("_s"), phrase) for phrase, label in PHRASES.items()}

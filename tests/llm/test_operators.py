@@ -260,6 +260,16 @@ def test_license_scan(docs, empty):
     assert license_scan.license_scan(empty).count() == 0
 
 
+def test_license_notices_over_lines(spark):
+    mit = license_scan.TEMPLATES["mit"].split()
+    wrapped = ["\n".join(" ".join(mit[k : k + 6]) for k in range(0, len(mit), 6)), "x y\n" * 40 + "# " + "\n# ".join(license_scan.TEMPLATES["gpl-notice"].split())]
+    far = " ".join(f"{w} " + "filler " * 60 for w in license_scan.TEMPLATES["copyright"].split())
+    texts = [*wrapped, far, "Copyright (c) 2020 J. Smith\nand others. All\nrights reserved.", *(f"{'pad ' * n}{wrapped[0]} {'pad ' * 300}" for n in range(0, 160, 9))]
+    got = rows(license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [got[i]["labels"] for i in range(4)] == ["mit", "gpl,gpl-notice", "", "copyright,reserved"]
+    assert all(got[i]["labels"] == "mit" and got[i]["score"] == 1.0 for i in range(4, len(texts)))
+
+
 def test_native_operators_run_no_python(docs):
     for df in (exact_dedup.exact_groups(docs), license_scan.license_scan(docs), fingerprint.edited_fingerprints(docs)):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().toString())
