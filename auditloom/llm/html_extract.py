@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 # HTML elements by their part in a page.
-RAW = "script|style|noscript|template|textarea|iframe|svg|math|select|object"
+RAW = "script|style|textarea|iframe"
+HIDDEN = set("noscript template svg select object".split())
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = set(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main"
@@ -35,7 +36,7 @@ ASIDE_NAMES = set(
     " newsletter signup popup modal overlay pagination pager skip hidden login search toolbar copyright complementary contentinfo".split()
 )
 
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S | re.I)
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S | re.I)
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
@@ -43,9 +44,10 @@ def blocks_of(page: str) -> Iterator[tuple[str, bool, bool, str]]:
     """Path, whether it is aside of the article, whether it is within an article, and text of each block in page order.
 
     Entities are decoded and white space is one space; blocks without text are left out. A new block ends an open
-    paragraph; an end tag closes what was left open within its element; line breaks are white space.
+    paragraph; an end tag closes what was left open within its element; line breaks are white space. Raw elements are
+    skipped up to their end tag; hidden ones by nesting, and they end with the element around them at the latest.
     """
-    stack: list[tuple[str, str, bool, bool]] = []
+    stack: list[tuple[str, str | None, bool, bool]] = []
     text: list[str] = []
 
     def ended() -> Iterator[tuple[str, bool, bool, str]]:
@@ -53,18 +55,34 @@ def blocks_of(page: str) -> Iterator[tuple[str, bool, bool, str]]:
             plain = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if plain:
-                at = next((x for x in reversed(stack) if x[0] in BLOCK), ("", "", False, False))
+                at = next((x for x in reversed(stack) if x[0] in BLOCK and x[1] is not None), ("", "", False, False))
                 yield at[1], stack[-1][2] if stack else False, at[3], plain
 
+    def hidden() -> bool:
+        return bool(stack) and stack[-1][1] is None
+
     for m in _TOKEN.finditer(page):
         name = m[3]
         if name is None:
             if m[0][0] != "<" or m[0] == "<":
-                text.append(m[0])
+                if not hidden():
+                    text.append(m[0])
             elif m[1]:
                 text.append(" ")
             continue
         name = name.lower()
+        if hidden() or not m[2] and name in HIDDEN:
+            # A hidden element has the path None, and so has what is in it.
+            if not m[2]:
+                if name not in VOID and not (m[4] or "").rstrip().endswith("/"):
+                    stack.append((name, None, stack[-1][2] if stack else False, stack[-1][3] if stack else False))
+                text.append(" ")
+                continue
+            inner = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
+            if inner is None or stack[inner][1] is None:
+                if inner is not None:
+                    del stack[inner:]
+                continue
         if m[2]:
             if any(x[0] == name for x in stack):
                 if name in BLOCK or any(x[0] in BLOCK for x in stack[max(k for k, x in enumerate(stack) if x[0] == name) :]):

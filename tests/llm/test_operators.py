@@ -345,3 +345,13 @@ def test_main_texts(spark):
     assert (got[20]["text"], got[21]["text"], got[22]["text"]) == ("", "", "only\n\ntail") and got[23]["text"].startswith("cut")
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert html_extract.main_texts(none).count() == 0
+
+
+def test_hidden_elements_end_where_they_end():
+    shown = lambda page: [text for _, _, _, text in html_extract.blocks_of(page)]
+    assert shown('<p>one<svg-icon name="x"></svg-icon> two</p><p>three</p>') == ["one two", "three"]
+    assert shown('<p>one<svg width="1"/> two</p><p>three</p>') == ["one two", "three"]
+    assert shown("<p>one <svg><title>t</title><g><svg><path/></svg>u</g></svg>two</p><p>three</p>") == ["one two", "three"]
+    assert shown("<div><p>one<select><option>x</div><p>three</p>") == ["one", "three"]
+    assert shown("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>") == ["so x=2 holds"]
+    assert shown("<p>one<script-box>in</script-box></p><script>a</p></script><template><p>t</p></template><p>two") == ["onein", "two"]
