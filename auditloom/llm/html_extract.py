@@ -3,7 +3,7 @@
 Tokens are tags with the path that leads to them, and strings of text with theirs. Across the pages of one host, tokens
 with one occurrence vector (how often on which page) are an equivalence class. A class of several tokens that stand on
 most of the host's pages is valid; the paths of valid classes nest into the host's template. Its text strings are
-boilerplate, and of the slots that its tags leave open the one that holds the article is extracted.
+boilerplate, and all slots that its tags leave open are extracted, but for those that are aside of the article.
 """
 
 from __future__ import annotations
@@ -132,21 +132,17 @@ def page_tokens(page: str) -> dict[tuple[str, int], list[int]]:
     return found
 
 
-def extract(page: str | None, main: str | None, constant: set[int]) -> str:
+def extract(page: str | None, constant: set[int]) -> str:
     """The article's blocks, two line ends between any two.
 
-    main is the path of the slot that the host's template leaves for the article. Where a page lacks it, the blocks
-    within its article elements are taken, or, without such, all that is not aside. constant has the keys of the template's own
-    strings.
+    All that is neither aside nor a string of the template is taken, wherever it stands: a slot is what the template
+    leaves open, and a page may fill several. constant has the keys of the template's own strings.
     """
-    rows = [(path, within, text) for path, aside, within, text in blocks_of(page or "") if not aside and not (constant and string_key(path, text) in constant)]
-    own = [text for path, _, text in rows if main and (path == main or path.startswith(f"{main}/"))]
-    own = own or [text for _, within, text in rows if within] or [text for _, _, text in rows]
-    return "\n\n".join(own)
+    return "\n\n".join(text for path, aside, _, text in blocks_of(page or "") if not aside and not (constant and string_key(path, text) in constant))
 
 
 def templates(rows: DataFrame, share: float = 0.5, constant_share: float = 0.9, least_pages: int = 8) -> DataFrame:
-    """host, main (path of the article's slot) and constant (strings of the template), of rows (_host, _page, _html).
+    """host and constant (strings of the template), of rows (_host, _page, _html).
 
     A token's occurrence vector is kept as the exclusive or of hashes of page and count, which tasks combine, so that a
     hot host costs each task one row a token. Tokens that stand on `share` of a host's pages and share their vector
@@ -171,39 +167,27 @@ def templates(rows: DataFrame, share: float = 0.5, constant_share: float = 0.9,
     large = vector.where("(path <> '' OR text <> 0) AND pages > 1").join(hosts, F.col("_host") == F.col("_h")).where((F.col("pages") >= share * F.col("of")) & ((F.col("text") == 0) | (F.col("pages") >= constant_share * F.col("of")) & (F.col("of") >= least_pages)))
     classes = large.groupBy(F.col("_host").alias("_h"), F.col("vector").alias("_v"), F.col("pages").alias("_p")).agg(F.count("*").alias("_size")).where("_size > 1")
     same = (large["_host"] == classes["_h"]) & (large["vector"] == classes["_v"]) & (large["pages"] == classes["_p"])
-    tags = large.where("text = 0").select("_host", "path", "text", "chars", "aside").unionByName(large.where("text <> 0").join(classes, same, "left_semi").select("_host", "path", "text", "chars", "aside"))
-
-    def deduced(batch: pd.DataFrame) -> pd.DataFrame:
-        # Nested by path: the slot of the article is the deepest tag that holds most of the text that is not aside.
-        text = batch["text"].to_numpy() != 0
-        own = batch[~text].assign(rest=lambda b: b["chars"] - b["aside"]).sort_values("path")
-        whole = own["rest"].max() if len(own) else 0
-        articles = [p for p, r in zip(own["path"], own["rest"], strict=True) if re.search(r"/(article|main)[^/]*$", p) and r > 0.3 * whole]
-        inner = [p for p, r in zip(own["path"], own["rest"], strict=True) if r >= 0.8 * whole > 0 and re.search(r"/(div|section|td|body|center)[^/]*$", p)]
-        main = min(articles, key=lambda p: (p.count("/"), p)) if articles else max(inner, key=lambda p: (p.count("/"), p), default=None)
-        constant = sorted(int(x) for x in batch["text"][text])
-        return pd.DataFrame({"_host": batch["_host"][:1], "main": [main], "constant": [constant]})
-
-    return tags.groupBy("_host").applyInPandas(deduced, "_host string, main string, constant array<long>")
+    strings = large.where("text <> 0").join(classes, same, "left_semi")
+    return strings.groupBy("_host").agg(F.sort_array(F.collect_set("text")).alias("constant"))
 
 
 def main_texts(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per input row: id, url, text of the article and n_chars (code points).
 
     Null or empty html, and html without text, give the empty text. Pages whose address has no host are one host of
-    their own. Repeated rows give equal results. Hosts of one page have no template; their pages are read by their own
-    marks. Other columns are ignored.
+    their own. Repeated rows give equal results. Hosts of one page have no template; of their pages all that is not aside
+    is kept. Other columns are ignored.
     """
     host = F.lower(F.regexp_extract(F.coalesce(url_col, F.lit("")), r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = df.select(F.col(id_col).alias("_id"), F.col(url_col).alias("url"), F.col(html_col).alias("_html"), host.alias("_host"))
     deduced = templates(rows.where(F.col("_html").isNotNull()).select("_host", F.col("_id").cast("string").alias("_page"), "_html"))
-    deduced = deduced.select(F.col("_host").alias("_of"), "main", "constant")
+    deduced = deduced.select(F.col("_host").alias("_of"), "constant")
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            own = [extract(p, m, set(c) if c is not None else set()) for p, m, c in zip(batch["_html"], batch["main"], batch["constant"], strict=True)]
+            own = [extract(p, set(c) if c is not None else set()) for p, c in zip(batch["_html"], batch["constant"], strict=True)]
             yield pd.DataFrame({"_id": batch["_id"], "url": batch["url"], "text": own, "n_chars": [len(x) for x in own]})
 
     kind = df.schema[id_col].dataType.simpleString()
-    joined = rows.join(deduced, F.col("_host") == F.col("_of"), "left").select("_id", "url", "_html", "main", "constant")
+    joined = rows.join(deduced, F.col("_host") == F.col("_of"), "left").select("_id", "url", "_html", "constant")
     return joined.mapInPandas(texts, f"_id {kind}, url string, text string, n_chars long").withColumnRenamed("_id", id_col)

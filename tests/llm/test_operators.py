@@ -355,3 +355,14 @@ def test_hidden_elements_end_where_they_end():
     assert shown("<div><p>one<select><option>x</div><p>three</p>") == ["one", "three"]
     assert shown("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>") == ["so x=2 holds"]
     assert shown("<p>one<script-box>in</script-box></p><script>a</p></script><template><p>t</p></template><p>two") == ["onein", "two"]
+
+
+def test_all_open_slots_are_kept(spark):
+    post = '<body><div class="post"><h1>Title {0}</h1><p class="lead">Lead {0}</p><div class="body"><p>{1}</p></div></div><div class="more"><p>Rest {0} {2}</p></div><footer>F</footer></body>'
+    pages = [(i, f"https://a.example.com/{i}", post.format(f"n{i}", f"text {i} " * 40, "tail " * (200 * (i == 3)))) for i in range(10)]
+    pages += [(100 + i, f"https://b.example.com/{i}", f"<h1>Head {i}</h1><article><p>Story {i}</p></article>") for i in range(10)]
+    got = rows(html_extract.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string")), "page_id")
+    for i in range(10):
+        whole = [f"Title n{i}", f"Lead n{i}", (f"text {i} " * 40).strip(), f"Rest n{i} {'tail ' * (200 * (i == 3))}".strip()]
+        assert got[i]["text"] == "\n\n".join(whole)
+        assert got[100 + i]["text"] == f"Head {i}\n\nStory {i}"
