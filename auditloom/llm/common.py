@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,17 +28,26 @@ def ascii_lower(column: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local session gets a temporary one; a cluster has to name it."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="auditloom-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="auditloom-"))
     return sc.getCheckpointDir()
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The rows as a table written in the shared folder: cuts the lineage and survives lost executors."""
+    """The rows as a table written in the shared folder: cuts the lineage and survives lost executors.
+
+    drop_written() deletes it; what a lazy result still reads goes when the application ends.
+    """
     path = f"{shared_dir(df.sparkSession)}/auditloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    sc = df.sparkSession.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(at)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -48,3 +58,30 @@ def drop_written(*tables: DataFrame) -> None:
         for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
             path = jvm.org.apache.hadoop.fs.Path(parent)
             path.getFileSystem(conf).delete(path, True)
+
+
+#: Slots of the filters that keep most rows out of a shuffle: at most so many rows are broadcast, however large the tables are.
+SLOT_BITS = 20
+
+
+def slot(*columns: str | Column) -> Column:
+    """The slot of a key."""
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << SLOT_BITS)).cast("int")
+
+
+def slots_of(keys: DataFrame, *columns: str | Column) -> DataFrame:
+    """The slots that some key falls in, as a broadcast table with the column _slot: at most 2**SLOT_BITS rows."""
+    return F.broadcast(keys.select(slot(*columns).alias("_slot")).distinct())
+
+
+def own_name(df: DataFrame, name: str) -> str:
+    """A name like `name` that no column of the table has, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"{name}_"
+    return name
+
+
+def as_row(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """_id, _text (null as empty) and _row, the whole row as a struct: so no name of the table's own can clash with a helper column."""
+    return df.select(F.col(f"`{id_col}`").alias("_id"), text_of(F.col(f"`{text_col}`")).alias("_text"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"))
