@@ -12,8 +12,10 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from auditloom.llm import exact_dedup, fingerprint, html_extract, jaccard_join, license_scan, ngram_lm, packing, quality, repeats, sampled_pieces
 from auditloom.llm.components import components
+from pyspark.sql import functions as F
 
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 SCHEMA = "doc_id long, text string, _id string, _text int"
@@ -52,7 +54,10 @@ def rows(df, key="doc_id"):
     return {r[key]: r.asDict() for r in df.collect()}
 
 
-def test_exact_groups(docs, empty):
+@pytest.mark.parametrize("bits", [128, 1])
+def test_exact_groups(docs, empty, bits, monkeypatch):
+    if bits == 1:  # nearly all texts collide
+        monkeypatch.setattr(exact_dedup, "content_key", lambda t: F.unhex(F.concat(F.lit("0"), F.pmod(F.length(t), F.lit(2)).cast("string"))))
     got, norm = rows(exact_dedup.exact_groups(docs)), {i: re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for i, t, *_ in corpus()}
     for i, t in norm.items():
         same = [j for j, u in norm.items() if u == t]
@@ -60,7 +65,10 @@ def test_exact_groups(docs, empty):
         assert got[i]["text_sha256"] == hashlib.sha256(t.encode()).hexdigest()
     assert exact_dedup.exact_groups(empty).count() == 0
     kept = exact_dedup.drop_exact(docs)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i in norm if got[i]["kept"]}
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i in norm if got[i]["kept"])
+    same = exact_dedup.copies(docs.select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("_text")))
+    first = {}
+    assert sorted(r._id for r in same.collect()) == [i for i, t, *_ in corpus() if first.setdefault(t or "", i) != i]
 
 
 def shingle_sets(k):
@@ -309,25 +317,57 @@ def test_segmentations_round_trip_and_are_distinct(docs, empty):
     assert sampled_pieces.sampled_segmentations(empty, PIECES).count() == 0
 
 
-def test_samples_follow_the_probabilities():
-    pieces, rng, n = sampled_pieces.Pieces(PIECES, 1.0), np.random.default_rng(0), 6000
-    own = [pieces[w] for w in pieces.split("hello at")]
-    first, second, p = Counter(), Counter(), {}
-    for _ in range(n):
-        a, b = sampled_pieces.sampled(own, 2, rng)
+def all_segmentations(text):
+    """Probability of each segmentation, as ids."""
+    model = sampled_pieces.Pieces(PIECES, 1.0)
+    names, first = {v: k for k, v in model.text.items()}, max(model.byte.values()) + 1
+    marked, out = "▁" + text.replace(" ", "▁"), {}
+
+    def walk(at, ids, weight):
+        if at == len(marked):
+            out[np.array(ids, "<u4").tobytes()] = weight
+        for end in range(at + 1, len(marked) + 1):
+            x = names.get(marked[at:end])
+            if x is not None and x >= first and "▁" not in marked[at + 1 : end]:
+                walk(end, [*ids, x], weight / (x - first + 10))
+
+    walk(0, [], 1.0)
+    return {k: w / sum(out.values()) for k, w in out.items()}
+
+
+@pytest.mark.parametrize("ahead", [4, 1])
+def test_samples_follow_the_probabilities(ahead, monkeypatch):
+    monkeypatch.setattr(sampled_pieces, "AHEAD", ahead)
+    pieces, n, p = sampled_pieces.Pieces(PIECES, 1.0), 6000, all_segmentations("hello at")
+    first, second, included = Counter(), Counter(), Counter()
+    found = sampled_pieces.sampled(pieces, ["hello at"] * n, [xxhash.xxh3_64_intdigest(str(i)) for i in range(n)], 2)
+    for a, b in found:
         first[a[0]] += 1
         second[b[0]] += 1
-        p[a[0]], p[b[0]] = math.exp(a[1]), math.exp(b[1])
-        assert a[2] >= b[2]
+        assert a[2] >= b[2] and a[0] != b[0]
+        for ids, log, _, inclusion in (a, b):
+            assert abs(math.exp(log) - p[ids]) < 1e-9
+            included[ids] += math.exp(log - inclusion)
     for x, q in p.items():
         assert abs(first[x] / n - q) < 0.03
-        assert abs(second[x] / n - sum(p[y] * q / (1 - p[y]) for y in p if y != x)) < 0.03
+        assert abs(second[x] / n - sum(r * q / (1 - r) for y, r in p.items() if y != x)) < 0.03
+        # Weighted by its inclusion score each sample stands for its probability: the estimate has no bias.
+        assert abs(included[x] / n - q) < 0.05
+    alone = [sampled_pieces.sampled(pieces, ["hello at"], [xxhash.xxh3_64_intdigest(str(i))], 2)[0] for i in range(20)]
+    assert alone == found[:20]
+
+
+def test_all_segmentations_come_out_once():
+    pieces, p = sampled_pieces.Pieces(PIECES, 1.0), all_segmentations("at a")
+    for key in range(30):
+        ids = [x[0] for x in sampled_pieces.sampled(pieces, ["at a"], [key], 1000)[0]]
+        assert len(ids) == len(set(ids)) == len(p) and set(ids) == set(p)
 
 
 def test_long_words_keep_their_lattice():
-    pieces, rng = sampled_pieces.Pieces(PIECES, 1.0), np.random.default_rng(0)
-    for text in ("ab" * 3000, "é" * 500, "x▁y ▁", "\x00퟿"):
-        for ids, log, *_ in sampled_pieces.sampled([pieces[w] for w in pieces.split(text)], 2, rng):
+    pieces = sampled_pieces.Pieces(PIECES, 1.0)
+    for text in ("ab" * 3000, "é" * 500, "x▁y ▁", "\x00퟿", "日本語 𓀀𓀁 x", ""):
+        for ids, log, *_ in sampled_pieces.sampled(pieces, [text], [7], 2)[0]:
             assert pieces.decode(ids) == text and math.isfinite(log)
 
 
