@@ -7,10 +7,14 @@ Texts are cut at anchors: of the hashes of all `gram`-byte strings within each w
 (leftmost of equals) is the window's anchor. Equal windows have equal anchors at the same place, so that they meet under
 the anchor's hash. Under each hash the suffixes that start at the anchors, and the reversed prefixes that end there, are
 sorted; two windows are equal if both parts are.
+
+The anchors of a very common hash are sorted in parts first: what repeats within a part goes, and of equal windows one
+stays. If many stay, they are told apart by the bytes around the anchor and sorted in parts again, and so on.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -19,12 +23,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, text_of, written
+from .common import as_row, drop_written, slot, slots_of, text_of, written
+from .exact_dedup import copies
 from .shingles import mixed
 
-#: Anchors of one hash beyond which its windows are compared by joins; anchors sorted together, about; bytes hashed at a time.
+#: Anchors of one hash beyond which they are judged in parts first; anchors sorted together, about; bytes hashed at a time.
 HOT, TOGETHER, SEGMENT = 2000, 16_000, 1 << 22
-SLOT_BITS = 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -136,20 +140,23 @@ def bounded_suffix_sort(rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray
     return order, prefix
 
 
-def repeated_windows(batch: pd.DataFrame, length: int, gram: int) -> pd.DataFrame:
-    """The bytes to remove that one anchor knows of: rows with key, _id, place, first, last and bytes.
+def judged(batch: pd.DataFrame, length: int, survivors: bool = False) -> tuple[pd.DataFrame, pd.DataFrame | None]:
+    """Of rows with key, _id, place, first, last and bytes: the bytes to remove, merged for each _id, and what stays.
 
-    bytes are those of all windows of the anchor. All windows of an anchor overlap, so that the repeated ones cover one
-    stretch of bytes.
+    A row is an anchor with the windows that start from first to last; bytes are those of all of them. All windows of an
+    anchor overlap, so that the repeated ones cover one stretch of bytes. A window goes if an earlier row of the same
+    key has an equal one. What stays are the rows with the windows that don't go: of equal windows the first is among
+    them, so that later rows can be held against what stays alone.
     """
-    batch = batch.sort_values(["key", "_id", "place"], ignore_index=True)
+    batch = batch.sort_values(["key", "_id", "place", "first"], ignore_index=True)
     key, place = batch["key"].to_numpy(), batch["place"].to_numpy()
     near, far = place - batch["last"].to_numpy(), place - batch["first"].to_numpy()  # smallest and largest distance of a window's start
-    n, span = len(batch), length - gram
-    right, left = np.zeros((n, length), np.uint8), np.zeros((n, span), np.uint8)
-    for i, (data, back) in enumerate(zip(batch["bytes"], far, strict=True)):
+    n = len(batch)
+    span = int(far.max()) if n else 0
+    right, left = np.zeros((n, length), np.uint8), np.zeros((n, max(1, span)), np.uint8)
+    for i, (data, back) in enumerate(zip(batch["bytes"], far.tolist(), strict=True)):
         x = np.frombuffer(data, np.uint8)
-        right[i, : len(x) - back] = x[back:]
+        right[i, : len(x) - back] = x[back : back + length]
         left[i, :back] = x[:back][::-1]
     group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])) if n else np.empty(0, np.int64)
     classes = []
@@ -157,10 +164,11 @@ def repeated_windows(batch: pd.DataFrame, length: int, gram: int) -> pd.DataFram
         order, prefix = bounded_suffix_sort(rows, group)
         classes.append((order, prefix, np.concatenate([[True], group[1:] != group[:-1]])))
     most, least = np.full(n, -1, np.int64), np.full(n, span + 1, np.int64)
+    high, low = most.copy(), least.copy()
     number = np.empty((2, n), np.int64)
     for d in range(span + 1):
         valid = np.flatnonzero((near <= d) & (d <= far))
-        if len(valid) < 2:
+        if not len(valid):
             continue
         for side, need in ((0, length - d), (1, d)):
             order, prefix, starts = classes[side]
@@ -168,11 +176,57 @@ def repeated_windows(batch: pd.DataFrame, length: int, gram: int) -> pd.DataFram
         same = number[0, valid] * (n + 2) + number[1, valid]
         # Rows are in the order of id and place, so that of equal windows the first row stays.
         at = np.argsort(same, kind="stable")
-        again = valid[at[1:][same[at[1:]] == same[at[:-1]]]]
-        most[again] = np.maximum(most[again], d)
-        least[again] = np.minimum(least[again], d)
+        first = np.concatenate([[True], same[at[1:]] != same[at[:-1]]])
+        again, stay = valid[at[~first]], valid[at[first]]
+        most[again], least[again] = np.maximum(most[again], d), np.minimum(least[again], d)
+        high[stay], low[stay] = np.maximum(high[stay], d), np.minimum(low[stay], d)
     hit = np.flatnonzero(most >= 0)
-    return pd.DataFrame({"_id": batch["_id"].to_numpy()[hit], "start": place[hit] - most[hit], "end": place[hit] - least[hit] + length})
+    found: dict = {}
+    for doc, start, end in zip(batch["_id"].to_numpy()[hit].tolist(), (place[hit] - most[hit]).tolist(), (place[hit] - least[hit] + length).tolist(), strict=True):
+        found.setdefault(doc, ([], []))[0].append(start)
+        found[doc][1].append(end)
+    merged = {doc: merged_spans(*x) for doc, x in found.items()}
+    lists = lambda k: pd.Series([[x[k] for x in own] for own in merged.values()], dtype=object)
+    spans = pd.DataFrame({"_id": pd.Series(list(merged), dtype=batch["_id"].dtype), "starts": lists(0), "ends": lists(1)})
+    if not survivors:
+        return spans, None
+    live = np.flatnonzero(high >= 0)
+    left_over = batch.iloc[live].copy()
+    first, last = place[live] - high[live], place[live] - low[live]
+    offset = first - left_over["first"].to_numpy()
+    left_over["bytes"] = [x[o : o + m] for x, o, m in zip(left_over["bytes"], offset.tolist(), (last - first + length).tolist(), strict=True)]
+    left_over["first"], left_over["last"] = first, last
+    return spans, left_over
+
+
+def narrowed(batch: pd.DataFrame, length: int) -> pd.DataFrame:
+    """Rows of a hot key under longer keys, each with some of their windows.
+
+    All rows of a key have the `before` bytes ahead of the anchor's start and the `behind` bytes from there on in common. A
+    window that reaches far ahead of the anchor holds the next bytes there, and one that doesn't holds the next bytes
+    behind: equal windows agree in them, so that these bytes go into the key. Each step halves what a key leaves open,
+    until a key stands for one window.
+    """
+    import xxhash
+
+    out = []
+    for row in batch.itertuples(index=False):
+        middle = (row.before + length - row.behind) // 2
+        if length - row.behind <= row.before:
+            out.append(tuple(row))
+            continue
+        back = row.place - row.first
+        if back > middle:
+            last = min(row.last, row.place - middle - 1)
+            more = row.bytes[back - middle - 1 : back - row.before]
+            key = xxhash.xxh3_64_intdigest(b"<%d " % row.key + more) - (1 << 63)
+            out.append((key, row[1], row.place, row.first, last, row.bytes[: last - row.first + length], middle + 1, row.behind, *row[8:]))
+        if row.place - row.last <= middle:
+            first = max(row.first, row.place - middle)
+            more = row.bytes[back + row.behind : back + length - middle]
+            key = xxhash.xxh3_64_intdigest(b">%d " % row.key + more) - (1 << 63)
+            out.append((key, row[1], row.place, first, row.last, row.bytes[first - row.first :], row.before, length - middle, *row[8:]))
+    return pd.DataFrame(out, columns=batch.columns)
 
 
 def merged_spans(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
@@ -186,166 +240,184 @@ def merged_spans(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows (_id, ...) with _of, the id, and _id, a key that different texts never share.
+
+    Where no id is repeated that is the id itself; else the place of (id, text) among all such pairs, in order. A null id has a null key.
+    """
+    docs = docs.withColumn("_of", F.col("_id"))
+    if docs.where(F.col("_id").isNotNull()).groupBy("_id").agg(F.count("*").alias("_n")).where("_n > 1").isEmpty():
+        return docs
+    pair = docs.where(F.col("_id").isNotNull()).select(F.col("_of").alias("_o"), F.md5("_text").alias("_m")).distinct()
+    pair = written(pair.orderBy("_o", "_m").withColumn("_key", F.monotonically_increasing_id()))
+    return docs.join(pair, (F.col("_of") == F.col("_o")) & (F.md5("_text") == F.col("_m")), "left").withColumn("_id", F.col("_key")).drop("_o", "_m", "_key")
+
+
 def repeat_spans(docs: DataFrame, length: int = 100) -> DataFrame:
-    """_id and the stretches to remove (starts, ends), of the rows (_id, _text) that have any.
+    """_id and the stretches to remove (starts, ends; an end may lie beyond the text), of the rows (_id, _text) that have any.
 
-    Rows whose whole text an earlier row has are not compared any further: they go as a whole.
+    Rows with one _id have one text. Rows whose whole text an earlier row has (bytes compared) go as a whole and are not
+    compared any further.
     """
     gram = max(1, length * 32 // 100)
     kind = docs.schema["_id"].dataType.simpleString()
+    docs = docs.where(F.col("_id").isNotNull() & (F.octet_length("_text") >= length)).select("_id", "_text")
+    whole = copies(docs)
+    docs = without(docs, whole)
+    found = f"key long, _id {kind}, place long, first long, last long, bytes binary"
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
         powers = Powers()
         for batch in batches:
-            texts = [t.encode() for t in batch.pop("_text")]
-            hashes = [xxhash.xxh3_128_intdigest(t) for t in texts]
-            batch["size"] = [len(t) for t in texts]
-            batch["h1"], batch["h2"] = [(h >> 64) - (1 << 63) for h in hashes], [(h & ((1 << 64) - 1)) - (1 << 63) for h in hashes]
-            yield batch.assign(keys=[anchors(np.frombuffer(t, np.uint8), length, gram, powers)[0] for t in texts])
+            texts = batch.pop("_text")
+            yield batch.assign(keys=[anchors(np.frombuffer(t.encode(), np.uint8), length, gram, powers)[0] for t in texts])
 
-    base = written(docs.mapInPandas(keys, f"_id {kind}, size long, h1 long, h2 long, keys array<long>").where(F.col("size") >= length))
-    sets = base.groupBy(F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).agg(F.min("_id").alias("_first"), F.count("*").alias("_m")).where("_m > 1")
-    copies = base.join(sets, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))).where("_id <> _first").select("_id", "size")
+    base = written(docs.mapInPandas(keys, f"_id {kind}, keys array<long>"))
 
-    # Anchors that stand more than once, copies left out.
+    # Anchors that stand more than once; the counts are a table, so that the join may split a hot key's rows.
     rows = base.select("_id", F.explode("keys").alias("key"))
-    counted = lambda df: df.groupBy(F.col("key").alias("_k")).agg(F.count("*").alias("_n")).where("_n > 1")
-    rows = rows.join(counted(rows), F.col("key") == F.col("_k")).select("_id", "key")
-    rows = written(rows.join(copies.select(F.col("_id").alias("_copy")), F.col("_id") == F.col("_copy"), "left_anti"))
-    rows_n = rows.join(counted(rows), F.col("key") == F.col("_k")).select("_id", "key", (F.col("_n") > HOT).alias("hot"))
-    wanted = rows_n.distinct().groupBy(F.col("_id").alias("_want")).agg(
-        F.collect_list(F.when(~F.col("hot"), F.col("key"))).alias("some"), F.collect_list(F.when(F.col("hot"), F.col("key"))).alias("hot")
+    several = written(rows.groupBy(F.col("key").alias("_k")).agg(F.count("*").alias("_n")).where("_n > 1").select("_k", "_n", (F.col("_n") > HOT).alias("_hot")))
+    total = several.agg(F.sum("_n")).first()[0] or 0
+    wanted = rows.join(several, F.col("key") == F.col("_k")).groupBy(F.col("_id").alias("_want")).agg(
+        F.collect_list(F.when(~F.col("_hot"), F.col("key"))).alias("some"), F.collect_list(F.when(F.col("_hot"), F.col("key"))).alias("hot")
     )
     wanted = written(wanted)
 
     # Their bytes; slots keep most other texts out before the shuffle.
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << SLOT_BITS)).cast("int")
-    slots = wanted.select(slot("_want").alias("_slot")).distinct()
-    near = docs.join(F.broadcast(slots), slot("_id") == F.col("_slot"), "left_semi").dropDuplicates(["_id"]).join(wanted, F.col("_id") == F.col("_want"))
+    near = docs.join(slots_of(wanted, "_want"), slot("_id") == F.col("_slot"), "left_semi").join(wanted, F.col("_id") == F.col("_want")).dropDuplicates(["_id"])
 
     def opened(which: str):
-        def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            import xxhash
+        """Rows of judged(); those of hot keys as the rows that stay within some of a task's texts, and the stretches found there."""
 
-            powers, names = Powers(), [*(["key"] if which == "some" else ["c1", "c2"]), "_id", "place", "first", "last", "bytes"]
+        def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            powers, out = Powers(), []
+            ready = lambda: pd.DataFrame(out, columns=["key", "_id", "place", "first", "last", "bytes"])
             for batch in batches:
-                out: list[tuple] = []
                 for doc, text, own in zip(batch["_id"], batch["_text"], batch[which], strict=True):
                     data = text.encode()
-                    found = anchors(np.frombuffer(data, np.uint8), length, gram, powers)
-                    for i in np.flatnonzero(np.isin(found[0], np.asarray(own, dtype=np.int64))):
-                        k, place, first, last = (int(x[i]) for x in found)
-                        around = data[first : last + length]
-                        if which == "some":
-                            out.append((k, doc, place, first, last, around))
-                        else:
-                            h = xxhash.xxh3_128_intdigest(b"%d %d " % (place - first, last - place) + around)
-                            out.append(((h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63), doc, place, first, last, around))
-                    if len(out) > 50_000:
-                        yield pd.DataFrame(out, columns=names)
-                        out = []
-                yield pd.DataFrame(out, columns=names)
+                    hash_, place, first, last = anchors(np.frombuffer(data, np.uint8), length, gram, powers)
+                    at = np.flatnonzero(np.isin(hash_, np.asarray(own, dtype=np.int64)))
+                    for k, p, f, x in zip(hash_[at].tolist(), place[at].tolist(), first[at].tolist(), last[at].tolist(), strict=True):
+                        out.append((k, doc, p, f, x, data[f : x + length]))
+                        if len(out) >= TOGETHER:
+                            yield from two_kinds(ready()) if which == "hot" else [ready()]
+                            out = []
+                if which == "some":
+                    yield ready()
+                    out = []
+            if out:
+                yield from two_kinds(ready())
 
         return rows
 
-    some = near.where(F.size("some") > 0).select("_id", "_text", "some").mapInPandas(opened("some"), f"key long, _id {kind}, place long, first long, last long, bytes binary")
-    buckets = max(1, rows.count() // TOGETHER)
-    spans = some.groupBy(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("_bucket")).applyInPandas(
-        lambda batch: repeated_windows(batch, length, gram), f"_id {kind}, start long, end long"
-    )
-    # Very common anchors: of those with equal bytes around them the first is opened, the others go with all their
-    # windows; of equal windows of the opened ones the first stays. Both are aggregates that tasks combine.
-    hot = near.where(F.size("hot") > 0).select("_id", "_text", "hot").mapInPandas(
-        opened("hot"), f"c1 long, c2 long, _id {kind}, place long, first long, last long, bytes binary"
-    )
-    around = hot.groupBy("c1", "c2").agg(F.min(F.struct("_id", "place", "first", "last")).alias("r"), F.min("bytes").alias("bytes"))
-    lone = lambda *c: [*(F.col(x) for x in c), F.lit(1).alias("stays")]
-    marked = hot.select("_id", "place", "first", "last", F.lit(0).alias("stays")).unionByName(around.select(*lone("r._id", "r.place", "r.first", "r.last")))
-    other = marked.groupBy("_id", "place").agg(F.max("stays").alias("stays"), F.min("first").alias("start"), (F.max("last") + length).alias("end"))
-    other = other.where("stays = 0").select("_id", "start", "end")
-
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
-        for batch in batches:
-            out = []
-            for doc, place, first, data in zip(batch["_id"], batch["place"], batch["first"], batch["bytes"], strict=True):
-                for s in range(len(data) - length + 1):
-                    h = xxhash.xxh3_128_intdigest(data[s : s + length])
-                    out.append(((h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63), doc, place, first + s))
-            yield pd.DataFrame(out, columns=["w1", "w2", "_id", "place", "s"])
-
-    each = around.select("r._id", "r.place", "r.first", "bytes").mapInPandas(windows, f"w1 long, w2 long, _id {kind}, place long, s long")
-    stays = each.groupBy("w1", "w2").agg(F.min(F.struct("_id", "s", "place")).alias("r"))
-    marked = each.select("_id", "place", "s", F.lit(0).alias("stays")).unionByName(stays.select(*lone("r._id", "r.place", "r.s")))
-    again = marked.groupBy("_id", "place", "s").agg(F.max("stays").alias("stays")).where("stays = 0")
-    again = again.groupBy("_id", "place").agg(F.min("s").alias("start"), (F.max("s") + length).alias("end")).drop("place").unionByName(other)
-    whole = copies.select("_id", F.lit(0).cast("long").alias("start"), F.col("size").alias("end"))
-    out = written(spans.unionByName(again).unionByName(whole).groupBy("_id").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")))
-    drop_written(base, rows, wanted)
+    def two_kinds(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        spans, stay = judged(batch, length, survivors=True)
+        none = pd.Series([[]] * len(stay), index=stay.index, dtype=object)
+        stay = stay.assign(before=0, behind=gram) if "before" not in stay else stay
+        yield stay.assign(starts=none, ends=none)[["key", "_id", "place", "first", "last", "bytes", "before", "behind", "starts", "ends"]]
+        yield spans.assign(key=0, place=0, first=0, last=0, bytes=None, before=0, behind=0)[["key", "_id", "place", "first", "last", "bytes", "before", "behind", "starts", "ends"]]
+
+    mixed_kind = f"{found}, before int, behind int, starts array<long>, ends array<long>"
+    some = near.where(F.size("some") > 0).select("_id", "_text", "some").mapInPandas(opened("some"), found)
+    hot = written(near.where(F.size("hot") > 0).select("_id", "_text", "hot").mapInPandas(opened("hot"), mixed_kind))
+    parts, tables = [hot.where("bytes IS NULL").select("_id", "starts", "ends")], [hot]
+    pending = hot.where("bytes IS NOT NULL").drop("starts", "ends")
+    while True:
+        # What stays of hot keys: the few go on to the others, the still hot ones get longer keys and are judged in salted parts.
+        counts = written(pending.groupBy(F.col("key").alias("_k")).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT))
+        left = counts.agg(F.sum("_n")).first()[0] or 0
+        tables.append(counts)
+        if not left:
+            some = some.unionByName(pending.drop("before", "behind"))
+            break
+        joined = pending.join(counts, F.col("key") == F.col("_k"), "left")
+        some = some.unionByName(joined.where("_n IS NULL").select(*(c.split()[0] for c in found.split(", "))))
+        longer = joined.where("_n IS NOT NULL").withColumn("_salt", F.pmod(F.xxhash64("_id", "place"), F.ceil(F.col("_n") / TOGETHER)).cast("int"))
+        columns = ["key", "_id", "place", "first", "last", "bytes", "before", "behind", "_salt"]
+        longer = longer.select(*columns).mapInPandas(
+            lambda batches: (narrowed(b, length) for b in batches), f"{found}, before int, behind int, _salt int"
+        )
+        bucket = F.pmod(F.xxhash64("key", "_salt"), F.lit(max(1, 2 * left // TOGETHER))).alias("_bucket")
+        hot = written(longer.groupBy(bucket).applyInPandas(lambda batch: pd.concat([x for x in two_kinds(batch) if len(x)]), mixed_kind))
+        tables.append(hot)
+        parts.append(hot.where("bytes IS NULL").select("_id", "starts", "ends"))
+        pending = hot.where("bytes IS NOT NULL").drop("starts", "ends")
+
+    buckets = max(1, total // TOGETHER)
+    parts.append(some.groupBy(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("_bucket")).applyInPandas(
+        lambda batch: judged(batch, length)[0], f"_id {kind}, starts array<long>, ends array<long>"
+    ))
+    parts.append(whole.select("_id", F.array(F.lit(0).cast("long")).alias("starts"), F.array(F.lit(1 << 62)).alias("ends")))
+    spans = functools.reduce(DataFrame.unionByName, parts)
+    out = written(spans.groupBy("_id").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends")))
+    drop_written(base, several, wanted, whole, *tables)
     return out
 
 
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """The rows (_id, _text, ...) that have spans, with starts and ends; slots keep most other texts out before the shuffle."""
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << SLOT_BITS)).cast("int")
-    slots = spans.select(slot("_id").alias("_slot")).distinct()
-    own = spans.select(F.col("_id").alias("_of"), "starts", "ends")
-    return docs.join(F.broadcast(slots), slot("_id") == F.col("_slot"), "left_semi").join(own, F.col("_id") == F.col("_of"), "left").drop("_of")
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose _id is not in the other table; only those that share a slot with one of its ids are shuffled."""
+    slots, own = slots_of(ids, "_id"), ids.select(F.col("_id").alias("_not"))
+    near = docs.join(slots, slot("_id") == F.col("_slot"), "left_semi").join(own, F.col("_id") == F.col("_not"), "left_anti")
+    return docs.join(slots, slot("_id") == F.col("_slot"), "left_anti").unionByName(near)
 
 
-def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """The rows whose slot no row with spans has: surely none of theirs."""
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << SLOT_BITS)).cast("int")
-    slots = spans.select(slot("_id").alias("_slot")).distinct()
-    return docs.join(F.broadcast(slots), slot("_id") == F.col("_slot"), "left_anti")
+def with_spans(docs: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows (_id, ...) that may have spans, with starts and ends, and those whose slot no row with spans has."""
+    slots, own = slots_of(spans, "_id"), spans.select(F.col("_id").alias("_for"), "starts", "ends")
+    near = docs.join(slots, slot("_id") == F.col("_slot"), "left_semi").join(own, F.col("_id") == F.col("_for"), "left").drop("_for")
+    return near, docs.join(slots, slot("_id") == F.col("_slot"), "left_anti")
 
 
 def repeat_report(df: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans and kept_sha256 of the bytes that stay.
 
-    Null text is empty; texts shorter than `length` bytes keep all bytes. Rows that repeat an id are judged by one of
-    them, all alike if their texts are. A null id is never removed. Other columns are ignored. An empty table gives an
+    Null text is empty; texts shorter than `length` bytes keep all bytes. Rows that repeat an id with its text are one
+    document and get equal results; with another text they are documents of their own, in the order of a hash. A row
+    with a null id is no other row's earlier one and keeps all bytes. Other columns are ignored. An empty table gives an
     empty result. Texts of any length are hashed in segments.
     """
-    docs = df.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
-    spans = repeat_spans(docs.where(F.col("_id").isNotNull()), length)
-    kind = df.schema[id_col].dataType.simpleString()
+    docs = numbered(df.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")))
+    spans = repeat_spans(docs, length)
+    # Ids pass by as text: pandas would round integers beside a null.
+    kind = df.schema[id_col].dataType
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for text, starts, ends in zip(batch["_text"], batch["starts"], batch["ends"], strict=True):
-                data, parts = text.encode(), merged_spans(list(starts), list(ends)) if starts is not None else []
+            for doc, text, starts, ends in zip(batch["_of"], batch["_text"], batch["starts"], batch["ends"], strict=True):
+                data, parts = text.encode(), []
+                if starts is not None:
+                    parts = merged_spans(list(starts), [min(e, len(data)) for e in ends]) if (data := text.encode()) else []
                 digest, at = hashlib.sha256(), 0
                 for a, b in [*parts, (len(data), len(data))]:
                     digest.update(data[at:a])
                     at = b
-                out.append((len(data), sum(b - a for a, b in parts), len(parts), digest.hexdigest()))
-            yield pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"]).assign(_id=batch["_id"].to_numpy())[["_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]]
+                out.append((doc, len(data), sum(b - a for a, b in parts), len(parts), digest.hexdigest()))
+            yield pd.DataFrame(out, columns=["_of", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    changed = with_spans(docs, spans).mapInPandas(cut, f"_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    near, same = with_spans(docs, spans)
+    near = near.select(F.col("_of").cast("string").alias("_of"), "_text", "starts", "ends")
+    near = near.mapInPandas(cut, "_of string, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumn("_of", F.col("_of").cast(kind))
     zero = F.lit(0).cast("long")
-    same = without_spans(docs, spans).select("_id", F.octet_length("_text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("_text", 256).alias("kept_sha256"))
-    return changed.unionByName(same).withColumnRenamed("_id", id_col)
+    same = same.select("_of", F.octet_length("_text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("_text", 256).alias("kept_sha256"))
+    return near.unionByName(same).withColumnRenamed("_of", id_col)
 
 
-def drop_repeats(df: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeats(df: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", keep_emptied: bool = True) -> DataFrame:
     """The table with each text's repeated strings removed, in whole characters: a character only partly repeated stays.
 
-    Columns, null texts and rows without repeats stay as they are.
+    All columns stay as they are, whatever their names, and so do null texts and rows without repeats or without an id.
+    Rows of which nothing is left go where keep_emptied is false; texts that were empty stay.
     """
-    docs = df.withColumns({"_id": F.col(id_col), "_text": text_of(text_col)})
-    spans = repeat_spans(docs.where(F.col("_id").isNotNull()).select("_id", "_text"), length)
+    docs = numbered(as_row(df, id_col, text_col))
+    spans = repeat_spans(docs, length)
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
         out = []
         for text, a, b in zip(texts, starts, ends, strict=True):
             data, kept, at = text.encode(), [], 0
-            for start, end in merged_spans(list(a), list(b)):
+            for start, end in merged_spans(list(a), [min(e, len(data)) for e in b]):
                 while start < end and data[start] & 0xC0 == 0x80:
                     start += 1
                 while end < len(data) and end > start and data[end] & 0xC0 == 0x80:
@@ -353,11 +425,12 @@ def drop_repeats(df: DataFrame, length: int = 100, id_col: str = "doc_id", text_
                 kept.append(data[at:start])
                 at = end
             out.append((b"".join(kept) + data[at:]).decode())
-        return pd.Series(out)
-
-    names = [F.col(f"`{c}`") if c != text_col else F.col("_new").alias(text_col) for c in df.columns]
-    changed = with_spans(docs, spans)
-    empty = F.array().cast("array<long>")
-    changed = changed.withColumn("_cut", cut("_text", F.coalesce("starts", empty), F.coalesce("ends", empty)))
-    changed = changed.withColumn("_new", F.when(F.col("starts").isNull(), F.col(text_col)).otherwise(F.col("_cut")))
-    return changed.select(*names).unionByName(without_spans(docs, spans).select(*df.columns))
+        return pd.Series(out, dtype=object)
+
+    near, same = with_spans(docs, spans)
+    whole = near.where("starts IS NULL").select("_row")
+    cuts = near.where("starts IS NOT NULL").select("_row", cut("_text", "starts", "ends").alias("_cut"))
+    if not keep_emptied:
+        cuts = cuts.where(F.length("_cut") > 0)
+    cuts = cuts.select(F.col("_row").withField(f"`{text_col}`", F.col("_cut")).alias("_row"))
+    return same.select("_row").unionByName(whole).unionByName(cuts).select("_row.*")
