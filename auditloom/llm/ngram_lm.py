@@ -85,11 +85,11 @@ def backoff_scores(df: DataFrame, order: int = 2, factor: float = 0.4, leave_out
     """One row per input row: id, n_words, score (sum of logarithms) and mean_score; 0 words have score 0 and no mean.
 
     Words are what ASCII white space parts, with A-Z lower-cased. Counts are over all rows, repeated ones as often as they
-    stand. Null text is empty. Two n-grams have one hash with a chance of 2**-64. Other columns are ignored; an empty
+    stand. Null text is empty. Two n-grams have one hash with a chance of 2**-64. Rows without an id, or that repeat one, are scored like all others. Other columns are ignored; an empty
     table gives an empty result.
     """
-    kind = df.schema[id_col].dataType.simpleString()
-    docs = df.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
+    # The id goes as text, as pandas would round integers beside a null.
+    docs = df.select(F.col(id_col).cast("string").alias("_id"), text_of(text_col).alias("_text"))
     chars = docs.agg(F.sum(F.length("_text"))).first()[0] or 0
     blocks = int(chars // BLOCK_CHARS) + 1
     # Very long texts don't crowd one block: each row goes to a block by its id and text.
@@ -124,5 +124,5 @@ def backoff_scores(df: DataFrame, order: int = 2, factor: float = 0.4, leave_out
         rows = [backoff(p, total, hashes, known, factor, leave_out) for p in per]
         return pd.DataFrame({"_id": texts["_id"], "n_words": [r[0] for r in rows], "score": [r[1] for r in rows]})
 
-    out = dealt.groupBy("block").cogroup(tables.groupBy("block")).applyInPandas(scored, f"_id {kind}, n_words long, score double")
-    return out.select(F.col("_id").alias(id_col), "n_words", "score", F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")).alias("mean_score"))
+    out = dealt.groupBy("block").cogroup(tables.groupBy("block")).applyInPandas(scored, "_id string, n_words long, score double")
+    return out.select(F.col("_id").cast(df.schema[id_col].dataType).alias(id_col), "n_words", "score", F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")).alias("mean_score"))

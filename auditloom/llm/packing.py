@@ -39,7 +39,7 @@ class Encoder(dict):
     which is several times faster than a call of the tokenizer for each; others go to the tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 120_000):
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -116,9 +116,10 @@ def token_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
         out = pd.DataFrame(rows, columns=["_id", "piece", "start", "ids"])
         return out.assign(length=[len(x) // 4 for x in out["ids"]])[["_id", "piece", "start", "length", "ids"]]
 
-    kind = df.schema[id_col].dataType.simpleString()
-    docs = df.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
-    return docs.mapInPandas(cut, f"_id {kind}, piece int, start long, length long, ids binary")
+    # The id goes as text, as pandas would round integers beside a null.
+    docs = df.select(F.col(id_col).cast("string").alias("_id"), text_of(text_col).alias("_text"))
+    out = docs.mapInPandas(cut, "_id string, piece int, start long, length long, ids binary")
+    return out.withColumn("_id", F.col("_id").cast(df.schema[id_col].dataType))
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -171,16 +172,19 @@ def pack(pieces: DataFrame, capacity: int = 2048, per_shard: int = 16_384, n_ite
         place, offset = sum_of_squares(batch["length"].to_numpy(), capacity)
         return batch.assign(sequence_id=(batch["_shard"].to_numpy(dtype="int64") << 32) + place, offset=offset)
 
+    kind, pieces = pieces.schema["_id"].dataType, pieces.withColumn("_id", F.col("_id").cast("string"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
     dealt = pieces.withColumn("_shard", F.pmod(F.xxhash64("_id", "piece"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("_shard").applyInPandas(packed, f"{kinds}, _shard int, sequence_id long, offset long").drop("_shard")
+    out = dealt.groupBy("_shard").applyInPandas(packed, f"{kinds}, _shard int, sequence_id long, offset long").drop("_shard")
+    return out.withColumn("_id", F.col("_id").cast(kind))
 
 
 def pack_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """Where each piece of each document goes: id, piece, start, length, ids_crc32, sequence_id and offset.
 
     ids_crc32 is the CRC-32 of the piece's ids; the ids themselves are in token_pieces(), whose rows it identifies. An
-    empty table gives an empty result. Other columns are ignored.
+    empty table gives an empty result. Rows without an id, or that repeat one, are packed like all others. Other columns
+    are ignored.
     """
     pieces = token_pieces(df, tokenizer, id_col, text_col, capacity, end_id)
     pieces = pieces.select("_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
