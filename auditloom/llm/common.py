@@ -85,3 +85,27 @@ def own_name(df: DataFrame, name: str) -> str:
 def as_row(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """_id, _text (null as empty) and _row, the whole row as a struct: so no name of the table's own can clash with a helper column."""
     return df.select(F.col(f"`{id_col}`").alias("_id"), text_of(F.col(f"`{text_col}`")).alias("_text"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"))
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose _id is not in the other table; only those that share a slot with one of its ids are shuffled."""
+    slots, own = slots_of(ids, "_id"), ids.select(F.col("_id").alias("_not"))
+    near = docs.join(slots, slot("_id") == F.col("_slot"), "left_semi").join(own, F.col("_id") == F.col("_not"), "left_anti")
+    return docs.join(slots, slot("_id") == F.col("_slot"), "left_anti").unionByName(near)
+
+
+def numbered(docs: DataFrame, nulls: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """The rows (_id, _text, ...) with _of, the id, and _id, a key that different texts never share.
+
+    Where ids are integers and none is repeated that is the id itself; else the place of (id, text) among all such pairs, in
+    order, and a second table has each key (_key) and its id (_o). A null id has a null key or, with `nulls`, one after all others.
+    """
+    docs, named = docs.withColumn("_of", F.col("_id")), F.col("_id").isNotNull()
+    whole = docs.schema["_id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    many = docs.groupBy("_id").agg(F.count("*").alias("_n"))
+    if whole and many.where((F.col("_n") > 1) & named | F.lit(nulls) & ~named).isEmpty():
+        return docs, None
+    pair = docs.where(F.lit(nulls) | named).select(F.col("_of").alias("_o"), F.md5("_text").alias("_m")).distinct()
+    pair = written(pair.orderBy(F.col("_o").asc_nulls_last(), "_m").withColumn("_key", F.monotonically_increasing_id()))
+    docs = docs.join(pair, F.col("_of").eqNullSafe(F.col("_o")) & (F.md5("_text") == F.col("_m")), "left").withColumn("_id", F.col("_key"))
+    return docs.drop("_o", "_m", "_key"), pair.select("_key", "_o")

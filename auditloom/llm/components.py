@@ -31,4 +31,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         after = written(small.select("e.u", "e.v").where(F.col("u") != F.col("v")).distinct())
         drop_written(now)
         now = after
-    return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = written(now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
+    drop_written(now)
+    return out

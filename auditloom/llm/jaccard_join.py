@@ -1,8 +1,9 @@
 """N-gram Jaccard join by a token-group matrix.
 
 Documents with equal shingle sets are one node, that of the smallest id. Nodes are put into groups of similar ones; a
-group keeps the union of its tokens (the matrix of tokens and groups). A query is compared with a group's members only
-if its overlap with that union is large enough for any member to qualify.
+group keeps the union of its tokens (the matrix of tokens and groups): the rarest of them one by one, all of them as
+slots. A query opens a group only if its overlap with that union is large enough for any member to qualify; only then are
+the members' tokens read.
 
 Which queries and groups meet at all follows from the same bound: a query of n tokens that has at least o of them in a
 group's union has one of any n - o + 1 there. Only those tokens, the rarest first, are looked up. Rarity is the count of
@@ -18,12 +19,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, text_of, written
+from .common import as_row, drop_written, numbered, slot, slots_of, text_of, without, written
 from .components import components
 from .shingles import Shingler
 
-#: Buckets of the count table, parts it is summed in, and slots of the filter of documents that are compared (as a power of 2).
-SKETCH_BITS, SKETCH_PARTS, SLOT_BITS = 18, 64, 20
+#: Buckets of the count table (as a power of 2), and parts it is summed in.
+SKETCH_BITS, SKETCH_PARTS = 18, 64
 #: Nodes of a group, on average.
 GROUP_SIZE = 48
 
@@ -77,7 +78,10 @@ def token_rows(docs: DataFrame, words: int, levels: np.ndarray, ratio: tuple[int
                 out.append((n, (d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63), prefix.view(np.int64), bits_of(h) if len(prefix) else b""))
             yield batch.assign(**{c: [x[i] for x in out] for i, c in enumerate(("n", "h1", "h2", "prefix", "bits"))})
 
-    return docs.mapInPandas(rows, f"_id {docs.schema['_id'].dataType.simpleString()}, n long, h1 long, h2 long, prefix array<long>, bits binary")
+    # Ids go as text, as pandas would round integers beside a null.
+    out = docs.select(F.col("_id").cast("string").alias("_id"), F.col("_of").cast("string").alias("_of"), "_text")
+    out = out.mapInPandas(rows, "_id string, _of string, n long, h1 long, h2 long, prefix array<long>, bits binary")
+    return out.withColumns({"_id": F.col("_id").cast("long"), "_of": F.col("_of").cast("long")})
 
 
 def bits_of(h: np.ndarray) -> bytes:
@@ -87,24 +91,42 @@ def bits_of(h: np.ndarray) -> bytes:
     return np.packbits(slots).tobytes()
 
 
-def may_link(batch: pd.DataFrame, ratio: tuple[int, int]) -> np.ndarray:
+def folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """Slots of a set over `width` bytes: wider ones fall together, narrower ones stand for all they may be."""
+    if bits.shape[-1] < width:
+        return np.tile(bits, width // bits.shape[-1])
+    return np.bitwise_or.reduce(bits.reshape(*bits.shape[:-1], -1, width), axis=-2)
+
+
+def opened(batch: pd.DataFrame, ratio: tuple[int, int]) -> np.ndarray:
     """Which rows (g1, g2, side, label, n, bits) of two groups may link with one of the other side (or, of one group, with another).
 
     A slot that only one of two sets has holds a token that only this one has: its overlap is at most n less such slots.
+    Each row is a query of the other group first: its overlap with the slots of that group's union bounds that with any
+    member, and the group is opened only for the queries that reach what a link asks for. These are held against the
+    members' own slots.
     """
     low, high = ratio
     side, labels, n = batch["side"].to_numpy(), batch["label"].to_numpy(), batch["n"].to_numpy()
     bits = [np.frombuffer(x, np.uint8) for x in batch["bits"]]
-    queries = np.flatnonzero(side == 0)
-    others = queries if batch["g1"].iloc[0] == batch["g2"].iloc[0] else np.flatnonzero(side == 1)
     width = np.array([len(x) for x in bits])
+    one = batch["g1"].iloc[0] == batch["g2"].iloc[0]
+    sides = [np.flatnonzero(side == 0)] * 2 if one else [np.flatnonzero(side == 0), np.flatnonzero(side == 1)]
+    if not all(map(len, sides)):
+        return np.zeros(len(batch), dtype=bool)
+    widest = int(width.max())
+    unions = [np.bitwise_or.reduce([folded(bits[i], widest) for i in own], axis=0) for own in sides]
+    live = []
+    for own, union in zip(sides, reversed(unions), strict=True):
+        shared = [int(n[i]) - int(np.bitwise_count(folded(bits[i], width[i]) & ~folded(union, width[i])).sum()) for i in own]
+        live.append(own[high * np.array(shared) >= low * n[own]])
+    queries, others = live
     stacks = {w: (own := others[width[others] == w], np.stack([bits[i] for i in own])) for w in np.unique(width[others])}
     keep = np.zeros(len(batch), dtype=bool)
-    fold = lambda x, w: np.bitwise_or.reduce(x.reshape(*x.shape[:-1], -1, w), axis=-2)
     for q in queries:
         for w, (own, stack) in stacks.items():
             least = min(w, width[q])
-            a, b = fold(bits[q], least), fold(stack, least)
+            a, b = folded(bits[q], least), folded(stack, least)
             overlap = np.minimum(n[q] - np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64), n[own] - np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64))
             hit = (labels[own] != labels[q]) & ((low + high) * overlap >= low * (n[q] + n[own]))
             keep[q] |= hit.any()
@@ -138,11 +160,9 @@ def least_shared(large: Column, small: Column, ratio: tuple[int, int]) -> Column
 
 
 def chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """One row (_id, _text) for each of the ids; a table of bounded size keeps most other texts out before the shuffle."""
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << SLOT_BITS)).cast("int")
+    """One row (_id, _text) for each of the ids; slots keep most other texts out before the shuffle."""
     ids = ids.select(F.col("_id").alias("_want")).distinct()
-    slots = ids.select(slot("_want").alias("_slot")).distinct()
-    near = docs.join(F.broadcast(slots), slot("_id") == F.col("_slot"), "left_semi")
+    near = docs.select("_id", "_text").join(slots_of(ids, "_want"), slot("_id") == F.col("_slot"), "left_semi")
     return near.join(ids, F.col("_id") == F.col("_want"), "left_semi").dropDuplicates(["_id"])
 
 
@@ -157,8 +177,9 @@ def linked(x: np.ndarray, y: np.ndarray, ratio: tuple[int, int]) -> bool:
 def compare_groups(batch: pd.DataFrame, ratio: tuple[int, int]) -> list[tuple[int, int]]:
     """Links between two groups (or within one): rows with g1, g2, side, _id, label and tokens.
 
-    Members with one label are linked already. Of the links found here those are returned that join what isn't joined
-    yet, by earlier ones of the same two groups.
+    The matrix of the documents and the tokens of both groups' unions gives all overlaps as products, a block of tokens at a
+    time. Members with one label are linked already. Of the links found here those are returned that join what isn't
+    joined yet, by earlier ones of the same two groups.
     """
     low, high = ratio
     sets = [np.frombuffer(t, dtype=np.uint64) for t in batch["tokens"]]
@@ -168,9 +189,24 @@ def compare_groups(batch: pd.DataFrame, ratio: tuple[int, int]) -> list[tuple[in
         members = queries
     if not len(queries) or not len(members):
         return []
-    flat, sizes = np.concatenate([sets[i] for i in members]), np.array([len(sets[i]) for i in members])
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    union = np.unique(flat)
+    union = np.intersect1d(np.concatenate([sets[i] for i in queries]), np.concatenate([sets[i] for i in members]))
+    sizes = np.array([len(x) for x in sets])
+    if not len(union):
+        return []
+
+    def matrix(rows: np.ndarray, a: int, b: int) -> np.ndarray:
+        out = np.zeros((len(rows), b - a), np.float32)
+        for k, i in enumerate(rows):
+            at = np.searchsorted(union[a:b], sets[i])
+            at = at[union[a:b][np.minimum(at, b - a - 1)] == sets[i]]
+            out[k, at] = 1
+        return out
+
+    same, step = np.zeros((len(queries), len(members)), np.float64), max(1, 8_000_000 // (len(queries) + len(members)))
+    for a in range(0, len(union), step):
+        b = min(a + step, len(union))
+        left = matrix(queries, a, b)
+        same += left @ (left if members is queries else matrix(members, a, b)).T
     root = {x: x for x in labels.tolist()}
 
     def find(x: int) -> int:
@@ -179,19 +215,11 @@ def compare_groups(batch: pd.DataFrame, ratio: tuple[int, int]) -> list[tuple[in
         return x
 
     found = []
-    for q in queries:
-        own = sets[q]
-        at = np.minimum(np.searchsorted(union, own), len(union) - 1)
-        hits = union[at] == own
-        if high * int(hits.sum()) < low * len(own):
-            continue  # the group stays closed: none of its members can have enough of the query's tokens
-        where = np.minimum(np.searchsorted(own, flat), len(own) - 1)
-        same = np.add.reduceat((own[where] == flat).astype(np.int64), starts)
-        for m in np.flatnonzero(high * same >= low * (len(own) + sizes - same)):
-            a, b = find(int(labels[q])), find(int(labels[members[m]]))
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                found.append((int(ids[q]), int(ids[members[m]])))
+    for q, m in zip(*np.nonzero(high * same >= low * (sizes[queries][:, None] + sizes[members][None, :] - same)), strict=True):
+        a, b = find(int(labels[queries[q]])), find(int(labels[members[m]]))
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            found.append((int(ids[queries[q]]), int(ids[members[m]])))
     return found
 
 
@@ -199,17 +227,17 @@ def jaccard_classes(df: DataFrame, words: int = 5, ratio: tuple[int, int] = (80,
     """One row per input row: id, n_shingles and component_id, the smallest id that links reach.
 
     Two documents link when ratio[1] * intersection >= ratio[0] * union of their sets of `words`-word shingles. Null text
-    is empty; a text without words has n_shingles 0 and is linked with nothing. Rows that repeat an id are one node of
-    the graph. Ids must be integers; a row without one is no node, and its component is the smallest id with an equal set, or null. Other columns are ignored. An
-    empty table gives an empty result.
+    is empty; a text without words has n_shingles 0 and is linked with nothing. Rows that repeat an id are in one component,
+    even if their texts differ. Ids must be integers; a row without one is no node, and its component is the smallest id
+    with an equal set, or null. Other columns are ignored. An empty table gives an empty result.
     """
     low, high = ratio
-    docs = df.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text"))
+    docs, names = numbered(df.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text")))
     base = written(token_rows(docs, words, rarity_levels(docs, words), ratio))
 
     # Nodes: the smallest id of each set.
     sets = base.where("n > 0").groupBy("h1", "h2").agg(F.min("_id").alias("rep"))
-    of = base.alias("b").join(sets.alias("s"), (F.col("b.h1") == F.col("s.h1")) & (F.col("b.h2") == F.col("s.h2")), "left").select("b._id", "b.n", "s.rep")
+    of = base.alias("b").join(sets.alias("s"), (F.col("b.h1") == F.col("s.h1")) & (F.col("b.h2") == F.col("s.h2")), "left").select("b._id", "b._of", "b.n", "s.rep")
     copies = of.where("rep <> _id").select(F.col("_id").alias("_copy"))
 
     # Postings of prefix tokens that more than one node has, with the smallest node of about the same size as leader.
@@ -267,19 +295,33 @@ def jaccard_classes(df: DataFrame, words: int = 5, ratio: tuple[int, int] = (80,
     sides = meet.select("g1", "g2", side).select("g1", "g2", "e.side", "e.gid").where((F.col("side") == 0) | (F.col("g1") != F.col("g2")))
     marked = nodes.join(sides.select("gid").distinct(), "gid", "left_semi").join(base.select("_id", "n", "bits"), "_id")
     close = sides.join(marked, "gid").groupBy("g1", "g2").applyInPandas(
-        lambda batch: batch.loc[may_link(batch, ratio), ["g1", "g2", "side", "_id", "label"]], "g1 long, g2 long, side int, _id long, label long"
+        lambda batch: batch.loc[opened(batch, ratio), ["g1", "g2", "side", "_id", "label"]], "g1 long, g2 long, side int, _id long, label long"
     )
     close = written(close)
     members = written(tokens_of(chosen(docs, close.select("_id")), words).select("_id", "tokens"))
     second = close.join(members, "_id").groupBy("g1", "g2").applyInPandas(
         lambda batch: pd.DataFrame(compare_groups(batch, ratio), columns=["_id", "lead"]), "_id long, lead long"
     )
-    links = written(first.unionByName(second))
+    links = first.unionByName(second)
+    if names is not None:  # keys of one id belong together
+        least = names.groupBy("_o").agg(F.min("_key").alias("_first"))
+        own = names.join(least, "_o").where("_key <> _first").select(F.col("_key").alias("_id"), F.col("_first").alias("lead"))
+        same = own.join(of.select("_id", "rep"), "_id").select("rep", "lead").join(of.select(F.col("_id").alias("lead"), F.col("rep").alias("lead_rep")), "lead")
+        links = links.unionByName(same.where("rep IS NOT NULL AND lead_rep IS NOT NULL").select(F.col("rep").alias("_id"), F.col("lead_rep").alias("lead")))
+    links = written(links)
     graph = components(links, "_id", "lead")
-    out = of.join(graph, F.col("rep") == F.col("node"), "left").select(
-        F.col("_id").cast(df.schema[id_col].dataType).alias(id_col),
-        F.col("n").alias("n_shingles"),
-        F.coalesce("component", "rep", "_id").cast(df.schema[id_col].dataType).alias("component_id"),
-    )
-    drop_written(posts, pairs, tokens, first, nodes, matrix, meet, close, members)
+    out = of.join(graph, F.col("rep") == F.col("node"), "left").select("_of", "n", F.coalesce("component", "rep", "_id").alias("_component"))
+    if names is not None:
+        out = out.join(names, F.col("_component") == F.col("_key"), "left").withColumn("_component", F.col("_o"))
+    kind = df.schema[id_col].dataType
+    out = out.select(F.col("_of").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.col("_component").cast(kind).alias("component_id"))
+    out = written(out)
+    drop_written(base, posts, pairs, tokens, first, nodes, matrix, meet, close, members, links, graph)
     return out
+
+
+def one_of_each(df: DataFrame, words: int = 5, ratio: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of the smallest id of each component, with all their columns, whatever their names; rows without an id stay."""
+    classes = jaccard_classes(df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")), words, ratio, "_id", "_text")
+    others = written(classes.where("component_id <> _id").select("_id").distinct())
+    return without(as_row(df, id_col, text_col).select("_id", "_row"), others).select("_row.*")

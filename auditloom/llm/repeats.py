@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_row, drop_written, slot, slots_of, text_of, written
+from .common import as_row, drop_written, numbered, slot, slots_of, text_of, without, written
 from .exact_dedup import copies
 from .shingles import mixed
 
@@ -240,19 +240,6 @@ def merged_spans(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """The rows (_id, ...) with _of, the id, and _id, a key that different texts never share.
-
-    Where no id is repeated that is the id itself; else the place of (id, text) among all such pairs, in order. A null id has a null key.
-    """
-    docs = docs.withColumn("_of", F.col("_id"))
-    if docs.where(F.col("_id").isNotNull()).groupBy("_id").agg(F.count("*").alias("_n")).where("_n > 1").isEmpty():
-        return docs
-    pair = docs.where(F.col("_id").isNotNull()).select(F.col("_of").alias("_o"), F.md5("_text").alias("_m")).distinct()
-    pair = written(pair.orderBy("_o", "_m").withColumn("_key", F.monotonically_increasing_id()))
-    return docs.join(pair, (F.col("_of") == F.col("_o")) & (F.md5("_text") == F.col("_m")), "left").withColumn("_id", F.col("_key")).drop("_o", "_m", "_key")
-
-
 def repeat_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     """_id and the stretches to remove (starts, ends; an end may lie beyond the text), of the rows (_id, _text) that have any.
 
@@ -354,13 +341,6 @@ def repeat_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     return out
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose _id is not in the other table; only those that share a slot with one of its ids are shuffled."""
-    slots, own = slots_of(ids, "_id"), ids.select(F.col("_id").alias("_not"))
-    near = docs.join(slots, slot("_id") == F.col("_slot"), "left_semi").join(own, F.col("_id") == F.col("_not"), "left_anti")
-    return docs.join(slots, slot("_id") == F.col("_slot"), "left_anti").unionByName(near)
-
-
 def with_spans(docs: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows (_id, ...) that may have spans, with starts and ends, and those whose slot no row with spans has."""
     slots, own = slots_of(spans, "_id"), spans.select(F.col("_id").alias("_for"), "starts", "ends")
@@ -376,7 +356,7 @@ def repeat_report(df: DataFrame, length: int = 100, id_col: str = "doc_id", text
     with a null id is no other row's earlier one and keeps all bytes. Other columns are ignored. An empty table gives an
     empty result. Texts of any length are hashed in segments.
     """
-    docs = numbered(df.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")))
+    docs, _ = numbered(df.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")))
     spans = repeat_spans(docs, length)
     # Ids pass by as text: pandas would round integers beside a null.
     kind = df.schema[id_col].dataType
@@ -409,7 +389,7 @@ def drop_repeats(df: DataFrame, length: int = 100, id_col: str = "doc_id", text_
     All columns stay as they are, whatever their names, and so do null texts and rows without repeats or without an id.
     Rows of which nothing is left go where keep_emptied is false; texts that were empty stay.
     """
-    docs = numbered(as_row(df, id_col, text_col))
+    docs, _ = numbered(as_row(df, id_col, text_col))
     spans = repeat_spans(docs, length)
 
     @F.pandas_udf("string")
