@@ -8,7 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import numbered, text_of, written
 from .license_scan import spaced_words
 
 #: Randomised lexicons of each scale; a lexicon of scale s keeps one term in s.
@@ -38,30 +38,29 @@ def lexicon(df: DataFrame, text_col: str, band: tuple[float, float], n_docs: int
     return counts.where((F.col("_df") >= band[0] * n_docs) & (F.col("_df") <= band[1] * n_docs)).select("term")
 
 
-def next_rows(ids: DataFrame, per_block: int = 4096) -> DataFrame:
-    """The rows of `ids` with _next: the next larger _id, and for the largest the smallest.
+def next_rows(ids: DataFrame) -> DataFrame:
+    """The rows of `ids` with _next: the next larger _id, and for the largest the smallest. Ids are unique.
 
-    Ids are dealt by range to windows of about per_block rows; only each window's first id goes on to a second level of
-    windows, and of those the first to a third of one window, per_block**2 times smaller than the table.
+    Ids are dealt to ranges of about equal numbers of rows, as many as the session has shuffle partitions; only the first id
+    of each range goes on to one window over all ranges.
     """
-    low, high, n = ids.agg(F.min("_id"), F.max("_id"), F.count("_id")).first()
-    width = max(1, ((high or 0) - (low or 0) + 1) * per_block // max(1, n))
-    ids = ids.withColumn("_block", F.floor(F.col("_id") / width))
-    firsts = ids.groupBy("_block").agg(F.min("_id").alias("_first")).withColumn("_upper", F.floor(F.col("_block") / per_block))
-    upper = firsts.groupBy("_upper").agg(F.min("_first").alias("_upper_first"))
-    upper = upper.select("_upper", F.lead("_upper_first").over(Window.orderBy("_upper")).alias("_upper_next"))
-    after = F.coalesce(F.lead("_first").over(Window.partitionBy("_upper").orderBy("_block")), F.col("_upper_next"), F.lit(low))
-    firsts = firsts.join(upper, "_upper").select(F.col("_block").alias("_of"), after.alias("_after"))
-    following = F.coalesce(F.lead("_id").over(Window.partitionBy("_block").orderBy("_id")), F.col("_after"))
-    return ids.join(firsts, F.col("_block") == F.col("_of"), "left").withColumn("_next", following).drop("_block", "_of", "_after")
-
-
-def fingerprints(terms: DataFrame, keys: list[str], lexicon_terms: DataFrame, few: int = 24, least: float = 0.25) -> DataFrame:
+    spark = ids.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(ids.repartitionByRange(ranges, "_id").withColumn("_range", F.spark_partition_id()))
+    firsts = dealt.groupBy("_range").agg(F.min("_id").alias("_first"))
+    one = Window.orderBy("_range")
+    after = F.coalesce(F.lead("_first").over(one), F.min("_first").over(one.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    firsts = F.broadcast(firsts.select(F.col("_range").alias("_of_range"), after.alias("_after")))
+    following = F.coalesce(F.lead("_id").over(Window.partitionBy("_range").orderBy("_id")), F.col("_after"))
+    return dealt.join(firsts, F.col("_range") == F.col("_of_range")).withColumn("_next", following).drop("_range", "_of_range", "_after")
+
+
+def fingerprints(terms: DataFrame, keys: list[str], lexicon_terms: DataFrame, least: float = 0.25) -> DataFrame:
     """keys and fingerprint: for each scale and lexicon the hash of the sorted distinct terms that the lexicon keeps.
 
-    terms has the keys and _terms, distinct terms. Terms within the band count; in a document of at most `few` terms, or
-    of whose terms less than the share `least` lies within the band, all count: what most texts of a table share would
-    else leave no hash, or those of the few other terms alone. A lexicon that keeps no term of the document gives dots in
+    terms has the keys and _terms, distinct terms. Terms within the band count; in a document of whose terms less than the
+    share `least` lies within the band, all count: what most texts of a table share would else leave no hash, or those of
+    the few other terms alone. A lexicon that keeps no term of the document gives dots in
     place of a hash; where all do, the hash of all terms stands in those of the smallest scale, so that only documents
     without terms have dots alone. Lexicon k of scale s holds the terms whose hash under k is divisible by s, so that
     those of a larger scale lie within those of a smaller one. The rows of one document lie in one partition already, and
@@ -83,7 +82,7 @@ def fingerprints(terms: DataFrame, keys: list[str], lexicon_terms: DataFrame, fe
         F.count("_in").alias("_own"),
         F.bit_xor("_h").alias("_all"),
     )
-    whole = (F.col("_of") <= few) | (F.col("_own") < least * F.col("_of"))
+    whole = F.col("_own") < least * F.col("_of")
     sets = sets.withColumn("_t", F.when(whole, F.col("_t")).otherwise(F.filter("_t", lambda t: bit(t, F.lit(SUBSETS)) == 1)))
     sets = sets.withColumn("_t", F.when((F.size("_t") == 0) & (F.col("_of") > 0), F.array(F.col("_all").bitwiseOR(F.lit((1 << SUBSETS) - 1)))).otherwise(F.col("_t")))
     sets = sets.withColumn("_s0", F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda k: F.transform(F.filter("_t", lambda t: bit(t, k) == 1), upper)))
@@ -127,11 +126,15 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     The edited text is the text with its last quarter (code points, rounded down) replaced by the first as many code
     points, or all, of the row with the next larger id; the row with the largest id is followed by that with the
-    smallest. The band holds for distinct texts: copies (the same words in the same order) count once. near_edited and near_next are the likeness of the row's fingerprint to the edited text's and to the next
-    row's. Null text is empty; an empty text has a fingerprint without hashes, like other texts without terms. Ids should
-    be unique. Rows without an id have no place in their order and are left out. Other columns are ignored.
+    smallest. The band holds for distinct texts: copies (the same words in the same order) count once. near_edited and
+    near_next are the likeness of the row's fingerprint to the edited text's and to the next row's. Null text is empty; an
+    empty text has a fingerprint without hashes, like other texts without terms. Rows that repeat an id with its text are
+    one row for this order and get equal results; texts under one id follow each other in the order of their MD5. Rows
+    without an id come after all others, in that order too. Other columns are ignored.
     """
-    docs = df.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).where(F.col("_id").isNotNull())
+    rows, names = numbered(df.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")), nulls=True)
+    docs = rows if names is None else rows.dropDuplicates(["_id"])
+    docs = docs.select("_id", "_text")
     dealt = docs.repartition("_id")  # one shuffle of the texts serves both joins
     reps = representatives(docs)
     # An inner join: a semi join would be pushed below the shuffle of the texts, which the other joins use again.
@@ -155,8 +158,8 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     with object_aggregates(df.sparkSession):
         pair = written(pair)
     others = pair.select(F.col("_id").alias("_other"), F.col("fingerprint").alias("_next_fingerprint"))
-    return pair.join(others, F.col("_next") == F.col("_other"), "left").select(
-        F.col("_id").alias(id_col),
+    out = pair.join(others, F.col("_next") == F.col("_other"), "left").select(
+        "_id",
         "n_chars",
         "edited_sha256",
         "fingerprint",
@@ -164,3 +167,6 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         F.coalesce(likeness(F.col("fingerprint"), F.col("_next_fingerprint")), F.lit(0.0)).alias("near_next"),
     )
+    if names is not None:
+        out = rows.select("_of", F.col("_id").alias("_row_key")).join(out, F.col("_row_key") == F.col("_id")).withColumn("_id", F.col("_of")).drop("_of", "_row_key")
+    return out.withColumnRenamed("_id", id_col)
