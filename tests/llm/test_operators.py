@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import random
@@ -246,12 +247,64 @@ def test_fingerprints_of_small_tables_tell_texts_apart(spark):
     assert len({r["fingerprint"] for r in got.values()}) == len(texts) and all(r["near_next"] < 1 for r in got.values())
 
 
-def test_next_rows_over_many_blocks(spark):
-    ids = [x * x for x in range(500)]
-    got = {r._id: r._next for r in fingerprint.next_rows(spark.createDataFrame([(i,) for i in ids], "_id long"), per_block=7).collect()}
+def test_next_rows_over_ranges(spark):
+    ids = [x * x for x in range(500)] + [1 << 62]
+    got = {r._id: r._next for r in fingerprint.next_rows(spark.createDataFrame([(i,) for i in ids], "_id long")).collect()}
     assert got == dict(zip(ids, [*ids[1:], ids[0]], strict=True))
 
 
+def own_fingerprint(text, lexicon):
+    """The fingerprint and its parts by plain Python: xxHash64 as Spark chains it."""
+    x64 = lambda data, seed: xxhash.xxh64_intdigest(data, seed=seed)
+    hash_ = lambda t, *ks: functools.reduce(lambda h, k: x64(int(k).to_bytes(4, "little"), h), ks, x64(t.encode(), 42))
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    terms = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low))
+    band = terms & lexicon
+    counted = band if len(band) >= 0.25 * len(terms) else terms
+    upper = {t: signed(hash_(t)) & ~((1 << 17) - 1) for t in terms}
+    of_long = lambda v, k: signed(x64(k.to_bytes(4, "little"), x64(v.to_bytes(8, "little", signed=True), 42)))
+    member = lambda v, k, scale: of_long(v, k) % scale == 0
+    return terms, counted, upper, member
+
+
+def test_fingerprints_against_brute_force(spark):
+    rng = random.Random(8)
+    pool = [f"t{i}" for i in range(400)]
+    texts = [" ".join(pool[min(399, int(rng.paretovariate(0.6)) - 1)] for _ in range(rng.randrange(0, 120))) for _ in range(80)] + ["same words here"] * 5 + ["", "one"]
+    n_words = [" ".join(re.findall(r"[a-z0-9]+", t)) for t in texts]
+    df_of = Counter(t for x in set(n_words) for t in set(x.split()))
+    n = len(set(n_words))
+    lexicon = {t for t, c in df_of.items() if 0.001 * n <= c <= 0.05 * n}
+    got = rows(fingerprint.edited_fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    prints = {}
+    for i, t in enumerate(texts):
+        terms, counted, upper, member = own_fingerprint(t, lexicon)
+        first = [[upper[x] for x in counted if member(upper[x], k, 16)] for k in range(16)]
+        if terms and not any(first):  # the hash of all terms in each lexicon of the smallest scale
+            assert len(got[i]["fingerprint"]) == 256 and re.fullmatch("([0-9a-f]{4}){16}.*", got[i]["fingerprint"])
+            prints[i] = None
+            continue
+        parts = []
+        for scale in (16, 64, 256, 1024):
+            parts += [frozenset(v for v in own if scale == 16 or all(member(v, k, s) for s in (64, 256, 1024) if s <= scale)) for k, own in enumerate(first)]
+        cells = re.findall(".{4}", got[i]["fingerprint"])
+        assert [c == "...." for c in cells] == [not p for p in parts]
+        prints[i] = parts, cells
+    seen = {}
+    for own in prints.values():  # equal lexicon sets have equal hashes, others (but for chance) different ones
+        for part, cell in zip(*own, strict=True) if own else ():
+            assert seen.setdefault(part, cell) == cell
+    assert len(set(seen.values())) > 0.98 * len(seen)
+    for i, r in got.items():
+        a, b = r["fingerprint"], got[(i + 1) % len(texts)]["fingerprint"]
+        x, y, best = re.findall(".{4}", a), re.findall(".{4}", b), 0.0
+        for s in range(4):
+            pairs = [(p, q) for p, q in zip(x[16 * s : 16 * s + 16], y[16 * s : 16 * s + 16], strict=True) if (p, q) != ("....", "....")]
+            best = max(best, sum(p == q for p, q in pairs) / len(pairs)) if len(pairs) >= 4 else best
+        assert abs(r["near_next"] - (1.0 if a == b else best)) < 1e-9
+
+
 def test_license_scan(docs, empty):
     got = rows(license_scan.license_scan(docs))
     for i, t, *_ in corpus():
@@ -388,7 +441,7 @@ def test_main_texts(spark):
 
 
 def test_hidden_elements_end_where_they_end():
-    shown = lambda page: [text for _, _, _, text in html_extract.blocks_of(page)]
+    shown = lambda page: [x.text for x in html_extract.blocks_of(page)]
     assert shown('<p>one<svg-icon name="x"></svg-icon> two</p><p>three</p>') == ["one two", "three"]
     assert shown('<p>one<svg width="1"/> two</p><p>three</p>') == ["one two", "three"]
     assert shown("<p>one <svg><title>t</title><g><svg><path/></svg>u</g></svg>two</p><p>three</p>") == ["one two", "three"]
@@ -406,3 +459,49 @@ def test_all_open_slots_are_kept(spark):
         whole = [f"Title n{i}", f"Lead n{i}", (f"text {i} " * 40).strip(), f"Rest n{i} {'tail ' * (200 * (i == 3))}".strip()]
         assert got[i]["text"] == "\n\n".join(whole)
         assert got[100 + i]["text"] == f"Head {i}\n\nStory {i}"
+
+
+def test_templates_decide(spark):
+    """What names don't tell: constant notices, menus without a name, an article named like an aside."""
+    rng = random.Random(3)
+    prose = lambda n: words(rng, n)
+    page = '<body><div class="x1"><a href="/a">Go {0}</a> <a href="/b">There {0}</a></div><div class="x2"><p>Read this first</p></div><div class="{2}"><p>{1}</p><div class="ad">Buy {0}</div></div><div class="x3"><p>By {0}</p></div></body>'
+    bodies = {(h, i): prose(40) for h in ("a", "b") for i in range(5)}
+    pages = [(10 * (h == "b") + i, f"https://{h}.example.com/{i}", page.format(f"n{i}", t, "x4" if h == "a" else "widget")) for (h, i), t in bodies.items()]
+    pages += [(30 + k, f"https://a.example.com/{k}", pages[0][2]) for k in range(2)]  # repeated pages change nothing
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = rows(html_extract.main_texts(df), "page_id")
+    for (h, i), t in bodies.items():
+        assert got[10 * (h == "b") + i]["text"] == f"{t}\n\nBy n{i}"
+    assert got[30]["text"] == got[31]["text"] == got[0]["text"]
+    # Without classes the names alone would keep the notice and the menu, and lose the article of the second host.
+    bare = html_extract.extract(pages[0][2], html_extract.Template())
+    assert bare.startswith("Go n0 There n0\n\nRead this first") and bodies["b", 0] not in html_extract.extract(pages[5][2], html_extract.Template())
+
+
+def test_few_pages_and_equal_pages_have_no_template(spark):
+    pages = [(i, "https://h.example.com/", f"<p>same</p><p>same too</p><p>{i % 2}</p>") for i in range(8)]
+    got = rows(html_extract.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string")), "page_id")
+    assert all(got[i]["text"] == f"same\n\nsame too\n\n{i % 2}" for i in got)
+
+
+def test_null_ids_leave_others_alone(spark):
+    base = 1 << 60
+    some = spark.createDataFrame([(base + 1, "one two"), (None, "three"), (base + 3, "four five six"), (base + 3, "four five six"), (None, None)], SCHEMA.split(", _id")[0])
+    pages = some.select(F.col("doc_id").alias("page_id"), F.lit("http://x.org/").alias("url"), F.col("text").alias("html"))
+    want = sorted(str(x) for x in (base + 1, None, base + 3, base + 3, None))
+    made = {
+        "op1": packing.pack_documents(some, BPE), "op2": jaccard_join.jaccard_classes(some), "op3": repeats.repeat_report(some), "op4": fingerprint.edited_fingerprints(some),
+        "op5": sampled_pieces.sampled_segmentations(some, PIECES, k=1), "op6": exact_dedup.exact_groups(some), "op7": ngram_lm.backoff_scores(some),
+        "op8": quality.quality_scores(some, quality.fit(some, some.selectExpr("doc_id", "1 AS quality").where("false"))), "op9": html_extract.main_texts(pages).withColumnRenamed("page_id", "doc_id"),
+        "op10": license_scan.license_scan(some),
+    }
+    assert {k: sorted(str(r.doc_id) for r in df.collect()) for k, df in made.items()} == dict.fromkeys(made, want)
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    names = ["doc_id", "text", "_id", "_text", "_row", "_key", "_keep", "_n", "starts", "ends", "_other", "_slot", "component_id", "Kept", "a.b"]
+    df = spark.createDataFrame([(i, f"{'w ' * 80} {i % 3} " * (1 + i % 2), *range(len(names) - 2)) for i in range(9)], ", ".join(f"`{n}` {'string' if n == 'text' else 'long'}" for n in names))
+    for out in (exact_dedup.drop_exact(df), repeats.drop_repeats(df), jaccard_join.one_of_each(df)):
+        got = out.collect()
+        assert out.columns == names and got and all(list(r[2:]) == list(range(len(names) - 2)) for r in got)
