@@ -25,8 +25,8 @@ from .shingles import Shingler
 
 #: Buckets of the count table (as a power of 2), and parts it is summed in.
 SKETCH_BITS, SKETCH_PARTS = 18, 64
-#: Nodes of a group, on average.
-GROUP_SIZE = 48
+#: Nodes of a group, on average, and pairs of groups that are judged in one call.
+GROUP_SIZE, PAIRS = 48, 1000
 
 
 def rarity_levels(docs: DataFrame, words: int) -> np.ndarray:
@@ -98,42 +98,55 @@ def folded(bits: np.ndarray, width: int) -> np.ndarray:
     return np.bitwise_or.reduce(bits.reshape(*bits.shape[:-1], -1, width), axis=-2)
 
 
-def opened(batch: pd.DataFrame, ratio: tuple[int, int]) -> np.ndarray:
-    """Which rows (g1, g2, side, label, n, bits) of two groups may link with one of the other side (or, of one group, with another).
+def opened(one: bool, side: np.ndarray, labels: np.ndarray, n: np.ndarray, bits: list[np.ndarray], ratio: tuple[int, int]) -> np.ndarray:
+    """Which members of two groups (of one, if `one`) may link with one of the other side.
 
     A slot that only one of two sets has holds a token that only this one has: its overlap is at most n less such slots.
-    Each row is a query of the other group first: its overlap with the slots of that group's union bounds that with any
-    member, and the group is opened only for the queries that reach what a link asks for. These are held against the
-    members' own slots.
+    Each member is a query of the other group first: its overlap with the slots of that group's union bounds that with any
+    member there, and the group is opened only for the queries that reach what a link asks for. These are held against
+    the members' own slots.
     """
     low, high = ratio
-    side, labels, n = batch["side"].to_numpy(), batch["label"].to_numpy(), batch["n"].to_numpy()
-    bits = [np.frombuffer(x, np.uint8) for x in batch["bits"]]
-    width = np.array([len(x) for x in bits])
-    one = batch["g1"].iloc[0] == batch["g2"].iloc[0]
     sides = [np.flatnonzero(side == 0)] * 2 if one else [np.flatnonzero(side == 0), np.flatnonzero(side == 1)]
+    keep = np.zeros(len(side), dtype=bool)
     if not all(map(len, sides)):
-        return np.zeros(len(batch), dtype=bool)
-    widest = int(width.max())
-    unions = [np.bitwise_or.reduce([folded(bits[i], widest) for i in own], axis=0) for own in sides]
+        return keep
+    # Slots of one width: those of the widest set, so that narrower ones stand for all they may be.
+    width = np.array([len(x) for x in bits])
+    stack = np.stack([folded(x, int(width.max())) for x in bits])
     live = []
-    for own, union in zip(sides, reversed(unions), strict=True):
-        shared = [int(n[i]) - int(np.bitwise_count(folded(bits[i], width[i]) & ~folded(union, width[i])).sum()) for i in own]
-        live.append(own[high * np.array(shared) >= low * n[own]])
-    queries, others = live
-    stacks = {w: (own := others[width[others] == w], np.stack([bits[i] for i in own])) for w in np.unique(width[others])}
-    keep = np.zeros(len(batch), dtype=bool)
-    for q in queries:
-        for w, (own, stack) in stacks.items():
-            least = min(w, width[q])
-            a, b = folded(bits[q], least), folded(stack, least)
+    for own, others in zip(sides, reversed(sides), strict=True):
+        union = np.bitwise_or.reduce(stack[others], axis=0)
+        alone = [np.bitwise_count(bits[i] & ~folded(union, int(width[i]))).sum(dtype=np.int64) for i in own]
+        live.append(own[high * (n[own] - np.array(alone)) >= low * n[own]])
+    if not all(map(len, live)):
+        return keep
+    by_width = [(int(w), own := live[1][width[live[1]] == w], stack[own][:, :w]) for w in np.unique(width[live[1]])]
+    for q in live[0]:
+        for w, own, theirs in by_width:
+            least = min(w, int(width[q]))
+            a, b = folded(bits[q], least), folded(theirs, least)
             overlap = np.minimum(n[q] - np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64), n[own] - np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64))
             hit = (labels[own] != labels[q]) & ((low + high) * overlap >= low * (n[q] + n[own]))
-            keep[q] |= hit.any()
-            keep[own[hit]] = True
+            if hit.any():
+                keep[q] = True
+                keep[own[hit]] = True
     return keep
 
 
+def opened_pairs(batch: pd.DataFrame, ratio: tuple[int, int]) -> pd.DataFrame:
+    """The rows g1, g2, side, _id and label of a batch of whole pairs of groups that may link."""
+    batch = batch.sort_values(["g1", "g2"], kind="stable", ignore_index=True)
+    g1, g2 = batch["g1"].to_numpy(), batch["g2"].to_numpy()
+    side, labels, n = batch["side"].to_numpy(), batch["label"].to_numpy(), batch["n"].to_numpy()
+    bits = [np.frombuffer(x, np.uint8) for x in batch["bits"]]
+    starts = np.flatnonzero(np.concatenate([[True], (g1[1:] != g1[:-1]) | (g2[1:] != g2[:-1])]))
+    keep = np.zeros(len(batch), dtype=bool)
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(batch)], strict=True):
+        keep[a:b] = opened(g1[a] == g2[a], side[a:b], labels[a:b], n[a:b], bits[a:b], ratio)
+    return batch.loc[keep, ["g1", "g2", "side", "_id", "label"]]
+
+
 def tokens_of(docs: DataFrame, words: int) -> DataFrame:
     """_id, n and tokens: the sorted hashes as bytes."""
 
@@ -294,9 +307,9 @@ def jaccard_classes(df: DataFrame, words: int = 5, ratio: tuple[int, int] = (80,
     side = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("g1").alias("gid")), F.struct(F.lit(1).alias("side"), F.col("g2").alias("gid")))).alias("e")
     sides = meet.select("g1", "g2", side).select("g1", "g2", "e.side", "e.gid").where((F.col("side") == 0) | (F.col("g1") != F.col("g2")))
     marked = nodes.join(sides.select("gid").distinct(), "gid", "left_semi").join(base.select("_id", "n", "bits"), "_id")
-    close = sides.join(marked, "gid").groupBy("g1", "g2").applyInPandas(
-        lambda batch: batch.loc[opened(batch, ratio), ["g1", "g2", "side", "_id", "label"]], "g1 long, g2 long, side int, _id long, label long"
-    )
+    # Many pairs of groups a call; a pair is whole in one.
+    bucket = F.pmod(F.xxhash64("g1", "g2"), F.lit(max(1, meet.count() // PAIRS))).alias("_bucket")
+    close = sides.join(marked, "gid").groupBy(bucket).applyInPandas(lambda batch: opened_pairs(batch, ratio), "g1 long, g2 long, side int, _id long, label long")
     close = written(close)
     members = written(tokens_of(chosen(docs, close.select("_id")), words).select("_id", "tokens"))
     second = close.join(members, "_id").groupBy("g1", "g2").applyInPandas(
