@@ -11,34 +11,40 @@ from pyspark.sql import functions as F
 
 from auditloom.llm.common import drop_written, table, text_of, written
 from auditloom.llm.exact_dedup import drop_exact
-from auditloom.llm.jaccard_join import jaccard_classes
+from auditloom.llm.jaccard_join import one_of_each
 from auditloom.llm.packing import pack_documents
 from auditloom.llm.quality import fit, scorer
 from auditloom.llm.repeats import drop_repeats
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the classifier scores at 0.5 or more; it learns from the dataset's documents and labels."""
+    """Rows that the classifier scores at 0.5 or more; it learns from the dataset's documents and labels.
+
+    Null texts are scored as empty; repeated rows share their fate.
+    """
     net = fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return docs.where(scorer(spark, net)(text_of("text")) >= 0.5)
 
 
 def keep_first_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (white space aside) the row of the smallest id."""
+    """Of equal texts (white space aside, null as empty) the row of the smallest id; rows that repeat it stay."""
     return drop_exact(docs)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies (five-word shingles, similarity 0.8 or more) the row of the smallest id."""
-    classes = jaccard_classes(docs, words=5, ratio=(80, 100))
-    others = classes.where("component_id <> doc_id").select(F.col("doc_id").alias("_other")).distinct()
-    return docs.join(others, F.col("doc_id") == F.col("_other"), "left_anti")
+    """Of each component of near copies (five-word shingles, similarity 0.8 or more) the row of the smallest id.
+
+    Rows without an id, and texts without words, stay.
+    """
+    return one_of_each(docs, words=5, ratio=(80, 100))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without strings of 100 bytes that start earlier; rows of which nothing is left go, unless they were empty."""
-    cut = drop_repeats(docs.withColumn("_was", F.length(F.coalesce("text", F.lit("")))))
-    return cut.where((F.length(F.coalesce("text", F.lit(""))) > 0) | (F.col("_was") == 0)).withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Texts without strings of 100 bytes that start earlier; rows of which nothing is left go, unless they were empty.
+
+    Rows without an id stay as they are; n_chars follows the text.
+    """
+    return drop_repeats(docs, keep_emptied=False).withColumn("n_chars", F.length(text_of("text")).cast(docs.schema["n_chars"].dataType))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
