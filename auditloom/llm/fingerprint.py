@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -55,42 +56,57 @@ def next_rows(ids: DataFrame) -> DataFrame:
     return dealt.join(firsts, F.col("_range") == F.col("_of_range")).withColumn("_next", following).drop("_range", "_of_range", "_after")
 
 
-def fingerprints(terms: DataFrame, keys: list[str], lexicon_terms: DataFrame, least: float = 0.25) -> DataFrame:
-    """keys and fingerprint: for each scale and lexicon the hash of the sorted distinct terms that the lexicon keeps.
+def upper(hash_: Column) -> Column:
+    """A hash without the bits that say which lexicons hold the term."""
+    return hash_.bitwiseAND(F.lit(-(1 << SUBSETS)))
 
-    terms has the keys and _terms, distinct terms. Terms within the band count; in a document of whose terms less than the
-    share `least` lies within the band, all count: what most texts of a table share would else leave no hash, or those of
-    the few other terms alone. A lexicon that keeps no term of the document gives dots in
-    place of a hash; where all do, the hash of all terms stands in those of the smallest scale, so that only documents
-    without terms have dots alone. Lexicon k of scale s holds the terms whose hash under k is divisible by s, so that
-    those of a larger scale lie within those of a smaller one. The rows of one document lie in one partition already, and
-    a document has no more terms than words.
+
+def with_subsets(h: Column) -> Column:
+    """An upper() hash with bit k set where lexicon k of the smallest scale holds the term: where the k-th four bits of a second hash are zero."""
+    draw = F.xxhash64(h, F.lit(0))
+    bits = (F.when(F.shiftright(draw, 4 * k).bitwiseAND(F.lit(SCALES[0] - 1)) == 0, F.lit(1 << k)).otherwise(F.lit(0)) for k in range(SUBSETS))
+    return h.bitwiseOR(functools.reduce(lambda x, y: x.bitwiseOR(y), bits).cast("long"))
+
+
+def in_smaller(h: Column, k: Column, at: int) -> Column:
+    """Whether lexicon k of SCALES[at] holds a term that the one of the scale before holds: one in four, by two bits of a further hash."""
+    return F.getbit(F.xxhash64(h, F.lit(at)), 2 * k) + F.getbit(F.xxhash64(h, F.lit(at)), 2 * k + 1) == 0
+
+
+def lexicon_codes(lexicon_terms: DataFrame) -> DataFrame:
+    """The lexicon's terms as _lex and their with_subsets() hashes as _code, for a broadcast join: its size is bounded by lexicon()."""
+    codes = lexicon_terms.select(F.col("term").alias("_lex"), upper(F.xxhash64("term")).alias("_h"))
+    return F.broadcast(codes.select("_lex", with_subsets(F.col("_h")).alias("_code")))
+
+
+def with_fingerprints(df: DataFrame, names: dict[str, tuple[str, str]], least: float = 0.25) -> DataFrame:
+    """The table with fingerprints: for each scale and lexicon the hash of the sorted distinct terms that the lexicon keeps.
+
+    names maps each new column to two others: the codes of a document's terms within the band, and the upper() hashes of its
+    others. Terms within the band count; in a document of whose terms less than the share `least` lies within the band,
+    all count: what most texts of a table share would else leave no hash, or those of the few other terms alone. A
+    lexicon that keeps no term of the document gives dots in place of a hash; where all do, the hash of all counted terms
+    stands in those of the smallest scale, so that only documents without terms have dots alone. Lexicons of a larger
+    scale lie within those of a smaller one.
     """
-    lex = F.broadcast(lexicon_terms.select(F.col("term").alias("_lex"), F.lit(True).alias("_in")))
-    flat = terms.select(*keys, F.explode_outer("_terms").alias("_term")).join(lex, F.col("_term") == F.col("_lex"), "left")
-    # A term's hash in the upper bits, then whether it lies within the band, and in the lower ones the lexicons of the smallest scale that hold it.
-    held = lambda t, k, s: F.pmod(F.xxhash64(t, k), F.lit(s)) == 0
-    upper = lambda t: t.bitwiseAND(F.lit(-(1 << (SUBSETS + 1))))
-    bit = lambda t, k: F.getbit(t, k)
-    flat = flat.select(*keys, "_in", F.when(F.col("_term").isNotNull(), upper(F.xxhash64("_term"))).alias("_h"))
-    mask = sum((F.when(held(F.col("_h"), F.lit(k), SCALES[0]), F.lit(1 << k)).otherwise(F.lit(0)) for k in range(SUBSETS)), F.lit(0)).cast("long")
-    flat = flat.select(*keys, "_h", "_in", mask.alias("_mask"))
-    inner = F.when(F.col("_in"), F.lit(1 << SUBSETS)).otherwise(F.lit(0)).cast("long")
-    sets = flat.groupBy(*keys).agg(
-        F.array_sort(F.collect_set(F.when(F.col("_mask") > 0, F.col("_h").bitwiseOR(inner).bitwiseOR(F.col("_mask"))))).alias("_t"),
-        F.count("_h").alias("_of"),
-        F.count("_in").alias("_own"),
-        F.bit_xor("_h").alias("_all"),
-    )
-    whole = F.col("_own") < least * F.col("_of")
-    sets = sets.withColumn("_t", F.when(whole, F.col("_t")).otherwise(F.filter("_t", lambda t: bit(t, F.lit(SUBSETS)) == 1)))
-    sets = sets.withColumn("_t", F.when((F.size("_t") == 0) & (F.col("_of") > 0), F.array(F.col("_all").bitwiseOR(F.lit((1 << SUBSETS) - 1)))).otherwise(F.col("_t")))
-    sets = sets.withColumn("_s0", F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda k: F.transform(F.filter("_t", lambda t: bit(t, k) == 1), upper)))
-    narrowed = lambda scale: lambda a, k: F.filter(a, lambda t: held(t, k, scale))
-    for at, scale in enumerate(SCALES[1:], 1):
-        sets = sets.withColumn(f"_s{at}", F.transform(f"_s{at - 1}", narrowed(scale)))
-    shown = lambda a: F.when(F.size(a) == 0, F.lit(EMPTY)).otherwise(F.lpad(F.lower(F.hex(F.pmod(F.xxhash64(a), F.lit(1 << 16)))), 4, "0"))
-    return sets.select(*keys, F.array_join(F.transform(F.concat(*(f"_s{at}" for at in range(len(SCALES)))), shown), "").alias("fingerprint"))
+    # One step after the other, so that no array is made twice.
+    kept = df.columns
+    for k, (inner, outer) in enumerate(names.values()):
+        whole = F.size(inner) < least * (F.size(inner) + F.size(outer))
+        df = df.withColumn(f"_c{k}", F.when(whole, F.concat(inner, F.transform(outer, with_subsets))).otherwise(F.col(inner)))
+    df = df.withColumns({f"_c{k}": F.array_sort(f"_c{k}") for k in range(len(names))})
+    ks = F.sequence(F.lit(0), F.lit(SUBSETS - 1))
+    df = df.withColumns({f"_m{k}": F.filter(f"_c{k}", lambda t: t.bitwiseAND(F.lit((1 << SUBSETS) - 1)) != 0) for k in range(len(names))})
+    own = lambda c: F.transform(ks, lambda k: F.transform(F.filter(c, lambda t: F.getbit(t, k) == 1), upper))
+    df = df.withColumns({f"_s{k}_0": own(f"_m{k}") for k in range(len(names))})
+    none = lambda k: (F.size(f"_c{k}") > 0) & F.forall(f"_s{k}_0", lambda x: F.size(x) == 0)
+    df = df.withColumns({f"_s{k}_0": F.when(none(k), F.transform(ks, lambda _: F.array(F.xxhash64(f"_c{k}")))).otherwise(F.col(f"_s{k}_0")) for k in range(len(names))})
+    for at in range(1, len(SCALES)):
+        narrower = (lambda at: lambda x, k: F.filter(x, lambda t: in_smaller(t, k, at)))(at)
+        df = df.withColumns({f"_s{k}_{at}": F.transform(f"_s{k}_{at - 1}", narrower) for k in range(len(names))})
+    shown = lambda x: F.when(F.size(x) == 0, F.lit(EMPTY)).otherwise(F.lpad(F.lower(F.hex(F.pmod(F.xxhash64(x), F.lit(1 << 16)))), 4, "0"))
+    parts = lambda k: F.concat(*(F.transform(f"_s{k}_{at}", shown) for at in range(len(SCALES))))
+    return df.select(*kept, *(F.array_join(parts(k), "").alias(name) for k, name in enumerate(names)))
 
 
 def likeness(one: Column, other: Column) -> Column:
@@ -146,15 +162,20 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     n = F.length("_text")
     edited = F.concat(F.expr("substring(_text, 1, length(_text) - coalesce(_k, floor(length(_text) / 4)))"), F.coalesce("_head", F.lit("")))
     both = both.select("_id", "_next", n.cast("long").alias("n_chars"), "_text", edited.alias("_edited"))
-    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("_text").alias("text")), F.struct(F.lit(1).alias("side"), F.col("_edited").alias("text")))
-    terms = both.select("_id", "_next", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), F.explode(sides).alias("_x"))
-    terms = terms.select("_id", "_next", "n_chars", "edited_sha256", F.col("_x.side").alias("_side"), terms_of(F.col("_x.text")).alias("_terms"))
-    keys = ["_id", "_next", "n_chars", "edited_sha256"]
-    one = fingerprints(terms, [*keys, "_side"], lex)
-    pair = one.groupBy(*keys).agg(
-        F.max(F.when(F.col("_side") == 0, F.col("fingerprint"))).alias("fingerprint"),
-        F.max(F.when(F.col("_side") == 1, F.col("fingerprint"))).alias("edited_fingerprint"),
-    )
+    # One row for each term of either text. Places tell which: terms of both come first, then those of the text alone, then
+    # those of the edited text alone, and last what else the row has to carry, so that exploded rows are narrow.
+    both = both.select("_id", terms_of(F.col("_text")).alias("_t0"), terms_of(F.col("_edited")).alias("_t1"), F.concat_ws(" ", F.sha2("_edited", 256), "n_chars", "_next").alias("_carry"))
+    both = both.select("_id", "_carry", F.array_intersect("_t0", "_t1").alias("_b"), F.array_except("_t0", "_t1").alias("_l"), F.array_except("_t1", "_t0").alias("_r"))
+    at = [F.size("_b"), F.size("_b") + F.size("_l"), F.size("_b") + F.size("_l") + F.size("_r")]
+    flat = both.select("_id", *(x.alias(f"_n{k}") for k, x in enumerate(at)), F.posexplode(F.concat("_b", "_l", "_r", F.array("_carry"))).alias("_p", "_term"))
+    flat = flat.join(lexicon_codes(lex), F.col("_term") == F.col("_lex"), "left")
+    is_term, one, two = F.col("_p") < F.col("_n2"), F.col("_p") < F.col("_n1"), (F.col("_p") < F.col("_n0")) | (F.col("_p") >= F.col("_n1"))
+    flat = flat.select("_id", "_code", F.when(is_term & F.col("_code").isNull(), upper(F.xxhash64("_term"))).alias("_h"), one.alias("_one"), (two & is_term).alias("_two"), F.when(~is_term, F.col("_term")).alias("_carry"))
+    picked = lambda side, c: F.collect_list(F.when(F.col(side), F.col(c)))
+    sets = flat.groupBy("_id").agg(picked("_one", "_code").alias("_i0"), picked("_one", "_h").alias("_o0"), picked("_two", "_code").alias("_i1"), picked("_two", "_h").alias("_o1"), F.max("_carry").alias("_c"))
+    carried = F.split("_c", " ")
+    pair = with_fingerprints(sets, {"fingerprint": ("_i0", "_o0"), "edited_fingerprint": ("_i1", "_o1")})
+    pair = pair.select("_id", carried[2].cast("long").alias("_next"), carried[1].cast("long").alias("n_chars"), carried[0].alias("edited_sha256"), "fingerprint", "edited_fingerprint")
     with object_aggregates(df.sparkSession):
         pair = written(pair)
     others = pair.select(F.col("_id").alias("_other"), F.col("fingerprint").alias("_next_fingerprint"))
