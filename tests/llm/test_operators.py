@@ -255,16 +255,17 @@ def test_next_rows_over_ranges(spark):
 
 def own_fingerprint(text, lexicon):
     """The fingerprint and its parts by plain Python: xxHash64 as Spark chains it."""
-    x64 = lambda data, seed: xxhash.xxh64_intdigest(data, seed=seed)
-    hash_ = lambda t, *ks: functools.reduce(lambda h, k: x64(int(k).to_bytes(4, "little"), h), ks, x64(t.encode(), 42))
-    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    x64 = lambda data, seed=42: xxhash.xxh64_intdigest(data, seed=seed)
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
     terms = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low))
     band = terms & lexicon
     counted = band if len(band) >= 0.25 * len(terms) else terms
-    upper = {t: signed(hash_(t)) & ~((1 << 17) - 1) for t in terms}
-    of_long = lambda v, k: signed(x64(k.to_bytes(4, "little"), x64(v.to_bytes(8, "little", signed=True), 42)))
-    member = lambda v, k, scale: of_long(v, k) % scale == 0
+    upper = {t: x64(t.encode()) & ~0xFFFF & (1 << 64) - 1 for t in terms}
+    draw = lambda v, at: x64(at.to_bytes(4, "little"), x64(v.to_bytes(8, "little")))
+
+    def member(v, k, at):
+        return draw(v, 0) >> 4 * k & 15 == 0 and all(draw(v, x) >> 2 * k & 3 == 0 for x in range(1, at + 1))
+
     return terms, counted, upper, member
 
 
@@ -280,14 +281,14 @@ def test_fingerprints_against_brute_force(spark):
     prints = {}
     for i, t in enumerate(texts):
         terms, counted, upper, member = own_fingerprint(t, lexicon)
-        first = [[upper[x] for x in counted if member(upper[x], k, 16)] for k in range(16)]
+        first = [[upper[x] for x in counted if member(upper[x], k, 0)] for k in range(16)]
         if terms and not any(first):  # the hash of all terms in each lexicon of the smallest scale
             assert len(got[i]["fingerprint"]) == 256 and re.fullmatch("([0-9a-f]{4}){16}.*", got[i]["fingerprint"])
             prints[i] = None
             continue
         parts = []
-        for scale in (16, 64, 256, 1024):
-            parts += [frozenset(v for v in own if scale == 16 or all(member(v, k, s) for s in (64, 256, 1024) if s <= scale)) for k, own in enumerate(first)]
+        for at in range(4):
+            parts += [frozenset(v for v in own if member(v, k, at)) for k, own in enumerate(first)]
         cells = re.findall(".{4}", got[i]["fingerprint"])
         assert [c == "...." for c in cells] == [not p for p in parts]
         prints[i] = parts, cells
