@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import re
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,12 +79,11 @@ def slots_of(keys: DataFrame, *columns: str | Column) -> DataFrame:
     return F.broadcast(keys.select(slot(*columns).alias("_slot")).distinct())
 
 
-def own_name(df: DataFrame, name: str) -> str:
-    """A name like `name` that no column of the table has, in whatever case."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = f"{name}_"
-    return name
+def small_batches(df: DataFrame, rows: int = 2000) -> None:
+    """Texts are long: let Python workers of the session get so many at a time, where the session doesn't say otherwise."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if conf.get(key) == "10000":
+        conf.set(key, str(rows))
 
 
 def as_row(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -109,3 +113,25 @@ def numbered(docs: DataFrame, nulls: bool = False) -> tuple[DataFrame, DataFrame
     pair = written(pair.orderBy(F.col("_o").asc_nulls_last(), "_m").withColumn("_key", F.monotonically_increasing_id()))
     docs = docs.join(pair, F.col("_of").eqNullSafe(F.col("_o")) & (F.md5("_text") == F.col("_m")), "left").withColumn("_id", F.col("_key"))
     return docs.drop("_o", "_m", "_key"), pair.select("_key", "_o")
+
+
+def frugal(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The function over a task's batches; when they end, the worker gives back what it has freed.
+
+    Workers are used again for later tasks and stages, and allocators keep freed memory; an executor's limit holds for
+    the JVM and all its workers together.
+    """
+
+    @functools.wraps(f)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from f(batches)
+        finally:
+            import pyarrow
+
+            gc.collect()
+            pyarrow.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run

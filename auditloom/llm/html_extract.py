@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, written
+from .common import drop_written, frugal, small_batches, written
 
 # HTML elements by their part in a page.
 RAW = "script|style|textarea|iframe"
@@ -206,6 +206,7 @@ def templates(rows: DataFrame, share: float = 0.5, constant_share: float = 0.9,
     tokens a page) / share tokens.
     """
 
+    @frugal
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
@@ -256,11 +257,13 @@ def main_texts(df: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     template; of their pages all that is not aside is kept. Other columns are ignored.
     """
     host = F.lower(F.regexp_extract(F.coalesce(url_col, F.lit("")), r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    small_batches(df)
     # The id goes as text, as pandas would round integers beside a null.
     rows = df.select(F.col(id_col).cast("string").alias("_id"), F.col(url_col).alias("url"), F.col(html_col).alias("_html"), host.alias("_host"))
     deduced = templates(rows.where(F.col("_html").isNotNull()).select("_host", "_html"))
     deduced = deduced.select(F.col("_host").alias("_of"), "constant", "article", "menus")
 
+    @frugal
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             own, known = [], {}

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_row, drop_written, numbered, slot, slots_of, text_of, without, written
+from .common import as_row, drop_written, frugal, numbered, slot, slots_of, small_batches, text_of, without, written
 from .components import components
 from .shingles import Shingler
 
@@ -32,6 +32,7 @@ GROUP_SIZE, PAIRS = 48, 1000
 def rarity_levels(docs: DataFrame, words: int) -> np.ndarray:
     """For each hash bucket how often its tokens occur, in half powers of two over the mean: 2**18 bytes, whatever the input."""
 
+    @frugal
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, counts = Shingler(words), np.zeros(1 << SKETCH_BITS, dtype=np.int64)
         for batch in batches:
@@ -58,6 +59,7 @@ def token_rows(docs: DataFrame, words: int, levels: np.ndarray, ratio: tuple[int
     ranks = docs.sparkSession.sparkContext.broadcast(levels)
     low, high = ratio
 
+    @frugal
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
@@ -150,6 +152,7 @@ def opened_pairs(batch: pd.DataFrame, ratio: tuple[int, int]) -> pd.DataFrame:
 def tokens_of(docs: DataFrame, words: int) -> DataFrame:
     """_id, n and tokens: the sorted hashes as bytes."""
 
+    @frugal
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(words)
         for batch in batches:
@@ -245,6 +248,7 @@ def jaccard_classes(df: DataFrame, words: int = 5, ratio: tuple[int, int] = (80,
     with an equal set, or null. Other columns are ignored. An empty table gives an empty result.
     """
     low, high = ratio
+    small_batches(df)
     docs, names = numbered(df.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text")))
     base = written(token_rows(docs, words, rarity_levels(docs, words), ratio))
 
@@ -268,6 +272,7 @@ def jaccard_classes(df: DataFrame, words: int = 5, ratio: tuple[int, int] = (80,
     pairs = written(pairs.where(2 * F.col("m") >= least_shared(F.greatest("n", "ln"), F.least("n", "ln"), ratio)).select("_id", "lead"))
     tokens = written(tokens_of(chosen(docs, pairs.select("_id").unionByName(pairs.select(F.col("lead").alias("_id")))), words))
 
+    @frugal
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ok = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), ratio) for x, y in zip(batch["tokens"], batch["lead_tokens"], strict=True)]

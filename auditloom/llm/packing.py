@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from array import array
 from collections.abc import Iterator
 
@@ -11,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import frugal, small_batches, text_of
 
 
 # Fixed value: the pattern by which byte-level BPE of this family splits text before merging.
@@ -83,12 +82,6 @@ class Encoder(dict):
         return self.whole(text)
 
 
-@functools.lru_cache(maxsize=2)
-def encoder_of(path: str) -> Encoder:
-    """One encoder for all tasks that a worker process runs, so that its words stay."""
-    return Encoder(path)
-
-
 def token_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """The token sequences to pack: id, piece, start, length and ids (little-endian unsigned 32-bit).
 
@@ -97,8 +90,9 @@ def token_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
     the path of a tokenizer file that all executors have.
     """
 
+    @frugal
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, size = encoder_of(tokenizer), 4 * capacity
+        encoder, size = Encoder(tokenizer), 4 * capacity
         end = np.asarray([end_id], dtype="<u4").tobytes()
         for batch in batches:
             rows, at = [], 0
@@ -116,6 +110,7 @@ def token_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
         out = pd.DataFrame(rows, columns=["_id", "piece", "start", "ids"])
         return out.assign(length=[len(x) // 4 for x in out["ids"]])[["_id", "piece", "start", "length", "ids"]]
 
+    small_batches(df)
     # The id goes as text, as pandas would round integers beside a null.
     docs = df.select(F.col(id_col).cast("string").alias("_id"), text_of(text_col).alias("_text"))
     out = docs.mapInPandas(cut, "_id string, piece int, start long, length long, ids binary")

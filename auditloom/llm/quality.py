@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import frugal, small_batches, text_of
 
 
 @dataclass
@@ -152,9 +152,11 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
 
 def scorer(spark: SparkSession, net: ByteConvNet):
     """A function of text columns that gives the network's score; null counts as the empty text."""
+    small_batches(spark.range(0))
     model = spark.sparkContext.broadcast(pickle.dumps(net))
 
     @F.pandas_udf("double")
+    @frugal
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = pickle.loads(model.value)
         for texts in batches:

@@ -23,12 +23,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_row, drop_written, numbered, slot, slots_of, text_of, without, written
+from .common import as_row, drop_written, frugal, numbered, slot, slots_of, small_batches, text_of, without, written
 from .exact_dedup import copies
 from .shingles import mixed
 
 #: Anchors of one hash beyond which they are judged in parts first; anchors sorted together, about; bytes hashed at a time.
-HOT, TOGETHER, SEGMENT = 2000, 16_000, 1 << 22
+HOT, TOGETHER, SEGMENT = 2000, 8_000, 1 << 22
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -246,6 +246,7 @@ def repeat_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     Rows with one _id have one text. Rows whose whole text an earlier row has (bytes compared) go as a whole and are not
     compared any further.
     """
+    small_batches(docs)
     gram = max(1, length * 32 // 100)
     kind = docs.schema["_id"].dataType.simpleString()
     docs = docs.where(F.col("_id").isNotNull() & (F.octet_length("_text") >= length)).select("_id", "_text")
@@ -253,6 +254,7 @@ def repeat_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     docs = without(docs, whole)
     found = f"key long, _id {kind}, place long, first long, last long, bytes binary"
 
+    @frugal
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         powers = Powers()
         for batch in batches:
@@ -276,6 +278,7 @@ def repeat_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     def opened(which: str):
         """Rows of judged(); those of hot keys as the rows that stay within some of a task's texts, and the stretches found there."""
 
+        @frugal
         def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             powers, out = Powers(), []
             ready = lambda: pd.DataFrame(out, columns=["key", "_id", "place", "first", "last", "bytes"])
@@ -361,6 +364,7 @@ def repeat_report(df: DataFrame, length: int = 100, id_col: str = "doc_id", text
     # Ids pass by as text: pandas would round integers beside a null.
     kind = df.schema[id_col].dataType
 
+    @frugal
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []

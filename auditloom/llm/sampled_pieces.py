@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import frugal, small_batches, text_of
 from .shingles import mixed
 
 MARK = "▁"
@@ -349,6 +349,7 @@ def sampled_segmentations(df: DataFrame, model: str, k: int = 2, alpha: float =
     """
     kind = df.schema[id_col].dataType
 
+    @frugal
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = Pieces(model, alpha)
 
@@ -369,6 +370,7 @@ def sampled_segmentations(df: DataFrame, model: str, k: int = 2, alpha: float =
             if docs:
                 yield rows(docs, texts)
 
+    small_batches(df)
     # The id goes as text, as pandas would round integers beside a null.
     rows = df.select(F.col(id_col).cast("string").alias("_id"), text_of(text_col).alias("_text"))
     out = rows.mapInPandas(sample, "_id string, rank int, ids binary, n_pieces long, log_prob double, perturbed double, log_inclusion double")
@@ -379,6 +381,7 @@ def decoded(df: DataFrame, model: str, ids_col: str = "ids", text_col: str = "te
     """The table with the text of each row's ids; null ids give null."""
 
     @F.pandas_udf("string")
+    @frugal
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         pieces = Pieces(model, 1.0)
         for ids in batches:

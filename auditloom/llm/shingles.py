@@ -24,7 +24,7 @@ class Shingler(dict):
     2**-64, so that counts over hashes are those over shingles.
     """
 
-    def __init__(self, words: int, most: int = 500_000):
+    def __init__(self, words: int, most: int = 150_000):
         self.words, self.most = words, most
 
     def __missing__(self, word: bytes) -> int:
