@@ -9,17 +9,17 @@ from pyspark.sql import functions as F
 BAD_BULLETS, BULLET = "\ufffd\uf0a7\uf0b7", "\u2022"
 # Instructions smuggled into a document, by the phrase that gives each away, and what replaces them.
 INJECTIONS = (
-    r"ignore (?:all |any )?(?:previous|prior|above) instructions",
-    r"disregard (?:all |any )?(?:previous|prior|above)",
-    r"you are now [a-z ]{1,40}",
-    r"system prompt",
+    r"ignore\s+(?:all\s+)?(?:previous|prior|above)\s+instructions?",
+    r"disregard\s+(?:all\s+)?(?:previous|prior|above)",
+    r"you\s+are\s+now\s+(?:a|an)\s+",
+    r"new\s+(?:system\s+)?(?:instructions?|prompt)\s*:",
     r"</?(?:system|assistant|user)>",
-    r"\[/?inst\]",
-    r"do not report",
-    r"mark (?:this|the) (?:document|passage) as compliant",
-    r"override (?:the )?(?:rules|guardrails)",
+    r"\[\s*(?:system|INST)\s*\]",
+    r"forget\s+(?:everything|all)\s+(?:you|above)",
+    r"do\s+not\s+report\s+(?:any\s+)?(?:violations?|findings?|issues?)",
+    r"return\s+(?:an\s+)?empty\s+(?:list|array|findings)",
 )
-MARKER = "[removed instruction]"
+MARKER = "[redacted: instruction-like text in source document]"
 _SPACE = r"(?U)\s+"
 
 
@@ -105,21 +105,30 @@ def estimated_tokens(text: Column) -> Column:
     return F.floor(F.length(text) / 3) + 128
 
 
-# Line classes, in the order in which they are tried.
+# Line classes, in the order in which they are tried.
 LINE_CLASSES = (
-    ("chapter", r"^CHAPTER\s+([IVXLC]+)$"),
+    ("chapter", r"^CHAPTER\s+([IVXL]+)$"),
     ("article", r"^Article\s+(\d+)$"),
-    ("annex", r"^ANNEX\s+([IVXLC]+)$"),
+    ("annex", r"^ANNEX\s+([IVXL]+)$"),
     ("part", r"^PART\s+([A-Z])$"),
     ("section", r"^SECTION\s+(\d+)$"),
-    ("number", r"^(\d+(?:\.\d+)*)\.\s+\S"),
-    ("alpha", r"^\(([a-z])\)\s+\S"),
-    ("roman", r"^\(([ivxl]{2,})\)\s+\S"),
+    ("number", r"^(\d+)\.\s+(.*)$"),
+    ("alpha", r"^\(([a-z])\)\s+(.*)$"),
+    ("roman", r"^\(([ivx]+)\)\s+(.*)$"),
 )
+ENUMERATORS = "|".join(pattern for name, pattern in LINE_CLASSES if name in ("number", "alpha", "roman"))
+# Phrases, lines and shares by which a page is front matter.
+FRONT_MATTER = (
+    "table of contents", "list of tables", "list of figures", "list of abbreviation", "abbreviations and definitions", "revision history", "document history", "glossary of terms", "list of acronym",
+)
+LEADER_LINE = r"(?:\.{4,}\s*\d{1,4}\s*$|\s{3,}\d{1,4}\s*$)"
+ACRONYM_LINE = r"^[A-Za-z][A-Za-z0-9&/]{1,9}\s{1,4}[A-Z(]"
+# What begins a paragraph within a section.
+PARAGRAPH_START = r"^([•\-\*]|\(?[a-z0-9]{1,3}[.)])\s+"
 
 
 def line_class(line: Column) -> tuple[Column, Column]:
-    """Class of a trimmed line and what its pattern captures; body and empty where none fits."""
+    """Class of a trimmed line and what its pattern captures first; body and empty where none fits."""
     kind, captured = F.lit("body"), F.lit("")
     for name, pattern in reversed(LINE_CLASSES):
         kind = F.when(F.rlike(line, F.lit(pattern)), F.lit(name)).otherwise(kind)
@@ -128,15 +137,13 @@ def line_class(line: Column) -> tuple[Column, Column]:
 
 
 def looks_like_title(line: Column) -> Column:
-    """Not empty, at most 18 words, no closing punctuation, no enumerator."""
-    enumerator = F.rlike(line, F.lit(r"^(?:\d+(?:\.\d+)*\.|\([a-z]+\))\s"))
-    return (F.trim(line) != "") & (n_words(line) <= 18) & ~F.rlike(F.rtrim(line), F.lit(r"[.;:,]$")) & ~enumerator
+    """Not empty, at most 18 words, no closing punctuation, no enumerator; of a trimmed line."""
+    return (line != "") & (n_words(line) <= 18) & ~F.rlike(line, F.lit(r"[.;:,]$")) & ~F.rlike(line, F.lit(ENUMERATORS))
 
 
 def looks_like_front_matter(text: Column) -> Column:
     """Blank, under 40 words, a marker phrase, or mostly contents or acronym lines."""
     lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    leaders = F.size(F.filter(lines, lambda x: F.rlike(x, F.lit(r"(\.{4,}|\s\d{1,3}$)"))))
-    acronyms = F.size(F.filter(lines, lambda x: F.rlike(x, F.lit(r"^[A-Z]{2,8}\s*[:\-]\s*\S"))))
-    marker = F.rlike(F.lower(F.coalesce(text, F.lit(""))), F.lit("table of contents|list of abbreviations|list of tables|list of figures|revision history"))
-    return (n_words(text) < 40) | marker | (leaders > 0.35 * F.size(lines)) | (acronyms > 0.5 * F.size(lines))
+    share = lambda pattern: F.size(F.filter(lines, lambda x: F.rlike(x, F.lit(pattern))))
+    marker = F.rlike(F.lower(F.coalesce(text, F.lit(""))), F.lit("|".join(FRONT_MATTER)))
+    return (n_words(text) < 40) | marker | (share(LEADER_LINE) > 0.35 * F.size(lines)) | (share(ACRONYM_LINE) > 0.5 * F.size(lines))

@@ -38,7 +38,7 @@ class Encoder(dict):
     which is several times faster than a call of the tokenizer for each; others go to the tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 120_000):
+    def __init__(self, path: str, most: int = 200_000):
         import tiktoken
         from tokenizers import Tokenizer
 

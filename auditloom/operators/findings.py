@@ -19,7 +19,13 @@ CATEGORIES = (
 SEVERITIES = {"Low": 5, "Medium": 10, "High": 15, "Critical": 20}
 REASONS = ("UNGROUNDED_QUOTE", "UNKNOWN_CLAUSE", "LOW_CONFIDENCE", "SCHEMA_INVALID", "EMPTY_EXPLANATION", "JUDGE_REJECTED", "ADDRESSED_ELSEWHERE")
 # How a reader says that something is missing.
-ABSENCE = r"(?i)\b(?:absen(?:t|ce)|missing|lacks?|lacking|omits?|omitted|fails? to|does not|do not|not (?:addressed|described|provided|specified|included|stated|mentioned)|no (?:mention|evidence|description|reference)|without|insufficient)\b"
+ABSENCE = (
+    r"(?i)\b((?:does|do|did|is|are|has|have)\s+not|not\s+(?:been\s+)?\w*"
+    r"(?:specif|includ|provid|describ|identif|present|demonstrat|defin|address|mention|document|state|contain|detail|discuss|justif|report|reference)\w*|"
+    r"lacks?|lacking|missing|absent|absence|omit\w*|fails?\s+to|"
+    r"no\s+(?:evidence|mention|description|reference|information|data|details?|discussion|justification|indication|explicit)|"
+    r"without\s+(?:any\s+)?(?:evidence|description|reference|justification)|insufficient|incomplete)\b"
+)
 
 ITEM = "violating_statement string, source_quote string, clause_id string, category string, severity string, explanation string, suggested_correction string, confidence double"
 LOCATED = "at_start int, at_end int, grounding double"
@@ -90,19 +96,28 @@ def items_of(replies: DataFrame, payload: str = "payload") -> DataFrame:
     return rows.withColumn("skipped", ~F.startswith(F.ltrim("raw_item"), F.lit("{"))).withColumn("f", F.from_json("raw_item", ITEM)).select(*replies.columns, "item_no", "raw_item", "skipped", "f.*")
 
 
-def schema_invalid(rows: Column | None = None) -> Column:
-    """Whether a finding breaks the schema: an unknown category or severity, an empty required text, or a confidence outside 0..1."""
-    text = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
-    return ~F.coalesce(F.col("category").isin(*CATEGORIES), F.lit(False)) | ~F.coalesce(F.col("severity").isin(*SEVERITIES), F.lit(False)) | text("source_quote") | text("clause_id") | text("violating_statement") | ~F.coalesce(F.col("confidence").between(0, 1), F.lit(False))
+def stripped(text: Column) -> Column:
+    """Without white space, line ends included, at either end; a null as empty."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
 
 
 def bare_id(clause_id: Column) -> Column:
-    return F.btrim(F.trim(clause_id), F.lit("[]"))
+    """An id without the brackets that models echo."""
+    return stripped(F.btrim(stripped(clause_id), F.lit("[]")))
+
+
+def schema_invalid() -> Column:
+    """Whether a finding breaks the schema: an unknown category or severity, a required text that is blank, or a confidence outside 0..1."""
+    blank = bare_id(F.col("clause_id")) == ""
+    for name in ("source_quote", "violating_statement", "explanation", "suggested_correction"):
+        blank |= stripped(F.col(name)) == ""
+    within = lambda c, known: F.coalesce(F.col(c).isin(*known), F.lit(False))
+    return ~within("category", CATEGORIES) | ~within("severity", SEVERITIES) | blank | ~F.coalesce(F.col("confidence").between(0, 1), F.lit(False))
 
 
 def cascade(rows: DataFrame, min_confidence: float = 0.35, min_grounding: float = 0.82, rules: tuple[str, ...] = REASONS) -> DataFrame:
     """The rows with `reason`, the first rule that rejects one, or null. Rows need the finding's fields, allowed (array of ids) and grounding."""
-    empty = (F.trim(F.coalesce("explanation", F.lit(""))) == "") | (F.trim(F.coalesce("suggested_correction", F.lit(""))) == "")
+    empty = (stripped(F.col("explanation")) == "") | (stripped(F.col("suggested_correction")) == "")
     tests = (
         ("SCHEMA_INVALID", schema_invalid()),
         ("EMPTY_EXPLANATION", empty),
@@ -120,15 +135,15 @@ def cascade(rows: DataFrame, min_confidence: float = 0.35, min_grounding: float
 def locate_quote(quote: str | None, passage: str | None, least: float = 0.82) -> tuple[int, int, float]:
     """Start, end and score of a quote: as it stands (1.0), then without regard to case and white space (0.98), then the nearest window (its ratio).
 
-    The nearest window is looked for only with 12 characters or more. (-1, -1, 0.0) if there is none.
+    A quote of white space alone stands for the whole passage. The nearest window is looked for only with 12 characters or more. (-1, -1, 0.0) if there is none.
     """
     quote, passage = quote or "", passage or ""
-    if not quote.strip() or not passage:
+    if not quote or not passage:
         return -1, -1, 0.0
     at = passage.find(quote)
     if at >= 0:
         return at, at + len(quote), 1.0
-    flat, places, gap = [], [], True
+    flat, places, gap = [], [], False
     for i, char in enumerate(passage):
         if char.isspace():
             if not gap:
@@ -143,7 +158,7 @@ def locate_quote(quote: str | None, passage: str | None, least: float = 0.82) ->
     hay, needle = "".join(flat), " ".join(quote.lower().split())
     at = hay.find(needle)
     if at >= 0:
-        return places[at], places[at + len(needle) - 1] + 1, 0.98
+        return places[at], places[at + len(needle) - 1] + 1 if needle else places[-1] + 1, 0.98
     if len(needle) < 12:
         return -1, -1, 0.0
     block = difflib.SequenceMatcher(None, hay, needle, autojunk=False).find_longest_match(0, len(hay), 0, len(needle))
@@ -151,15 +166,15 @@ def locate_quote(quote: str | None, passage: str | None, least: float = 0.82) ->
         return -1, -1, 0.0
     begin = max(0, block.a - block.b)
     end = min(len(hay), begin + len(needle))
-    ratio = difflib.SequenceMatcher(None, hay[begin:end], needle, autojunk=False).ratio()
+    ratio = difflib.SequenceMatcher(None, hay[begin:end], needle).ratio()
     return (places[begin], places[end - 1] + 1, ratio) if ratio >= least else (-1, -1, 0.0)
 
 
 def quote_places(rows: DataFrame, quote: str = "source_quote", passage: str = "text", least: float = 0.82) -> DataFrame:
     """The rows with at_start, at_end and grounding. Exact quotes are found by an expression; only the others go to Python."""
     at = F.call_function("instr", F.col(passage), F.col(quote)).cast("int")
-    exact = rows.where((at > 0) & (F.trim(quote) != "")).withColumns({"at_start": at - 1, "at_end": (at - 1 + F.length(quote)).cast("int"), "grounding": F.lit(1.0)})
-    other = rows.where(~F.coalesce((at > 0) & (F.trim(quote) != ""), F.lit(False)))
+    exact = rows.where((at > 0) & (F.length(quote) > 0)).withColumns({"at_start": at - 1, "at_end": (at - 1 + F.length(quote)).cast("int"), "grounding": F.lit(1.0)})
+    other = rows.where(~F.coalesce((at > 0) & (F.length(quote) > 0), F.lit(False)))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -251,8 +266,8 @@ def audit_scores(predicted: DataFrame, expected: DataFrame, clean: DataFrame) ->
     one = matched.crossJoin(on_clean).crossJoin(whole).crossJoin(expected.agg(F.count("*").alias("expected"))).crossJoin(clean.agg(F.count("*").alias("clean")))
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     one = one.withColumn("recall", ratio("matched", "expected")).withColumn("precision", ratio("matched", "n"))
-    return one.select("matched", F.round("recall", 4).alias("recall"), F.round("precision", 4).alias("precision"), F.round(ratio(2 * F.col("recall") * F.col("precision"), F.col("recall") + F.col("precision")), 4).alias("f1"),
-                      F.round(ratio("clean_hit", "clean"), 4).alias("fp_rate"), "findings_on_clean", F.round(ratio("bad", "n"), 4).alias("hallucination_rate"))
+    return one.select("matched", F.bround("recall", 4).alias("recall"), F.bround("precision", 4).alias("precision"), F.bround(ratio(2 * F.col("recall") * F.col("precision"), F.col("recall") + F.col("precision")), 4).alias("f1"),
+                      F.bround(ratio("clean_hit", "clean"), 4).alias("fp_rate"), "findings_on_clean", F.bround(ratio("bad", "n"), 4).alias("hallucination_rate"))
 
 
 def generated(prompts: DataFrame, provider: Callable[[], Callable[[str], str]], key: str) -> DataFrame:

@@ -96,4 +96,4 @@ def context_words(ranked: DataFrame, cost: DataFrame, k: int) -> DataFrame:
 
 def delta_percent(after, before):
     """Change against a base in percent; null where the base is missing or 0."""
-    return F.when(F.coalesce(before, F.lit(0.0)) != 0, F.round(100 * (after - before) / before, 4))
+    return F.when(F.coalesce(before, F.lit(0.0)) != 0, 100 * (after - before) / before)

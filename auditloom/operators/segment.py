@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditloom.functions.text import n_words, words
+from auditloom.functions.text import LINE_CLASSES, PARAGRAPH_START, n_words, normalised, words
 
 
 def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -40,12 +40,12 @@ def suffixed(rows: DataFrame, key: str, order: str, first: int = 1, mark: str =
 
 
 def paragraphs(lines: DataFrame, key: str) -> DataFrame:
-    """(key, para, text): lines joined by a space; a bullet or enumerator begins a paragraph, and so does the line after one that ends in . : or ;"""
+    """(key, para, text): lines joined and normalised; a bullet or enumerator begins a paragraph, and so does the line after one that ends in . : or ; Blank ones go."""
     order = Window.partitionBy(key).orderBy("ord")
-    new = F.rlike("line", F.lit(r"^\s*(?:[•*-]|\d+\.|\([a-z]+\))\s")) | F.coalesce(F.rlike(F.lag("line").over(order), F.lit(r"[.:;]\s*$")), F.lit(False))
+    new = F.rlike("line", F.lit(PARAGRAPH_START)) | F.coalesce(F.rlike(F.lag("line").over(order), F.lit(r"[.:;]\s*$")), F.lit(False))
     rows = lines.withColumn("_new", new.cast("int")).withColumn("para", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     parts = rows.groupBy(key, "para").agg(F.array_sort(F.collect_list(F.struct("ord", "line"))).alias("_l"))
-    return parts.select(key, "para", F.array_join(F.transform("_l", lambda x: x["line"]), " ").alias("text"))
+    return parts.select(key, "para", normalised(F.array_join(F.transform("_l", lambda x: x["line"]), " ")).alias("text")).where("text <> ''")
 
 
 def packed_sizes(sizes: Column, target: int = 320, most: int = 520, tail: int = 40) -> Column:
@@ -92,7 +92,7 @@ def rendered_table(rows: Column, caption: Column | None = None) -> Column:
     head = clean(F.element_at(kept, 1))
     pair = lambda h, c: F.when(F.coalesce(c, F.lit("")) == "", F.lit(None)).when(F.coalesce(h, F.lit("")) == "", c).otherwise(F.concat(h, F.lit(": "), c))
     one = lambda r: F.concat(F.array_join(F.array_compact(F.zip_with(head, clean(r), pair)), "; "), F.lit("."))
-    body = F.array_join(F.transform(F.slice(kept, 2, 1_000_000), one), " ")
+    body = F.array_join(F.transform(F.slice(kept, F.lit(2), F.size(kept)), one), " ")
     plain = F.when(F.size(kept) == 0, F.lit("")).when(F.size(kept) == 1, F.array_join(F.array_remove(head, ""), " ")).otherwise(body)
     return plain if caption is None else F.when(F.coalesce(caption, F.lit("")) != "", F.concat(caption, F.lit(". "), plain)).otherwise(plain)
 
@@ -104,82 +104,87 @@ def outside_boxes(lines: DataFrame, boxes: DataFrame) -> DataFrame:
     return lines.join(b, inside, "left_anti")
 
 
-# Headings and enumerators of a regulation.
-_MARKS = (
-    ("chapter", re.compile(r"^CHAPTER\s+([IVXLC]+)$")), ("article", re.compile(r"^Article\s+(\d+)$")), ("annex", re.compile(r"^ANNEX\s+([IVXLC]+)$")),
-    ("part", re.compile(r"^PART\s+([A-Z])$")), ("section", re.compile(r"^SECTION\s+(\d+)$")), ("num", re.compile(r"^(\d+(?:\.\d+)*)\.\s+(.*)$")),
-    ("alpha", re.compile(r"^\(([a-z])\)\s+(.*)$")), ("roman", re.compile(r"^\(([ivxl]{2,})\)\s+(.*)$")),
-)
+_MARKS = tuple((name, re.compile(pattern)) for name, pattern in LINE_CLASSES)
 # What each heading clears besides the enumerators, as said in the survey of the format.
 _CLEARS = {"chapter": (), "article": ("annex", "annex_title", "part", "section", "article_title"), "annex": ("chapter", "article", "article_title", "part", "section", "annex_title"), "part": ("section",), "section": ()}
 CLAUSE_SCHEMA = "doc_id {kind}, ord int, clause_id string, kind string, path string, text string, page_start int, page_end int, n_words int"
 
 
 def _title_like(line: str) -> bool:
-    return bool(line) and len(line.split()) <= 18 and line[-1] not in ".;:," and not re.match(r"^(?:\d+(?:\.\d+)*\.|\([a-z]+\))\s", line)
+    enumerator = any(pattern.match(line) for name, pattern in _MARKS if name in ("number", "alpha", "roman"))
+    return len(line.split()) <= 18 and not line.endswith((".", ";", ":", ",")) and not enumerator
 
 
 def clause_rows(pages: pd.DataFrame, min_words: int = 8) -> list[tuple]:
     """Clauses of one document's lines (page, ord, line), in order: (ord, clause_id, kind, path, text, page_start, page_end, n_words).
 
-    Text before the first article or annex is dropped. Repeated ids get #1, #2, ... before short clauses are filtered.
+    The line after a chapter, article or annex is its title if it looks like one, whatever else it is. Text before the
+    first article or annex is dropped. Repeated ids get #1, #2, ... before short clauses are filtered.
     """
-    state: dict[str, str] = {}
+    at: dict[str, str] = {}
+    levels: dict[str, str] = {}
     labels: list[str] = []
-    titled, found, text, begun, last = "", [], [], 0, 0
+    text: list[str] = []
+    found: list[list] = []
+    titled, begun = "", 0
 
-    def flush() -> None:
-        body = " ".join(" ".join(text).split())
+    def flush(page: int) -> None:
+        body, own = " ".join(" ".join(text).split()), list(labels)
         text.clear()
-        if not body or not (state.get("annex") or state.get("article")):
+        labels.clear()
+        if not body or not (at.get("annex") or at.get("article")):
             return
-        if state.get("annex"):
-            parts, kind = ["Annex", state["annex"], state.get("part", ""), f"S{state['section']}" if state.get("section") else "", *labels], "annex_section"
-            path = [f"ANNEX {state['annex']}", state.get("annex_title", ""), f"PART {state['part']}" if state.get("part") else "", f"SECTION {state['section']}" if state.get("section") else ""]
+        marks = [f"({x})" for x in own]
+        if at.get("annex"):
+            kind, parts, path = "annex_section", ["Annex", at["annex"]], [f"Annex {at['annex']}"]
+            if at.get("part"):
+                parts.append(at["part"])
+                path.append(f"Part {at['part']}")
+            if at.get("section"):
+                parts.append(f"S{at['section']}")
+                path.append(f"Section {at['section']}")
         else:
-            parts, kind = ["Art", state["article"], *labels], "article_paragraph"
-            path = [f"CHAPTER {state['chapter']}" if state.get("chapter") else "", f"Article {state['article']}", state.get("article_title", "")]
-        found.append([".".join(p for p in parts if p), kind, " > ".join(p for p in [*path, *labels] if p), body, begun, last])
+            kind, parts, path = "article_paragraph", ["Art", at["article"]], [f"Article {at['article']}"]
+            if at.get("chapter"):
+                path.insert(0, f"Chapter {at['chapter']}")
+        found.append([".".join([*parts, *own]), kind, " > ".join([*path, *marks]), body, begun, page])
 
+    last = 0
     for page, line in zip(pages["page"], pages["line"], strict=True):
-        line = " ".join(line.split())
+        line, last = line.strip(), page
         if not line:
             continue
+        if titled:
+            name, titled = titled, ""
+            if _title_like(line):
+                at[f"{name}_title"] = line
+                continue
         mark, m = next(((name, m) for name, pattern in _MARKS if (m := pattern.match(line))), ("", None))
-        if titled and not mark and _title_like(line):
-            state[f"{titled}_title"], titled = line, ""
-            continue
-        titled = ""
         if mark in _CLEARS:
-            flush()
+            flush(page)
+            levels.clear()
             for name in _CLEARS[mark]:
-                state.pop(name, None)
-            if mark == "chapter":
-                state.pop("chapter_title", None)
-                if state.get("annex"):
-                    state.pop("section", None)
-            state[mark], labels[:] = m[1], []
+                at.pop(name, None)
+            if mark == "chapter" and at.get("annex"):
+                at.pop("section", None)
+            at.pop(f"{mark}_title", None)
+            at[mark] = m[1]
             titled = mark if mark in ("chapter", "article", "annex") else ""
-            continue
-        if mark:
-            flush()
-            keep = {"num": 0, "alpha": 1, "roman": 2}[mark]
-            held = {0: labels[0] if labels and labels[0][0].isdigit() else "", 1: next((x for x in labels if x.isalpha() and len(x) == 1), "")}
-            labels[:] = [x for x in ([m[1]] if keep == 0 else [held[0], m[1]] if keep == 1 else [held[0], held[1], m[1]]) if x]
-            if mark == "roman":
-                text.append(m[2])
-                begun = last = page
-                flush()
-                labels.pop()
-                continue
-            text.append(m[2])
-            begun = last = page
-            continue
-        if not text:
+        elif mark:
+            flush(page)
+            if mark == "number":
+                levels.clear()
+            if mark != "roman":
+                levels[mark] = m[1]
+            labels[:] = [levels[x] for x in ("number", "alpha") if x in levels] + [m[1]] * (mark == "roman")
             begun = page
-        text.append(line)
-        last = page
-    flush()
+            if m[2]:
+                text.append(m[2])
+        else:
+            if not text:
+                begun = page
+            text.append(line)
+    flush(last)
     seen: dict[str, int] = {}
     for row in found:
         seen[row[0]] = n = seen.get(row[0], -1) + 1

@@ -19,7 +19,7 @@ MADE = """SELECT doc_id, source AS passage_id, text,
   CASE WHEN doc_id % 5 = 0 THEN '@@ not in the text @@' ELSE substr(text, CAST(doc_id % 10 AS INT) + 1, 30) END AS source_quote
 FROM documents"""
 DUCK = "f AS (" + MADE.format(pick=f"([{CATS}])[doc_id % 9 + 1]", str="VARCHAR") + ")"
-INVALID = f"(category NOT IN ({CATS}) OR trim(source_quote) = '')"
+INVALID = f"(category NOT IN ({CATS}) OR trim(source_quote) = '' OR trim(explanation) = '')"
 REASON = f"""r AS (SELECT *, CASE WHEN {INVALID} THEN 'SCHEMA_INVALID' WHEN trim(explanation) = '' THEN 'EMPTY_EXPLANATION' WHEN confidence < 0.35 THEN 'LOW_CONFIDENCE'
   WHEN doc_id % 7 > 4 THEN 'UNKNOWN_CLAUSE' WHEN NOT contains(text, source_quote) THEN 'UNGROUNDED_QUOTE' END AS reason FROM f)"""
 BASE = f"WITH {DUCK}, {REASON}"
@@ -69,8 +69,8 @@ def quote_locate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reply_parsing(spark: SparkSession, d: str) -> DataFrame:
-    """Replies in every form that a model gives them, one for each document."""
-    item = F.format_string('{"clause_id": "Art.%d.1", "confidence": 0.5}', F.col("doc_id") % 7)
+    """Replies in every form that a model gives them, one for each document, with its whole text as the quote."""
+    item = F.to_json(F.struct(F.concat(F.lit("Art."), F.col("doc_id") % 7, F.lit(".1")).alias("clause_id"), F.col("text").alias("source_quote")))
     whole = F.concat(F.lit('{"findings": ['), item, F.lit("]}"))
     raw = (
         F.when(F.col("doc_id") % 6 == 0, whole).when(F.col("doc_id") % 6 == 1, F.concat(F.lit("<think>hm</think>```json\n"), whole, F.lit("\n```")))
@@ -78,7 +78,8 @@ def reply_parsing(spark: SparkSession, d: str) -> DataFrame:
         .when(F.col("doc_id") % 6 == 4, F.concat(F.lit('{"findings": ['), item, F.lit(', {"clause_id": "Art'))).otherwise(F.lit("[1, 2]"))
     )
     rows = A.parsed(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", raw.alias("raw")))
-    return rows.select("doc_id", "salvaged", F.get_json_object("payload", "$.findings[0].clause_id").alias("clause_id"), F.col("error").isNotNull().alias("failed"))
+    field = lambda name: F.get_json_object("payload", f"$.findings[0].{name}")
+    return rows.select("doc_id", "salvaged", field("clause_id").alias("clause_id"), F.md5(field("source_quote")).alias("quote"), F.col("error").isNotNull().alias("failed"))
 
 
 def expected(spark: SparkSession, d: str) -> DataFrame:
@@ -179,7 +180,7 @@ TABLE = {
     "quote_locate": (quote_locate, None),
     "reply_parsing": (
         reply_parsing,
-        "SELECT doc_id, doc_id % 6 = 4 AS salvaged, CASE WHEN doc_id % 6 IN (3, 5) THEN NULL ELSE 'Art.' || doc_id % 7 || '.1' END AS clause_id, doc_id % 6 IN (3, 5) AS failed FROM documents",
+        "SELECT doc_id, doc_id % 6 = 4 AS salvaged, CASE WHEN doc_id % 6 IN (3, 5) THEN NULL ELSE 'Art.' || doc_id % 7 || '.1' END AS clause_id, CASE WHEN doc_id % 6 NOT IN (3, 5) THEN md5(text) END AS quote, doc_id % 6 IN (3, 5) AS failed FROM documents",
     ),
     "greedy_match": (greedy_match, f"{BASE}, {MATCHED} SELECT passage_id, expect_no, predict_no FROM n WHERE expect_no <= 2"),
     "audit_scores": (
@@ -187,7 +188,7 @@ TABLE = {
         f"""{BASE}, {MATCHED}, t AS (SELECT (SELECT count(*) FROM n WHERE expect_no <= 2) AS matched, (SELECT 3 * count(DISTINCT passage_id) FROM f) AS e, (SELECT count(*) FROM r WHERE reason IS NULL) AS p,
         (SELECT count(*) FROM r WHERE reason IS NULL AND doc_id % 10 = 0) AS bad, (SELECT count(DISTINCT passage_id) FROM f WHERE right(passage_id, 1) IN ('5', '7')) AS cl,
         (SELECT count(*) FROM r WHERE reason IS NULL AND right(passage_id, 1) IN ('5', '7')) AS oc, (SELECT count(DISTINCT passage_id) FROM r WHERE reason IS NULL AND right(passage_id, 1) IN ('5', '7')) AS ch)
-        SELECT matched, round(matched / e, 4) AS recall, round(matched / p, 4) AS precision, round(2 * (matched / e) * (matched / p) / (matched / e + matched / p), 4) AS f1, round(ch / cl, 4) AS fp_rate, oc AS findings_on_clean, round(bad / p, 4) AS hallucination_rate FROM t""",
+        SELECT matched, round_even(matched / e, 4) AS recall, round_even(matched / p, 4) AS precision, round_even(2 * (matched / e) * (matched / p) / (matched / e + matched / p), 4) AS f1, round_even(ch / cl, 4) AS fp_rate, oc AS findings_on_clean, round_even(bad / p, 4) AS hallucination_rate FROM t""",
     ),
     "reconcile": (
         reconcile,

@@ -113,7 +113,7 @@ def test_clauses(spark):
     lines = spark.createDataFrame([(1, 13, i, t) for i, t in enumerate(LINES.split("\n"))], "doc_id int, page int, ord int, line string")
     got = {r.clause_id: r for r in Seg.clauses(lines).collect()}
     assert list(sorted(got)) == ["Annex.I.A.S2.3", "Art.1.1", "Art.1.1#1", "Art.1.1.a", "Art.1.1.a.ii"]
-    assert got["Art.1.1"].path == "CHAPTER I > Article 1 > Scope and aims > 1" and got["Annex.I.A.S2.3"].kind == "annex_section"
+    assert got["Art.1.1"].path == "Chapter I > Article 1 > (1)" and got["Annex.I.A.S2.3"].path == "Annex I > Part A > Section 2 > (3)" and got["Art.1.1.a.ii"].path == "Chapter I > Article 1 > (1) > (a) > (ii)" and got["Annex.I.A.S2.3"].kind == "annex_section"
 
 
 def test_replies():
@@ -140,7 +140,7 @@ def finding(**of):
 
 def test_cascade_and_readiness(spark):
     cases = [
-        (finding(), None), (finding(category="Nonsense"), "SCHEMA_INVALID"), (finding(source_quote=" "), "SCHEMA_INVALID"), (finding(explanation=""), "EMPTY_EXPLANATION"),
+        (finding(), None), (finding(category="Nonsense"), "SCHEMA_INVALID"), (finding(source_quote=" "), "SCHEMA_INVALID"), (finding(explanation="\n"), "SCHEMA_INVALID"), (finding(clause_id="[]"), "SCHEMA_INVALID"), (finding(clause_id="[ Art.61.1 ]\n"), None),
         (finding(confidence=0.1, clause_id="X"), "LOW_CONFIDENCE"), (finding(clause_id="X"), "UNKNOWN_CLAUSE"), (finding(grounding=0.5), "UNGROUNDED_QUOTE"),
     ]
     kinds = A.ITEM + ", allowed array<string>, grounding double, n int"
