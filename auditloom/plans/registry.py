@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit, retrieval, textual
+from . import audit, everyday, retrieval, textual
 
-MODULES = (retrieval, textual, audit)
+MODULES = (retrieval, textual, audit, everyday)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
