@@ -17,21 +17,24 @@ def graded(ranked: DataFrame, gold: DataFrame) -> DataFrame:
     return ranked.join(gold.select("query_id", "doc_id", "grade"), ["query_id", "doc_id"], "left").withColumn("grade", F.coalesce("grade", F.lit(0)))
 
 
-def ideal_dcg(gold: DataFrame, k: int) -> DataFrame:
+def ideal_dcg(gold: DataFrame, ks: list[int]) -> DataFrame:
+    """(query_id, k, idcg)."""
     order = Window.partitionBy("query_id").orderBy(F.desc("grade"), "doc_id")
-    best = gold.where("grade > 0").withColumn("at", F.row_number().over(order)).where(F.col("at") <= k)
-    return best.groupBy("query_id").agg(F.sum((F.pow(F.lit(2.0), F.col("grade")) - 1) / F.log2(F.col("at") + 1.0)).alias("idcg"))
+    best = gold.where("grade > 0").withColumn("at", F.row_number().over(order)).where(F.col("at") <= max(ks))
+    best = best.withColumn("k", F.explode(F.array(*map(F.lit, ks)))).where("at <= k")
+    return best.groupBy("query_id", "k").agg(F.sum((F.pow(F.lit(2.0), F.col("grade")) - 1) / F.log2(F.col("at") + 1.0)).alias("idcg"))
 
 
-def metrics_at_k(queries: DataFrame, ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
-    """query_id and hit_rate, recall, precision, mrr, ap, dcg, ndcg, context_precision of the first k places."""
-    if k < 1:
+def metrics_at(queries: DataFrame, ranked: DataFrame, gold: DataFrame, ks: list[int]) -> DataFrame:
+    """query_id, k and hit_rate, recall, precision, mrr, ap, dcg, ndcg, context_precision of the first k places, for every k from one pass over the ranking."""
+    if min(ks) < 1:
         raise ValueError("k must be at least 1")
-    hits = graded(ranked.where(F.col("rk") <= k), gold)
+    hits = graded(ranked.where(F.col("rk") <= max(ks)), gold)
     seen = Window.partitionBy("query_id").orderBy("rk").rowsBetween(Window.unboundedPreceding, 0)
     primary = (F.col("grade") == PRIMARY).cast("int")
     hits = hits.withColumn("primary", primary).withColumn("so_far", F.sum("primary").over(seen))
-    per = hits.groupBy("query_id").agg(
+    each = F.explode(F.array(*map(F.lit, ks)))
+    per = hits.withColumn("k", each).where("rk <= k").groupBy("query_id", "k").agg(
         F.sum("primary").alias("found"),
         F.min(F.when(F.col("primary") == 1, F.col("rk"))).alias("first"),
         F.sum(F.when(F.col("primary") == 1, F.col("so_far") / F.col("rk")).otherwise(0.0)).alias("precisions"),
@@ -39,22 +42,28 @@ def metrics_at_k(queries: DataFrame, ranked: DataFrame, gold: DataFrame, k: int)
         F.sum((F.col("grade") > 0).cast("int")).alias("relevant"),
     )
     labels = gold.groupBy("query_id").agg(F.sum((F.col("grade") == PRIMARY).cast("int")).alias("n_primary"))
-    rows = queries.select("query_id").join(per, "query_id", "left").join(labels, "query_id", "left").join(ideal_dcg(gold, k), "query_id", "left")
+    rows = queries.select("query_id", each.alias("k")).join(per, ["query_id", "k"], "left").join(labels, "query_id", "left").join(ideal_dcg(gold, ks), ["query_id", "k"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     has = F.coalesce("n_primary", F.lit(0)) > 0
     return rows.select(
         "query_id",
+        "k",
         F.when(has & (F.coalesce("found", F.lit(0)) > 0), 1.0).otherwise(0.0).alias("hit_rate"),
         zero(F.try_divide("found", "n_primary")).alias("recall"),
-        zero(F.col("found") / k).alias("precision"),
+        zero(F.col("found") / F.col("k")).alias("precision"),
         zero(1 / F.col("first")).alias("mrr"),
         zero(F.try_divide("precisions", "n_primary")).alias("ap"),
         zero(F.col("dcg")).alias("dcg"),
         zero(F.try_divide("dcg", "idcg")).alias("ndcg"),
-        zero(F.col("relevant") / k).alias("context_precision"),
+        zero(F.col("relevant") / F.col("k")).alias("context_precision"),
     )
 
 
+def metrics_at_k(queries: DataFrame, ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
+    """The same for one k, without its column."""
+    return metrics_at(queries, ranked, gold, [k]).drop("k")
+
+
 METRICS = ["hit_rate", "recall", "precision", "mrr", "ap", "dcg", "ndcg", "context_precision"]
 
 
@@ -78,14 +87,20 @@ def within_budget(ranked: DataFrame, cost: DataFrame, budget: int) -> DataFrame:
     return rows.withColumn("spent", F.sum("cost").over(upto)).where(F.col("spent") <= budget).drop("n_words")
 
 
-def budget_recall(queries: DataFrame, ranked: DataFrame, cost: DataFrame, gold: DataFrame, budget: int) -> DataFrame:
-    """query_id and the share of its primary labels found within a budget of words."""
+def budget_recalls(queries: DataFrame, ranked: DataFrame, cost: DataFrame, gold: DataFrame, budgets: list[int]) -> DataFrame:
+    """query_id, budget and the share of the query's primary labels found within that many words, for every budget from one pass."""
     primary = gold.where(F.col("grade") == PRIMARY).select("query_id", "doc_id")
-    found = within_budget(ranked, cost, budget).select("query_id", "doc_id").distinct().join(primary, ["query_id", "doc_id"], "left_semi")
-    found = found.groupBy("query_id").agg(F.count("*").alias("found"))
+    each = F.explode(F.array(*map(F.lit, budgets)))
+    spent = within_budget(ranked, cost, max(budgets)).groupBy("query_id", "doc_id").agg(F.min("spent").alias("spent")).join(primary, ["query_id", "doc_id"], "left_semi")
+    found = spent.withColumn("budget", each).where("spent <= budget").groupBy("query_id", "budget").agg(F.count("*").alias("found"))
     labels = primary.groupBy("query_id").agg(F.count("*").alias("labels"))
-    rows = queries.select("query_id").join(labels, "query_id", "left").join(found, "query_id", "left")
-    return rows.select("query_id", F.coalesce(F.try_divide("found", "labels"), F.lit(0.0)).alias("recall"))
+    rows = queries.select("query_id", each.alias("budget")).join(labels, "query_id", "left").join(found, ["query_id", "budget"], "left")
+    return rows.select("query_id", "budget", F.coalesce(F.try_divide("found", "labels"), F.lit(0.0)).alias("recall"))
+
+
+def budget_recall(queries: DataFrame, ranked: DataFrame, cost: DataFrame, gold: DataFrame, budget: int) -> DataFrame:
+    """The same for one budget, without its column."""
+    return budget_recalls(queries, ranked, cost, gold, [budget]).drop("budget")
 
 
 def context_words(ranked: DataFrame, cost: DataFrame, k: int) -> DataFrame:

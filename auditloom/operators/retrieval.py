@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from auditloom.functions.text import tokens
 
-#: Query vectors sent to the executors at once.
-QUERY_BLOCK = 4096
+#: Query vectors, queries of terms, and documents in a block.
+QUERY_BLOCK, TERM_BLOCK, DOC_BLOCK = 1024, 256, 2048
 
 
 def top_k(scored: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -30,66 +30,94 @@ def normalised_vector(v: Column) -> Column:
     return F.transform(wide, lambda x: x / F.when(norm == 0, 1.0).otherwise(norm))
 
 
-def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = False, where: Column | None = None) -> DataFrame:
-    """Exact nearest neighbours by dot product of (query_id, vector) in (doc_id, vector), rounded to 9 places.
+def packed(rows: DataFrame, key: str, value: str, size: int) -> DataFrame:
+    """The rows (key, value) in blocks of at most `size`: ids and values as arrays. Blocks are made within tasks, without a shuffle."""
+    kinds = f"ids array<{rows.schema[key].dataType.simpleString()}>, vals array<{rows.schema[value].dataType.simpleString()}>"
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            parts = [batch.iloc[at : at + size] for at in range(0, len(batch), size)]
+            yield pd.DataFrame({"ids": [p[key].tolist() for p in parts], "vals": [p[value].tolist() for p in parts]})
+
+    return rows.where(F.col(key).isNotNull()).select(key, value).mapInPandas(pack, kinds)
+
+
+def best_of_block(queries: np.ndarray, docs: np.ndarray, score: np.ndarray, k: int, least: float = -np.inf) -> pd.DataFrame:
+    """The k best documents of each row of a score matrix: largest score first, then the smaller id. Scores up to `least` don't count."""
+    edge = -np.partition(-score, k - 1, axis=1)[:, k - 1] if score.shape[1] > k else np.full(len(score), -np.inf)
+    q, d = np.nonzero((score >= edge[:, None]) & (score > least))
+    value = score[q, d]
+    order = np.lexsort((docs[d], -value, q))
+    q, d, value = q[order], d[order], value[order]
+    place = np.arange(len(q)) - np.searchsorted(q, q)
+    keep = place < k
+    return pd.DataFrame({"query_id": queries[q[keep]], "doc_id": docs[d[keep]], "score": value[keep]})
+
+
+def block_topk(queries: DataFrame, corpus: DataFrame, score: Callable[[pd.Series], np.ndarray], k: int, kinds: str, least: float = -np.inf) -> DataFrame:
+    """The k best of each query over all pairs of a query block and a corpus block; only a pair's best become rows.
 
-    Queries go to the executors in blocks of bounded size; each task keeps its k best a query and Arrow batch, so that
-    pairs never become rows before they are among the best of a batch. Ties go to the smaller doc_id.
+    Both are tables of blocks, so that nothing passes through the driver: Spark sends the query blocks to all tasks where
+    they are few, and deals out the pairs where they are not.
     """
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, row in batch.iterrows():
+                yield best_of_block(np.asarray(list(row["q_ids"])), np.asarray(list(row["ids"])), score(row), k, least)
+
+    pairs = corpus.crossJoin(queries.select(*(F.col(c).alias(f"q_{c}") for c in queries.columns)))
+    return pairs.mapInPandas(best, kinds)
+
+
+def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = False, where: Column | None = None) -> DataFrame:
+    """Exact nearest neighbours by dot product of (query_id, vector) in (doc_id, vector), rounded to 9 places. Ties go to the smaller doc_id."""
     if where is not None:
         corpus = corpus.where(where)
     if exclude_self:
         k += 1
     kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {corpus.schema['doc_id'].dataType.simpleString()}, score double"
-    rows = queries.select("query_id", "vector").toLocalIterator()
-    parts, block = [], []
-
-    def searched(block: list) -> DataFrame:
-        sent = corpus.sparkSession.sparkContext.broadcast(([r[0] for r in block], np.array([r[1] for r in block], dtype=np.float64)))
-
-        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, matrix = sent.value
-            for batch in batches:
-                if not len(batch):
-                    continue
-                docs = batch["doc_id"].to_numpy()
-                score = np.round(matrix @ np.stack(batch["vector"].to_numpy()).astype(np.float64).T, 9)
-                order = np.lexsort((np.broadcast_to(docs, score.shape), -score), axis=1)[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(np.asarray(ids), order.shape[1]), "doc_id": docs[order.ravel()], "score": np.take_along_axis(score, order, 1).ravel()})
-
-        return corpus.select("doc_id", "vector").mapInPandas(best, kinds)
-
-    for row in rows:
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            parts.append(searched(block))
-            block = []
-    if block or not parts:
-        parts.append(searched(block) if block else corpus.sparkSession.createDataFrame([], kinds))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    matrix = lambda v: np.array([np.asarray(x, dtype=np.float64) for x in v])
+    score = lambda row: np.round(matrix(row["q_vals"]) @ matrix(row["vals"]).T, 9)
+    out = block_topk(packed(queries, "query_id", "vector", QUERY_BLOCK), packed(corpus, "doc_id", "vector", DOC_BLOCK), score, k, kinds)
     return top_k(out.where("query_id <> doc_id"), k - 1) if exclude_self else top_k(out, k)
 
 
 def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, idf: bool = True, weighted: bool = False) -> DataFrame:
     """Sparse search of (query_id, text) in (doc_id, text); scores rounded to 9 places, ties to the smaller doc_id.
 
-    Postings are cut to the queries' terms before anything is counted. A query without terms gives no rows. With
-    `weighted`, a term counts as often as the query has it. Without `idf` all terms weigh the same.
+    Document frequencies are counted for the queries' terms alone. Blocks of queries are then held against blocks of
+    documents as matrices of term weights, so that a common term costs no row for each query and document. A query
+    without terms gives no rows. With `weighted`, a term counts as often as the query has it. Without `idf` all terms
+    weigh the same.
     """
     terms = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     docs = corpus.select("doc_id", tokens(F.col("text")).alias("terms"))
     stats = docs.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avg_len"))
-    postings = docs.select("doc_id", F.size("terms").alias("len"), F.explode("terms").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    postings = postings.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    known = docs.select(F.explode(F.array_distinct("terms")).alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    df = known.groupBy("term").agg(F.count("*").alias("df"))
     weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) if idf else F.lit(1.0)
-    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    query_weight = F.col("qtf") if weighted else F.lit(1)
-    matched = terms.join(df, "term").join(postings, "term").crossJoin(F.broadcast(stats))
-    scored = matched.groupBy("query_id", "doc_id").agg(F.round(F.sum(query_weight * weight * tf), 9).alias("score"))
-    return top_k(scored, k)
+    weight = (F.col("qtf") * weight if weighted else weight).cast("double")
+    own = terms.join(df, "term").crossJoin(F.broadcast(stats)).groupBy("query_id").agg(F.collect_list(F.struct("term", weight.alias("w"))).alias("t"), F.first("avg_len").alias("avg_len"))
+    own = packed(own.select("query_id", F.struct("t", "avg_len").alias("v")), "query_id", "v", TERM_BLOCK)
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {corpus.schema['doc_id'].dataType.simpleString()}, score double"
+
+    def score(row: pd.Series) -> np.ndarray:
+        index: dict[str, int] = {}
+        cells = [(i, index.setdefault(t["term"], len(index)), t["w"]) for i, q in enumerate(row["q_vals"]) for t in q["t"]]
+        weights = np.zeros((len(row["q_ids"]), len(index)))
+        for i, t, w in cells:
+            weights[i, t] = w
+        average, found = float(row["q_vals"][0]["avg_len"]), np.zeros((len(index), len(row["ids"])))
+        for j, text in enumerate(row["vals"]):
+            words = text.split(" ") if text else []
+            at, tf = np.unique([index[w] for w in words if w in index], return_counts=True)
+            if len(at):
+                found[at.astype(np.int64), j] = tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(words) / average))
+        return np.round(weights @ found, 9)
+
+    texts = packed(docs.select("doc_id", F.array_join("terms", " ").alias("v")), "doc_id", "v", DOC_BLOCK)
+    return top_k(block_topk(own, texts, score, k, kinds, least=0.0), k)
 
 
 def rrf(ranked: DataFrame, k: int = 60, weights: dict | None = None) -> DataFrame:

@@ -391,7 +391,7 @@ def chain(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
         verdicts = own.select("finding_id", F.lit(True).alias("addressed"), F.lit("other").alias("passage_id"), F.lit("the scope of this device").alias("quote"))
         return verdicts, own.select("finding_id", F.lit("other").alias("passage_id"), F.lit("Here the scope of this device is described.").alias("text"))
 
-    return C.audited(passages, retrieve, scripted, judge=scripted_judge, reconciler=reconciler)
+    return C.audited(passages, retrieve, scripted, keep=DataFrame.cache, judge=scripted_judge, reconciler=reconciler)
 
 
 def audit_passages(spark: SparkSession, d: str) -> DataFrame:

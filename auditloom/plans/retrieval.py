@@ -57,21 +57,17 @@ def one_metric(name: str):
 
 def knn_macro_avg(spark: SparkSession, d: str) -> DataFrame:
     queries, gold = vector_gold(spark, d)
-    ranked = knn(spark, d)
-    parts = [M.long_form(M.metrics_at_k(queries, ranked, gold, k).withColumn("k", F.lit(k)), "query_id", "k") for k in (1, 3, 5, 10)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    out = M.macro_average(out, "k", "metric")
+    long = M.long_form(M.metrics_at(queries, knn(spark, d), gold, [1, 3, 5, 10]), "query_id", "k")
+    out = M.macro_average(long, "k", "metric")
     return out.select("k", "metric", *(F.round(c, 8).alias(c) for c in ("mean", "std", "low", "high")), "n")
 
 
 def metric_delta(spark: SparkSession, d: str) -> DataFrame:
     """Change of each metric's mean from 1 place to 10, in percent."""
     queries, gold = vector_gold(spark, d)
-    ranked = knn(spark, d)
-    mean = lambda k: M.macro_average(M.long_form(M.metrics_at_k(queries, ranked, gold, k), "query_id"), "metric").select("metric", F.col("mean").alias(f"at_{k}"))
-    return mean(1).join(mean(10), "metric").select("metric", F.round(M.delta_percent(F.col("at_10"), F.col("at_1")), 3).alias("delta"))
+    long = M.long_form(M.metrics_at(queries, knn(spark, d), gold, [1, 10]), "query_id", "k")
+    mean = lambda k: F.avg(F.when(F.col("k") == k, F.col("value"))).alias(f"at_{k}")
+    return long.groupBy("metric").agg(mean(1), mean(10)).select("metric", F.round(M.delta_percent(F.col("at_10"), F.col("at_1")), 3).alias("delta"))
 
 
 KNN_SQL = """
@@ -174,9 +170,7 @@ def costs(spark: SparkSession, d: str) -> DataFrame:
 
 def budget_recall(spark: SparkSession, d: str) -> DataFrame:
     queries, gold = vector_gold(spark, d)
-    ranked = knn(spark, d)
-    parts = [M.budget_recall(queries, ranked, costs(spark, d), gold, b).withColumn("budget", F.lit(b)) for b in (200, 800, 2400)]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    out = M.budget_recalls(queries, knn(spark, d), costs(spark, d), gold, [200, 800, 2400])
     return out.select("query_id", "budget", F.round("recall", 9).alias("recall"))
 
 
