@@ -150,7 +150,8 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     rows, names = numbered(df.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")), nulls=True)
     docs = rows if names is None else rows.dropDuplicates(["_id"])
-    docs = docs.select("_id", "_text")
+    # Keys are never null here; said for all, so that every join reads the same shuffle.
+    docs = docs.select("_id", "_text").where(F.col("_id").isNotNull())
     dealt = docs.repartition("_id")  # one shuffle of the texts serves both joins
     reps = representatives(docs)
     # An inner join: a semi join would be pushed below the shuffle of the texts, which the other joins use again.
