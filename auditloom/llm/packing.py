@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -82,8 +83,8 @@ class Encoder(dict):
         return self.whole(text)
 
 
-def token_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """The token sequences to pack: id, piece, start, length and ids (little-endian unsigned 32-bit).
+def token_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, digest: bool = False) -> DataFrame:
+    """The token sequences to pack: id, piece, start, length and ids (little-endian unsigned 32-bit), or with `digest` their CRC-32 in place of ids.
 
     A document's ids are those of its text, then end_id. One with more than `capacity` ids is cut into pieces of
     `capacity` from its end, so that only the first may be shorter. Null and empty texts give end_id alone. tokenizer is
@@ -108,12 +109,15 @@ def token_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
         out = pd.DataFrame(rows, columns=["_id", "piece", "start", "ids"])
-        return out.assign(length=[len(x) // 4 for x in out["ids"]])[["_id", "piece", "start", "length", "ids"]]
+        out["length"] = [len(x) // 4 for x in out["ids"]]
+        if digest:
+            out["ids_crc32"] = [zlib.crc32(x) for x in out["ids"]]
+        return out[["_id", "piece", "start", "length", "ids_crc32" if digest else "ids"]]
 
     small_batches(df)
     # The id goes as text, as pandas would round integers beside a null.
     docs = df.select(F.col(id_col).cast("string").alias("_id"), text_of(text_col).alias("_text"))
-    out = docs.mapInPandas(cut, "_id string, piece int, start long, length long, ids binary")
+    out = docs.mapInPandas(cut, f"_id string, piece int, start long, length long, {'ids_crc32 long' if digest else 'ids binary'}")
     return out.withColumn("_id", F.col("_id").cast(df.schema[id_col].dataType))
 
 
@@ -181,6 +185,5 @@ def pack_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     empty table gives an empty result. Rows without an id, or that repeat one, are packed like all others. Other columns
     are ignored.
     """
-    pieces = token_pieces(df, tokenizer, id_col, text_col, capacity, end_id)
-    pieces = pieces.select("_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    pieces = token_pieces(df, tokenizer, id_col, text_col, capacity, end_id, digest=True)
     return pack(pieces, capacity, n_items=df.count()).withColumnRenamed("_id", id_col)
