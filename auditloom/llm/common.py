@@ -53,6 +53,8 @@ def written(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     at = sc._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(at)
+    # Shuffle files of finished steps go when the driver collects its garbage; else they would pile up over many steps.
+    sc._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
