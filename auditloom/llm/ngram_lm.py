@@ -99,7 +99,9 @@ def backoff_scores(df: DataFrame, order: int = 2, factor: float = 0.4, leave_out
     def exploded(batch: pd.DataFrame) -> pd.DataFrame:
         hashes, counts = block_counts(batch["_text"].tolist(), order)
         cut = np.searchsorted(hashes, edges)
-        rows = [(int(batch["block"].iloc[0]), p, a.tobytes(), c.astype(np.uint32).tobytes()) for p, (a, c) in enumerate(zip(np.split(hashes, cut), np.split(counts, cut), strict=True))]
+        # Empty slices aren't sent: there are never more arrays than n-grams, however many blocks there are.
+        slices = enumerate(zip(np.split(hashes, cut), np.split(counts, cut), strict=True))
+        rows = [(int(batch["block"].iloc[0]), p, a.tobytes(), c.astype(np.uint32).tobytes()) for p, (a, c) in slices if len(a)]
         return pd.DataFrame(rows, columns=["block", "part", "hashes", "counts"])
 
     def joined(batch: pd.DataFrame) -> pd.DataFrame:
@@ -120,7 +122,8 @@ def backoff_scores(df: DataFrame, order: int = 2, factor: float = 0.4, leave_out
         per = [grams.orders(t) for t in texts["_text"]]
         hashes, _ = distinct_counts(np.concatenate([h for p in per for h in p]) if per else np.empty(0, np.uint64))
         counts = counts.sort_values("part")
-        known = np.concatenate([np.frombuffer(c, np.uint32 if w == 4 else np.uint64).astype(np.int64) for c, w in zip(counts["counts"], counts["width"], strict=True)])
+        arrays = [np.frombuffer(c, np.uint32 if w == 4 else np.uint64).astype(np.int64) for c, w in zip(counts["counts"], counts["width"], strict=True)]
+        known = np.concatenate([np.empty(0, np.int64), *arrays])
         rows = [backoff(p, total, hashes, known, factor, leave_out) for p in per]
         return pd.DataFrame({"_id": texts["_id"], "n_words": [r[0] for r in rows], "score": [r[1] for r in rows]})
 

@@ -360,6 +360,17 @@ def test_backoff_over_many_blocks(docs, monkeypatch):
     assert all(abs(whole[i]["score"] - parts[i]["score"]) < 1e-6 for i in whole)
 
 
+def test_backoff_over_blocks_without_words_and_empty_slices(spark, monkeypatch):
+    texts = ["a b a c", "", None, "  ", "b a b", "c " * 40]
+    some = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    whole = rows(ngram_lm.backoff_scores(some))
+    monkeypatch.setattr(ngram_lm, "BLOCK_CHARS", 2)
+    parts = rows(ngram_lm.backoff_scores(some))
+    assert set(parts) == set(range(len(texts))) and [parts[i]["n_words"] for i in parts] == [whole[i]["n_words"] for i in parts]
+    assert all(abs(whole[i]["score"] - parts[i]["score"]) < 1e-9 for i in whole)
+    assert all(parts[i]["mean_score"] is None and parts[i]["score"] == 0 for i in (1, 2, 3))
+
+
 def test_segmentations_round_trip_and_are_distinct(docs, empty):
     found = sampled_pieces.sampled_segmentations(docs, PIECES, k=3)
     got = sampled_pieces.decoded(found, PIECES).collect()
