@@ -28,16 +28,19 @@ def upserted(old: DataFrame | None, new: DataFrame, key: str, seq: str) -> DataF
     return rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n").withColumn("point_id", point_id(F.col(key)))
 
 
-def html_report(doc: str, findings: DataFrame, most: int = 1000) -> str:
-    """A page with the score, severity counts, category bars and the gravest `most` findings of one document."""
+def html_report(doc: str, findings: DataFrame) -> str:
+    """A page with the score, severity counts, category bars and all findings of one document, gravest first; ties go by clause and text.
+
+    A driver holds the page, so it is meant for one document's findings, which are read a partition at a time.
+    """
     own = findings.where(F.col("passage_id") == doc)
     score = A.readiness(findings.sparkSession.createDataFrame([(doc,)], "passage_id string"), own, "passage_id").first()["score"]
     bars = A.category_bars(own).orderBy(F.desc("n"), "category").collect()
-    cards = own.orderBy(A.severity_rank(F.col("severity")), F.desc("confidence")).limit(most).collect()
-    e = html.escape
+    shown = own.orderBy(A.severity_rank(F.col("severity")), F.desc("confidence"), "clause_id", "source_quote", "explanation")
+    e = lambda value: html.escape(value or "")
     body = "".join(f"<li>{e(b.category)}: {b.n}<meter value='{b.bar}'></meter></li>" for b in bars)
-    body += "".join(f"<article><h3>{e(c.severity)} {e(c.clause_id)}</h3><q>{e(c.source_quote or '')}</q><p>{e(c.explanation or '')}</p></article>" for c in cards)
-    return f"<!DOCTYPE html><html><body><h1>{e(doc)}</h1><p>Readiness {score}</p><ul>{body}</ul></body></html>"
+    cards = (f"<article><h3>{e(c.severity)} {e(c.clause_id)}</h3><q>{e(c.source_quote)}</q><p>{e(c.explanation)}</p></article>" for c in shown.toLocalIterator())
+    return f"<!DOCTYPE html><html><body><h1>{e(doc)}</h1><p>Readiness {score}</p><ul>{body}</ul>{''.join(cards)}</body></html>"
 
 
 def markdown_table(df: DataFrame, *order: str) -> str:

@@ -241,6 +241,23 @@ def test_stream(spark, tmp_path):
     assert sum(n for _, n in seen) == 3 and len(seen) == 3
 
 
+def test_running_totals_count_passages_exactly(spark, tmp_path):
+    schema = "doc string, passage_id string"
+    for i in range(3):
+        spark.createDataFrame([("d", f"p{k % 900}") for k in range(i * 1000, i * 1000 + 1000)] + [("e", None)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    totals = stream.running_totals(stream.passage_stream(spark, f"{tmp_path}/in", schema), "doc")
+    totals.writeStream.format("memory").queryName("totals").outputMode("complete").trigger(availableNow=True).start().awaitTermination(90)
+    assert {(r.doc, r.findings_total, r.passages) for r in spark.table("totals").collect()} == {("d", 3000, 900), ("e", 3, 0)}
+
+
+def test_report_shows_every_finding(spark):
+    schema = "passage_id string, category string, severity string, confidence double, clause_id string, source_quote string, explanation string"
+    found = spark.createDataFrame([("d", "c", "Low", 0.5, f"k{i:04}", "<q>", None) for i in range(1500)] + [("d", "c", "Critical", 0.1, "first", None, "e"), ("x", "c", "Low", 0.9, "other", "", "")], schema)
+    page = sinks.html_report("d", found)
+    assert page.count("<article>") == 1501 and "other" not in page and "&lt;q&gt;" in page
+    assert page.index("first") < page.index("k0000") < page.index("k1499") and page == sinks.html_report("d", found.repartition(7))
+
+
 def test_ranking_keeps_k_rows_per_query_early(spark):
     scored = spark.range(1000).select((F.col("id") % 5).alias("query_id"), F.col("id").alias("doc_id"), (F.col("id") % 7).alias("score"))
     plan = R.top_k(scored, 3)._jdf.queryExecution().executedPlan().toString()
