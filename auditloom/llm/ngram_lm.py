@@ -10,75 +10,140 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
-from .shingles import Shingler, mixed
+from .shingles import mixed
 
 #: Characters of a block, about.
 BLOCK_CHARS = 12_000_000
+#: Characters that are hashed and scored at once, about: their arrays stay in a core's caches.
+CHUNK_CHARS = 1_000_000
 _M = np.uint64(0x9E3779B97F4A7C15)
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: The first 0 to 8 bytes of a 64-bit value.
+_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-class Grams(Shingler):
-    """Hashes of a text's n-grams: for each order n the array of hashes that end at word n - 1, n, ..."""
+def chunks(texts: list[str]) -> list[list[str]]:
+    """The texts in order, as lists of about CHUNK_CHARS characters."""
+    ends = np.cumsum([len(t) for t in texts])
+    cut = np.flatnonzero(np.diff(ends // CHUNK_CHARS)) + 1
+    return [texts[i:j] for i, j in zip([0, *cut], [*cut, len(texts)], strict=True)] if texts else []
 
-    def __init__(self, order: int):
-        super().__init__(1)
-        self.order = order
 
-    def orders(self, text: str) -> list[np.ndarray]:
-        words = text.encode().lower().split()
-        w = np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
-        out, h = [], np.zeros(0, np.uint64)
-        for n in range(1, self.order + 1):
-            h = mixed(w * _M + np.uint64(1)) if n == 1 else mixed(h[: len(w) - n + 1] * _M + w[n - 1 :])
-            out.append(h)
-        return out
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of all texts, one text after the other, and each text's number of words.
+
+    All words are hashed together, eight bytes at a time after their lengths; the few of over 64 bytes one by one. Two
+    words have one hash with a chance of 2**-64.
+    """
+    data = [t.encode() for t in texts]
+    text = b" " + b" ".join(data).lower() + b" " * 8
+    space = _SPACE[np.frombuffer(text, np.uint8)]
+    turns = np.flatnonzero(space[1:] != space[:-1]) + 1
+    begin, size = turns[::2], turns[1::2] - turns[::2]
+    at_byte = np.ndarray(len(text) - 7, "<u8", text, strides=(1,))
+    h, some, k = mixed(size.astype(np.uint64) * _M), np.flatnonzero(size <= 64), 0
+    while len(some):
+        h[some] = mixed(h[some] * _M + (at_byte[begin[some] + k] & _BYTES[np.minimum(size[some] - k, 8)]))
+        k += 8
+        some = some[size[some] > k]
+    for i in np.flatnonzero(size > 64):
+        h[i] = xxhash.xxh3_64_intdigest(text[begin[i] : begin[i] + size[i]])
+    ends = np.cumsum([len(d) + 1 for d in data])
+    return h, np.diff(np.searchsorted(begin, ends), prepend=0)
+
+
+def ngrams(texts: list[str], order: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Each text's number of words and, for each order, the words that an n-gram of one text begins at and its hash."""
+    w, sizes = word_hashes(texts)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(w))
+    out, h = [], mixed(w * _M + np.uint64(1))
+    for n in range(1, order + 1):
+        if n > 1:
+            h = mixed(h[:-1] * _M + w[n - 1 :])
+        at = np.flatnonzero(left[: len(h)] >= n)
+        out.append((at, h[at]))
+    return sizes, out
 
 
 def distinct_counts(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     h = np.sort(h)
-    at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
-    return h[at], np.diff(np.append(at, len(h)))
+    at = starts(h)
+    return h[at], np.diff(at, append=len(h))
+
+
+def starts(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def block_counts(texts: list[str], order: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Words of some texts, sorted distinct hashes of all orders, and their counts."""
+    words, parts = 0, [np.empty(0, np.uint64)]
+    for some in chunks(texts):
+        sizes, grams = ngrams(some, order)
+        words += int(sizes.sum())
+        parts += [h for _, h in grams]
+    return words, *distinct_counts(np.concatenate(parts))
+
+
+def places(h: np.ndarray) -> np.ndarray:
+    """The order that sorts the hashes, equal ones by their place.
+
+    The place is written over a hash's low bits, as values sort faster than places do; where hashes that differ only
+    there come out of order, places are sorted.
+    """
+    low = np.uint64((1 << len(h).bit_length()) - 1)
+    by = (np.sort(h & ~low | np.arange(len(h), dtype=np.uint64)) & low).astype(np.int64)
+    s = h[by]
+    return np.argsort(h, kind="stable") if (s[1:] < s[:-1]).any() else by
 
 
-def block_counts(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct hashes of all orders of some texts, and their counts."""
-    grams = Grams(order)
-    parts = [h for t in texts for h in grams.orders(t)]
-    return distinct_counts(np.concatenate(parts) if parts else np.empty(0, np.uint64))
+def corpus_counts(h: np.ndarray, text: np.ndarray, hashes: np.ndarray, counts: np.ndarray, leave_out: bool) -> np.ndarray:
+    """The count of each n-gram, given its hash and the number of its text; with leave_out without its text's own."""
+    by = places(h)
+    s = h[by]
+    at = starts(s)
+    found = np.repeat(counts[np.searchsorted(hashes, s[at])].astype(np.float64), np.diff(at, append=len(s)))
+    if leave_out:
+        own = np.diff(starts(s, text[by]), append=len(s))
+        found -= np.repeat(own, own)
+    out = np.empty(len(h))
+    out[by] = found
+    return out
 
 
-def backoff(orders: list[np.ndarray], total: int, hashes: np.ndarray, counts: np.ndarray, factor: float, leave_out: bool) -> tuple[int, float]:
-    """Words of a text and the sum of the logarithms of their scores.
+def backoff(texts: list[str], order: int, total: int, hashes: np.ndarray, counts: np.ndarray, factor: float, leave_out: bool) -> list[tuple[int, float]]:
+    """Words of each text and the sum of the logarithms of their scores.
 
     The score of a word after its n - 1 words is count(n-gram) / count(those words) if the n-gram is counted, else factor
     times the score after one word less; a word that is not counted has factor / total. With leave_out the text's own
     n-grams don't count.
     """
-    n = len(orders[0])
-    if not n:
-        return 0, 0.0
-    corpus = []
-    for h in orders:
-        c = counts[np.searchsorted(hashes, h)].astype(np.float64) if len(h) else np.empty(0)
-        if leave_out and len(h):
-            own, inverse, m = np.unique(h, return_inverse=True, return_counts=True)
-            c = c - m[inverse]
-        corpus.append(c)
-    size = max(1, total - (n if leave_out else 0))
-    score = np.where(corpus[0] > 0, corpus[0], factor) / size
-    for k in range(1, len(orders)):
-        if not len(corpus[k]):
-            break
-        # What stands before a word: the n-gram of one order less that ends at the word before. In its count the text's
-        # last place, which nothing follows, stays.
-        before = corpus[k - 1][: len(corpus[k])]
-        here = (corpus[k] > 0) & (before > 0)
-        score[k:] = np.where(here, np.minimum(1.0, corpus[k] / np.maximum(before, 1)), factor * score[k:])
-    return n, float(np.log(score).sum())
+    sizes, grams = ngrams(texts, order)
+    text = np.repeat(np.arange(len(texts)), sizes)
+    size = np.maximum(1, total - sizes[text] if leave_out else total)
+    score = before = None
+    for k, (at, h) in enumerate(grams):
+        c = corpus_counts(h, text[at], hashes, counts, leave_out)
+        if k:
+            # What stands before a word: the n-gram of one order less that ends at the word before. In its count the text's
+            # last place, which nothing follows, stays.
+            b, shorter = before[at], factor * score[at + k]
+            score[at + k] = np.where((c > 0) & (b > 0), np.minimum(1.0, c / np.maximum(b, 1)), shorter)
+        else:
+            score = np.where(c > 0, c, factor) / size
+        before = np.zeros(len(text))
+        before[at] = c
+    return [(len(x), float(x.sum())) for x in np.split(np.log(score), np.cumsum(sizes)[:-1])]
 
 
 def backoff_scores(df: DataFrame, order: int = 2, factor: float = 0.4, leave_out: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -97,14 +162,18 @@ def backoff_scores(df: DataFrame, order: int = 2, factor: float = 0.4, leave_out
     edges = np.linspace(0, 2.0**64, blocks + 1)[1:-1].astype(np.uint64) if blocks > 1 else np.empty(0, np.uint64)
 
     def exploded(batch: pd.DataFrame) -> pd.DataFrame:
-        hashes, counts = block_counts(batch["_text"].tolist(), order)
-        cut = np.searchsorted(hashes, edges)
+        words, hashes, counts = block_counts(batch["_text"].tolist(), order)
+        cut, block = np.searchsorted(hashes, edges), int(batch["block"].iloc[0])
         # Empty slices aren't sent: there are never more arrays than n-grams, however many blocks there are.
         slices = enumerate(zip(np.split(hashes, cut), np.split(counts, cut), strict=True))
-        rows = [(int(batch["block"].iloc[0]), p, a.tobytes(), c.astype(np.uint32).tobytes()) for p, (a, c) in slices if len(a)]
-        return pd.DataFrame(rows, columns=["block", "part", "hashes", "counts"])
+        rows = [(block, p, a.tobytes(), c.astype(np.uint32).tobytes()) for p, (a, c) in slices if len(a)]
+        # Part -1 has the words of all blocks and gives each their sum.
+        return pd.DataFrame([(block, -1, b"", np.uint64(words).tobytes()), *rows], columns=["block", "part", "hashes", "counts"])
 
     def joined(batch: pd.DataFrame) -> pd.DataFrame:
+        if batch["part"].iloc[0] < 0:
+            total = sum(int(np.frombuffer(x, np.uint64)[0]) for x in batch["counts"])
+            return batch[["block", "part"]].assign(width=8, counts=np.uint64(total).tobytes())
         hashes = [np.frombuffer(x, np.uint64) for x in batch["hashes"]]
         own = np.concatenate([np.frombuffer(x, np.uint32) for x in batch["counts"]]).astype(np.int64)
         table, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
@@ -115,16 +184,14 @@ def backoff_scores(df: DataFrame, order: int = 2, factor: float = 0.4, leave_out
 
     found = dealt.groupBy("block").applyInPandas(exploded, "block int, part int, hashes binary, counts binary")
     tables = found.groupBy("part").applyInPandas(joined, "block int, part int, width int, counts binary")
-    total = docs.agg(F.sum(F.size(F.filter(F.split(F.trim(F.regexp_replace("_text", r"[\x20\x09-\x0D]+", " ")), " "), lambda x: x != "")))).first()[0] or 0
 
     def scored(texts: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-        grams = Grams(order)
-        per = [grams.orders(t) for t in texts["_text"]]
-        hashes, _ = distinct_counts(np.concatenate([h for p in per for h in p]) if per else np.empty(0, np.uint64))
+        mine = texts["_text"].tolist()
+        _, hashes, _ = block_counts(mine, order)
         counts = counts.sort_values("part")
         arrays = [np.frombuffer(c, np.uint32 if w == 4 else np.uint64).astype(np.int64) for c, w in zip(counts["counts"], counts["width"], strict=True)]
-        known = np.concatenate([np.empty(0, np.int64), *arrays])
-        rows = [backoff(p, total, hashes, known, factor, leave_out) for p in per]
+        total, known = int(arrays[0][0]), np.concatenate([np.empty(0, np.int64), *arrays[1:]])
+        rows = [r for some in chunks(mine) for r in backoff(some, order, total, hashes, known, factor, leave_out)]
         return pd.DataFrame({"_id": texts["_id"], "n_words": [r[0] for r in rows], "score": [r[1] for r in rows]})
 
     out = dealt.groupBy("block").cogroup(tables.groupBy("block")).applyInPandas(scored, "_id string, n_words long, score double")

@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -371,6 +372,49 @@ def test_backoff_over_blocks_without_words_and_empty_slices(spark, monkeypatch):
     assert all(parts[i]["mean_score"] is None and parts[i]["score"] == 0 for i in (1, 2, 3))
 
 
+def test_backoff_reads_the_texts_once_before_it_starts(spark, docs):
+    def jobs(group, f):
+        spark.sparkContext.setJobGroup(group, group)
+        f()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    # Only the characters are summed beforehand; words are counted where their hashes are made.
+    assert jobs("backoff", lambda: ngram_lm.backoff_scores(docs)) <= jobs("one sum", lambda: docs.agg(F.sum(F.length("text"))).first())
+
+
+def test_backoff_hashes_a_block_for_little_more_than_splitting_it():
+    def least(f):
+        def once():
+            begin = time.process_time()
+            f()
+            return time.process_time() - begin
+
+        return min(once() for _ in range(7))
+
+    r = random.Random(5)
+    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(2, 12))) for _ in range(60000)]
+    texts = [" ".join(r.choices(words, k=500)) for _ in range(800)]
+    assert least(lambda: ngram_lm.block_counts(texts, 2)) < 4 * least(lambda: [t.encode().lower().split() for t in texts])
+
+
+def test_backoff_tells_odd_words_apart(spark):
+    odd = ["a", "A", "a\x00", "\x00", "é", "É", "exactly8", "exactly8\x00", "exactly88", "exactly89", "sixteen_sixteen_", "sixteen_sixteen_a", *("x" * n for n in (63, 64, 65, 300)), "x" * 64 + "y", "\x1c", "\u2003", "日本語" * 9]
+    r = random.Random(3)
+    texts = ["".join(r.choice(odd) + r.choice([" ", "\t", "\n ", "\x0b", "\x0c\r"]) for _ in range(r.randrange(30))) for _ in range(60)]
+    got = rows(ngram_lm.backoff_scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), order=1))
+    own = [t.encode().lower().split() for t in texts]
+    one = Counter(w for x in own for w in x)
+    for i, w in enumerate(own):
+        mine, size = Counter(w), max(1, sum(one.values()) - len(w))
+        assert got[i]["n_words"] == len(w) and abs(got[i]["score"] - sum(math.log((one[x] - mine[x] or 0.4) / size) for x in w)) < 1e-9
+
+
+def test_places_are_exact_where_hashes_differ_in_low_bits():
+    h = np.array([7, 6, 7, 6, 5, 1 << 60, 7, 1 << 63], np.uint64)
+    assert ngram_lm.places(h).tolist() == [4, 1, 3, 0, 2, 6, 5, 7]
+
+
 def test_segmentations_round_trip_and_are_distinct(docs, empty):
     found = sampled_pieces.sampled_segmentations(docs, PIECES, k=3)
     got = sampled_pieces.decoded(found, PIECES).collect()
