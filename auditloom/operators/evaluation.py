@@ -10,9 +10,14 @@ def clause_hits(hits: DataFrame, coverage: DataFrame, k: int | None = None) -> D
     """(query_id, rk, clause_id): the clauses that each hit chunk covers, in the order of chunk rank and position.
 
     hits: (query_id, rk, chunk); coverage: (chunk, clause_id, start). With k, a clause counts once and only the first k stay;
-    without, repeats stay, as chunks overlap.
+    without, repeats stay, as chunks overlap: see clause_counts() where only their number is asked for.
     """
-    rows = hits.withColumnRenamed("rk", "chunk_rk").join(coverage.select("chunk", "clause_id", "start"), "chunk")
+    covered = coverage.select("chunk", "clause_id", "start")
+    if k is not None:
+        # The first k of a list are among the first k of each chunk: what goes before a chunk's clause there goes before it in any list.
+        first = F.row_number().over(Window.partitionBy("chunk").orderBy("start", "clause_id"))
+        covered = covered.groupBy("chunk", "clause_id").agg(F.min("start").alias("start")).withColumn("_n", first).where(F.col("_n") <= k).drop("_n")
+    rows = hits.withColumnRenamed("rk", "chunk_rk").join(covered, "chunk")
     order = Window.partitionBy("query_id").orderBy("chunk_rk", "start", "clause_id")
     if k is None:
         return rows.withColumn("rk", F.row_number().over(order)).select("query_id", "rk", "clause_id")
@@ -21,6 +26,19 @@ def clause_hits(hits: DataFrame, coverage: DataFrame, k: int | None = None) -> D
     return rows.select("query_id", "rk", "clause_id")
 
 
+def clause_counts(hits: DataFrame, coverage: DataFrame) -> DataFrame:
+    """(query_id, n, own): how many clauses the hit chunks of each query cover, with repeats and without; queries without any have no row.
+
+    The clauses themselves meet no query: those that stand in the same chunks are counted together first.
+    """
+    chunks = coverage.groupBy("chunk").agg(F.count("*").alias("n"))
+    sets = coverage.where("clause_id IS NOT NULL AND chunk IS NOT NULL").groupBy("clause_id").agg(F.array_sort(F.collect_set("chunk")).alias("_set"))
+    sets = sets.groupBy("_set").agg(F.count("*").alias("_n")).select("_set", "_n", F.explode("_set").alias("chunk"))
+    listed = hits.select("query_id", "chunk").join(chunks, "chunk").groupBy(F.col("query_id").alias("_q")).agg(F.sum("n").alias("n"))
+    own = hits.select("query_id", "chunk").distinct().join(sets, "chunk").select("query_id", "_set", "_n").distinct().groupBy("query_id").agg(F.sum("_n").alias("own"))
+    return listed.join(own, F.col("_q").eqNullSafe(F.col("query_id")), "left").select(F.col("_q").alias("query_id"), "n", F.coalesce("own", F.lit(0)).alias("own"))
+
+
 def context_so_far(hits: DataFrame, total: int | Column, size: int = 800, stride: int = 700) -> DataFrame:
     """The hits (query_id, rk, chunk) with the words shown up to each; the last chunk ends with the document."""
     width = F.greatest(F.lit(0), F.least(F.col("chunk") * stride + size, F.lit(total) if isinstance(total, int) else total) - F.col("chunk") * stride)

@@ -7,6 +7,7 @@ import random
 import time
 
 from auditloom.operators import chain as C
+from auditloom.operators import evaluation as E
 from auditloom.operators import findings as A
 from auditloom.plans import everyday
 
@@ -56,3 +57,28 @@ def test_chain_searches_once(spark):
 
     C.audited(passages, retrieve, everyday.scripted, keep=keep, judge=everyday.scripted_judge)
     assert sum(steps) == 5
+
+
+def test_clause_lists(spark):
+    """Clauses of 3 chunks that many queries hit: lists and counts as those of every clause for every query, which would be 90,000 rows."""
+    cover = [(c, f"C{n}", n * 7 % 50) for n in range(1000) for c in (n % 5, (n + 1) % 5 if n % 3 else n % 5)] + [(1, None, 3), (None, "C1", 0)]
+    hit = [(q, rk, (q * 2 + rk * 3) % 6) for q in range(60) for rk in (1, 2, 3)]
+    coverage, hits = spark.createDataFrame(cover, "chunk int, clause_id string, start int"), spark.createDataFrame(hit, "query_id int, rk int, chunk int")
+    lists = {}
+    for q, rk, chunk in hit:
+        lists.setdefault(q, []).extend((rk, start, clause or "", clause) for c, clause, start in cover if c == chunk)
+    most, rows = most_rows(E.clause_counts(hits, coverage))
+    assert most <= 3 * len(cover)
+    assert {tuple(r) for r in rows} == {(q, len(x), len({c for *_, c in x if c is not None})) for q, x in lists.items() if x}
+    most, rows = most_rows(E.clause_hits(hits, coverage, 12))
+    assert most <= 3 * len(cover)
+    first = {}
+    for q, x in lists.items():
+        own = list(dict.fromkeys(c for *_, c in sorted(x)))[:12]
+        first |= {(q, n + 1): c for n, c in enumerate(own)}
+    assert {(r.query_id, r.rk): r.clause_id for r in rows} == first
+
+
+def test_appended_bags(spark):
+    most, rows = most_rows(everyday.bag_append(spark, "/root/testdata/sf0.01"))
+    assert most < 10_000 < sum(r.n for r in rows)
