@@ -93,15 +93,17 @@ def chosen_clauses(choices: DataFrame, clauses: DataFrame, most: int = 45, instr
 
     choices: (passage_id, choice_no, instrument); clauses: (instrument, ord, clause_id). The limits are what a prompt can show.
     """
-    picked = choices.withColumn("_n", F.row_number().over(Window.partitionBy("passage_id").orderBy("choice_no"))).where(F.col("_n") <= instruments)
-    rows = picked.join(clauses, "instrument")
+    picked = choices.withColumn("_n", F.row_number().over(Window.partitionBy("passage_id").orderBy("choice_no"))).where(F.col("_n") <= instruments).drop("_n")
+    # An instrument shows at most its first clauses, whatever else is chosen.
+    shown = clauses.withColumn("_n", F.row_number().over(Window.partitionBy("instrument").orderBy("ord"))).where(F.col("_n") <= most).drop("_n")
+    rows = picked.join(shown, "instrument")
     place = F.row_number().over(Window.partitionBy("passage_id").orderBy("choice_no", "ord"))
     return rows.withColumn("place", place).where(F.col("place") <= most).select("passage_id", "place", "clause_id")
 
 
 def offered_only(proposals: DataFrame, offered: DataFrame, key: str, most: int) -> DataFrame:
-    """The first `most` proposals (passage_id, proposal_no, key) of each passage that were offered to it; a repeat counts once."""
-    rows = proposals.join(offered.select("passage_id", key).distinct(), ["passage_id", key], "left_semi")
+    """The first `most` proposals (passage_id, proposal_no, key) of each passage that were offered to it, or to all where there is no passage_id; a repeat counts once."""
+    rows = proposals.join(offered, [c for c in ("passage_id", key) if c in offered.columns], "left_semi")
     rows = rows.groupBy("passage_id", key).agg(F.min("proposal_no").alias("proposal_no"))
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("passage_id").orderBy("proposal_no"))).where(F.col("place") <= most)
 
@@ -113,8 +115,8 @@ def two_stages(passages: DataFrame, catalogue: DataFrame, clauses: DataFrame, as
     functions from a table of offers (passage_id, text, ...) to proposals; ids that were not offered are dropped.
     """
     offers = passages.select("passage_id", "text").join(catalogue.agg(F.array_sort(F.collect_list(F.struct("place", "instrument", "title"))).alias("catalogue")))
-    every = passages.select("passage_id").join(F.broadcast(catalogue.select("instrument")))
-    chosen = offered_only(ask_instruments(offers), every, "instrument", 3)
+    proposed = ask_instruments(offers).join(passages.select("passage_id"), "passage_id", "left_semi")
+    chosen = offered_only(proposed, catalogue.select("instrument"), "instrument", 3)
     shown = chosen_clauses(chosen.withColumnRenamed("place", "choice_no"), clauses)
     blocks = shown.join(clauses.select("clause_id", F.col("text").alias("clause_text")), "clause_id").groupBy("passage_id").agg(F.array_sort(F.collect_list(F.struct("place", "clause_id", "clause_text"))).alias("blocks"))
     return offered_only(ask_clauses(passages.select("passage_id", "text").join(blocks, "passage_id")), shown, "clause_id", 5).select("passage_id", "place", "clause_id")

@@ -82,3 +82,29 @@ def test_clause_lists(spark):
 def test_appended_bags(spark):
     most, rows = most_rows(everyday.bag_append(spark, "/root/testdata/sf0.01"))
     assert most < 10_000 < sum(r.n for r in rows)
+
+
+def test_chosen_clauses(spark):
+    """Long instruments that many passages choose: the first clauses alone meet passages. All would be 60,000 rows and more."""
+    clause = [(f"I{n % 4}", n // 4, f"C{n}") for n in range(4000)] + [("I9", 1, "D1"), ("I9", 0, "D0")]
+    choice = [(p, c, i) for p in range(20) for c, i in enumerate(("I9", f"I{p % 5}", f"I{(p + 1) % 5}", "I0"))]
+    clauses, choices = spark.createDataFrame(clause, "instrument string, ord int, clause_id string"), spark.createDataFrame(choice, "passage_id int, choice_no int, instrument string")
+    most, rows = most_rows(E.chosen_clauses(choices, clauses))
+    assert most <= len(clause)
+    expected = {}
+    for p in range(20):
+        own = sorted((c, o, k) for q, c, i in choice if q == p and c < 3 for j, o, k in clause if i == j)[:45]
+        expected |= {(p, n + 1): k for n, (*_, k) in enumerate(own)}
+    assert {(r.passage_id, r.place): r.clause_id for r in rows} == expected
+
+
+def test_two_stage_offers(spark):
+    """What is offered to all is no row for each passage: 40 passages by 400 instruments would be 16,000."""
+    passages = spark.range(40).selectExpr("id AS passage_id", "'' AS text")
+    catalogue = spark.range(400).selectExpr("'I' || id AS instrument", "'' AS title", "id AS place")
+    clauses = spark.range(2000).selectExpr("'I' || id % 400 AS instrument", "id AS ord", "'C' || id AS clause_id", "'' AS text")
+    first = lambda offers: offers.selectExpr("passage_id", "explode(array('X', 'I' || passage_id, 'I' || passage_id, 'I7')) AS instrument", "1 AS proposal_no").union(offers.selectExpr("-1", "'I1'", "1"))
+    second = lambda shown: shown.selectExpr("passage_id", "posexplode(array('C1', 'C7', blocks[0].clause_id)) AS (proposal_no, clause_id)")
+    most, rows = most_rows(E.two_stages(passages, catalogue, clauses, first, second))
+    assert most <= 2000
+    assert {r.passage_id for r in rows} == set(range(40)) and all(r.clause_id != "C1" or r.passage_id == 1 for r in rows)
