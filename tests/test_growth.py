@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import difflib
 import random
 import time
@@ -9,7 +10,12 @@ import time
 from auditloom.operators import chain as C
 from auditloom.operators import evaluation as E
 from auditloom.operators import findings as A
-from auditloom.plans import everyday
+from auditloom.operators import metrics as M
+from auditloom.operators import scope as S
+from auditloom.operators import segment as G
+from auditloom.operators import spans as P
+from auditloom.plans import everyday, retrieval
+from pyspark.sql import functions as F
 
 
 def most_rows(df) -> tuple[int, list]:
@@ -108,3 +114,16 @@ def test_two_stage_offers(spark):
     most, rows = most_rows(E.two_stages(passages, catalogue, clauses, first, second))
     assert most <= 2000
     assert {r.passage_id for r in rows} == set(range(40)) and all(r.clause_id != "C1" or r.passage_id == 1 for r in rows)
+
+
+def test_rolling_seconds(spark):
+    """Parts of a second count towards the nearest one: 0.6 and 3601.4 are 3600 apart, 0.4 and 3600.6 are not."""
+    at = lambda s: datetime.datetime(2024, 3, 10, 6, 0) + datetime.timedelta(seconds=s)
+    rows = spark.createDataFrame([("a", at(0.6)), ("a", at(3601.4)), ("b", at(0.4)), ("b", at(3600.6)), ("c", at(1.5)), ("c", at(3602.5))], "k string, ts timestamp_ntz")
+    for zone in ("UTC", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            got = P.rolling_sum(rows, "k", "ts", F.lit(1), 3600).orderBy("k", "ts").collect()
+            assert [r.rolling for r in got] == [1, 2, 1, 1, 1, 2]
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
