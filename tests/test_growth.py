@@ -127,3 +127,14 @@ def test_rolling_seconds(spark):
             assert [r.rolling for r in got] == [1, 2, 1, 1, 1, 2]
         finally:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_label_counts(spark):
+    """Counts of what labels expand to, without a row for each query and key: 40 queries by 500 keys and more would be."""
+    key = [f"L{n % 3}.S{n % 12}.D{n}" for n in range(500)] + ["L1", "L1.S4", "L1.S4.D4", "Lx"]
+    label = [(q, s, g) for q in range(40) for s, g in ((f"L{q % 3}", 1), (f"L{q % 3}.S{q % 12}", 2), ("L1", 3 if q % 7 == 0 else 1), (f"L1.S4.D{q}", 2), ("L", 2))]
+    labels, corpus = spark.createDataFrame(label, "query_id int, scope string, grade int"), spark.createDataFrame([(k,) for k in key], "doc_id string")
+    most, rows = most_rows(S.label_counts(labels, corpus))
+    assert most <= 4 * len(key)
+    expected = S.expand_labels(labels, corpus).groupBy("query_id", "grade").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+    assert sorted(rows) == sorted(expected.collect())
