@@ -99,9 +99,15 @@ def rendered_table(rows: Column, caption: Column | None = None) -> Column:
 
 def outside_boxes(lines: DataFrame, boxes: DataFrame) -> DataFrame:
     """Lines (page, x, y) whose point lies in none of the page's closed boxes (page, x0, y0, x1, y1)."""
-    b = boxes.select(F.col("page").alias("_page"), "x0", "y0", "x1", "y1")
-    inside = (F.col("page") == F.col("_page")) & F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
-    return lines.join(b, inside, "left_anti")
+    # Boxes lie in the cells of a grid as wide as they are, to a power of two, so that a box has few cells and a place few boxes.
+    level = F.ceil(F.log2(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).cast("double")))
+    b = boxes.select(F.col("page").alias("_page"), "x0", "y0", "x1", "y1").where("x0 <= x1 AND y0 <= y1").distinct().withColumn("_level", F.coalesce(level, F.lit(0)).cast("int"))
+    cell = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("_level")))
+    b = b.withColumn("_cx", F.explode(F.sequence(cell("x0"), cell("x1")))).withColumn("_cy", F.explode(F.sequence(cell("y0"), cell("y1"))))
+    places = lines.select("page", "x", "y").distinct().join(b.select(F.col("_page").alias("page"), "_level").distinct(), "page").withColumns({"_cx": cell("x"), "_cy": cell("y")})
+    held = (places["page"] == b["_page"]) & (places["_level"] == b["_level"]) & (places["_cx"] == b["_cx"]) & (places["_cy"] == b["_cy"])
+    inside = places.join(b, held & F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")), "left_semi").select("page", "x", "y").distinct()
+    return lines.join(inside, ["page", "x", "y"], "left_anti").select(*lines.columns)
 
 
 _MARKS = tuple((name, re.compile(pattern)) for name, pattern in LINE_CLASSES)

@@ -138,3 +138,19 @@ def test_label_counts(spark):
     assert most <= 4 * len(key)
     expected = S.expand_labels(labels, corpus).groupBy("query_id", "grade").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
     assert sorted(rows) == sorted(expected.collect())
+
+
+def test_outside_boxes(spark):
+    """Points that many boxes could hold: 1,000 points by 300 boxes of one page, of which a place meets those near it; odd boxes and points too."""
+    chance = random.Random(5)
+    box = [(n % 3, x, y, x + w, y + chance.choice((0.0, 0.3, 2.0))) for n in range(300) for x, y, w in [(chance.uniform(-50, 50), chance.uniform(-50, 50), chance.choice((0.0, 1.0, 3.0)))]] * 3
+    box += [(1, 5.0, 5.0, 4.0, 9.0), (2, None, 0.0, 1.0, 1.0), (0, -60.0, 20.0, 60.0, 25.0), (0, 7.0, 7.0, 7.0, 7.0)]
+    point = [(n, n % 4, chance.uniform(-55, 55), chance.uniform(-55, 55)) for n in range(1000)] + [(2000, 0, 7.0, 7.0), (2001, 0, None, 7.0), (2002, None, 1.0, 1.0), (2003, 1, 4.5, 6.0)]
+    point += [(3000 + i, p, x, y) for i, (p, x, y, _, _) in enumerate(box[:200])]
+    lines, boxes = spark.createDataFrame(point, "n int, page int, x double, y double"), spark.createDataFrame(box, "page int, x0 double, y0 double, x1 double, y1 double")
+    got = G.outside_boxes(lines, boxes)
+    assert got.columns == lines.columns
+    inside = lambda p, x, y: any(p == q and None not in (x, y, x0) and x0 <= x <= x1 and y0 <= y <= y1 for q, x0, y0, x1, y1 in box)
+    assert {r.n for r in got.collect()} == {n for n, p, x, y in point if not inside(p, x, y)}
+    # Not by page alone: the join asks for the cell too.
+    assert "_cx" in got._jdf.queryExecution().optimizedPlan().toString()
