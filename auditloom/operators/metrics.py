@@ -17,19 +17,30 @@ def graded(ranked: DataFrame, gold: DataFrame) -> DataFrame:
     return ranked.join(gold.select("query_id", "doc_id", "grade"), ["query_id", "doc_id"], "left").withColumn("grade", F.coalesce("grade", F.lit(0)))
 
 
-def ideal_dcg(gold: DataFrame, ks: list[int]) -> DataFrame:
-    """(query_id, k, idcg)."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("grade"), "doc_id")
-    best = gold.where("grade > 0").withColumn("at", F.row_number().over(order)).where(F.col("at") <= max(ks))
+def grade_counts(gold: DataFrame) -> DataFrame:
+    """(query_id, grade, n)."""
+    return gold.groupBy("query_id", "grade").agg(F.count("*").alias("n"))
+
+
+def ideal_dcg(counts: DataFrame, ks: list[int]) -> DataFrame:
+    """(query_id, k, idcg) of grade counts: the first places of the best ranking, however many rows have a grade."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("grade")).rowsBetween(Window.unboundedPreceding, 0)
+    best = counts.where("grade > 0 AND n > 0").withColumn("upto", F.sum("n").over(order)).withColumn("begin", F.col("upto") - F.col("n")).where(F.col("begin") < max(ks))
+    best = best.withColumn("at", F.explode(F.sequence(F.col("begin") + 1, F.least("upto", F.lit(max(ks)).cast("long")))))
     best = best.withColumn("k", F.explode(F.array(*map(F.lit, ks)))).where("at <= k")
     return best.groupBy("query_id", "k").agg(F.sum((F.pow(F.lit(2.0), F.col("grade")) - 1) / F.log2(F.col("at") + 1.0)).alias("idcg"))
 
 
 def metrics_at(queries: DataFrame, ranked: DataFrame, gold: DataFrame, ks: list[int]) -> DataFrame:
     """query_id, k and hit_rate, recall, precision, mrr, ap, dcg, ndcg, context_precision of the first k places, for every k from one pass over the ranking."""
+    return metrics_of(queries, graded(ranked.where(F.col("rk") <= max(ks)), gold), grade_counts(gold), ks)
+
+
+def metrics_of(queries: DataFrame, hits: DataFrame, counts: DataFrame, ks: list[int]) -> DataFrame:
+    """The same of a ranking with grades (query_id, rk, grade) and the counts of all grades, where grades follow from a rule and need no row for each query and document."""
     if min(ks) < 1:
         raise ValueError("k must be at least 1")
-    hits = graded(ranked.where(F.col("rk") <= max(ks)), gold)
+    hits = hits.where(F.col("rk") <= max(ks))
     seen = Window.partitionBy("query_id").orderBy("rk").rowsBetween(Window.unboundedPreceding, 0)
     primary = (F.col("grade") == PRIMARY).cast("int")
     hits = hits.withColumn("primary", primary).withColumn("so_far", F.sum("primary").over(seen))
@@ -41,8 +52,8 @@ def metrics_at(queries: DataFrame, ranked: DataFrame, gold: DataFrame, ks: list[
         F.sum((F.pow(F.lit(2.0), F.col("grade")) - 1) / F.log2(F.col("rk") + 1.0)).alias("dcg"),
         F.sum((F.col("grade") > 0).cast("int")).alias("relevant"),
     )
-    labels = gold.groupBy("query_id").agg(F.sum((F.col("grade") == PRIMARY).cast("int")).alias("n_primary"))
-    rows = queries.select("query_id", each.alias("k")).join(per, ["query_id", "k"], "left").join(labels, "query_id", "left").join(ideal_dcg(gold, ks), ["query_id", "k"], "left")
+    labels = counts.groupBy("query_id").agg(F.sum(F.when(F.col("grade") == PRIMARY, F.col("n")).otherwise(0)).alias("n_primary"))
+    rows = queries.select("query_id", each.alias("k")).join(per, ["query_id", "k"], "left").join(labels, "query_id", "left").join(ideal_dcg(counts, ks), ["query_id", "k"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     has = F.coalesce("n_primary", F.lit(0)) > 0
     return rows.select(
@@ -89,11 +100,15 @@ def within_budget(ranked: DataFrame, cost: DataFrame, budget: int) -> DataFrame:
 
 def budget_recalls(queries: DataFrame, ranked: DataFrame, cost: DataFrame, gold: DataFrame, budgets: list[int]) -> DataFrame:
     """query_id, budget and the share of the query's primary labels found within that many words, for every budget from one pass."""
-    primary = gold.where(F.col("grade") == PRIMARY).select("query_id", "doc_id")
+    return budget_recalls_of(queries, graded(ranked, gold.where(F.col("grade") == PRIMARY).dropDuplicates(["query_id", "doc_id"])), cost, grade_counts(gold), budgets)
+
+
+def budget_recalls_of(queries: DataFrame, hits: DataFrame, cost: DataFrame, counts: DataFrame, budgets: list[int]) -> DataFrame:
+    """The same of a ranking with grades (query_id, rk, doc_id, grade) and the counts of all grades."""
     each = F.explode(F.array(*map(F.lit, budgets)))
-    spent = within_budget(ranked, cost, max(budgets)).groupBy("query_id", "doc_id").agg(F.min("spent").alias("spent")).join(primary, ["query_id", "doc_id"], "left_semi")
+    spent = within_budget(hits, cost, max(budgets)).where(F.col("grade") == PRIMARY).groupBy("query_id", "doc_id").agg(F.min("spent").alias("spent"))
     found = spent.withColumn("budget", each).where("spent <= budget").groupBy("query_id", "budget").agg(F.count("*").alias("found"))
-    labels = primary.groupBy("query_id").agg(F.count("*").alias("labels"))
+    labels = counts.where(F.col("grade") == PRIMARY).select("query_id", F.col("n").alias("labels"))
     rows = queries.select("query_id", each.alias("budget")).join(labels, "query_id", "left").join(found, ["query_id", "budget"], "left")
     return rows.select("query_id", "budget", F.coalesce(F.try_divide("found", "labels"), F.lit(0.0)).alias("recall"))
 

@@ -140,6 +140,19 @@ def test_label_counts(spark):
     assert sorted(rows) == sorted(expected.collect())
 
 
+def test_grades_by_rule(spark):
+    """Metrics of vectors: no row for each query and document of a neighbouring label; 100 queries have 60,000 of those."""
+    hits = retrieval.knn(spark, "/root/testdata/sf0.1").localCheckpoint()
+    queries, graded, counts = retrieval.vector_grades(spark, "/root/testdata/sf0.1", hits)
+    most, rows = most_rows(M.metrics_of(queries, graded, counts, [1, 5, 10]))
+    assert most <= 6000
+    q, docs = retrieval.vectors(spark, "/root/testdata/sf0.1")
+    gold = q.selectExpr("query_id", "label AS ql").join(docs, F.expr("abs(label - ql) <= 1 AND doc_id <> query_id")).selectExpr("query_id", "doc_id", "if(label = ql, 2, 1) AS grade")
+    assert sorted(rows) == sorted(M.metrics_at(queries, hits, gold, [1, 5, 10]).collect())
+    cost = retrieval.costs(spark, "/root/testdata/sf0.1")
+    assert sorted(M.budget_recalls_of(queries, graded, cost, counts, [300, 900]).collect()) == sorted(M.budget_recalls(queries, hits, cost, gold, [300, 900]).collect())
+
+
 def test_outside_boxes(spark):
     """Points that many boxes could hold: 1,000 points by 300 boxes of one page, of which a place meets those near it; odd boxes and points too."""
     chance = random.Random(5)
