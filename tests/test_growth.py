@@ -167,3 +167,28 @@ def test_outside_boxes(spark):
     assert {r.n for r in got.collect()} == {n for n, p, x, y in point if not inside(p, x, y)}
     # Not by page alone: the join asks for the cell too.
     assert "_cx" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_clause_spans(spark):
+    """Only documents that hold the rarest token of a clause are opened, and the ranges are those of a plain search: 300 starts with a common first token aren't."""
+    chance = random.Random(7)
+    clause = {n: chance.choices("the of a device shall be safe report".split(), k=chance.randint(1, 9)) + ([f"rare{n}"] if n % 2 else []) for n in range(8)}
+    text = [chance.choices("the of a device shall be safe report".split(), k=chance.randint(0, 60)) for _ in range(40)]
+    for n, t in enumerate(text):
+        own = [w for w in clause[n % 8] if chance.random() < 0.97]
+        t[len(t) // 2 : len(t) // 2] = own[:3] + ["odd"] * (n % 3) + own[3:]
+    expected = {}
+    for i, t in enumerate(text):
+        for c, w in clause.items():
+            for start in (k for k, x in enumerate(t) if x == w[0]):
+                window, j, got = t[start : start + len(w) * 3 // 2 + 24], 0, 0
+                while got < len(w) and w[got] in window[j:]:
+                    j, got = j + window[j:].index(w[got]) + 1, got + 1
+                if got >= max(1, int(len(w) * 0.85)):
+                    expected[i, c] = max(expected.get((i, c), (0,)), (got, -j, start))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(text)], "doc_id int, text string")
+    clauses = spark.createDataFrame([(c, " ".join(w)) for c, w in clause.items()], "clause_id int, text string")
+    assert {(r.doc_id, r.clause_id): (r.start, r.end) for r in P.clause_spans(docs, clauses).collect()} == {k: (s, s - j) for k, (_, j, s) in expected.items()}
+    many = spark.createDataFrame([(i, "the " * 300 + ("unseen" if i == 7 else "")) for i in range(50)], "doc_id int, text string")
+    most, rows = most_rows(P.clause_spans(many, spark.createDataFrame([(1, "the unseen word")], "clause_id int, text string")))
+    assert most <= 300 and [tuple(r) for r in rows] == [(7, 1, 299, 301)]
