@@ -8,6 +8,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,13 +81,17 @@ def parse_reply(raw: str | None) -> tuple[str | None, bool, str | None]:
 def parsed(replies: DataFrame, raw: str = "raw") -> DataFrame:
     """The rows with payload (JSON text), salvaged and error."""
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in replies.schema)
+    at, names = replies.columns.index(raw), [*replies.columns, "payload", "salvaged", "error"]
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Replies are long: some at a time become Python objects.
         for batch in batches:
-            rows = [parse_reply(x) for x in batch[raw]]
-            yield batch.assign(payload=[r[0] for r in rows], salvaged=[r[1] for r in rows], error=[r[2] for r in rows])
+            for part in (batch.slice(n, 200) for n in range(0, batch.num_rows, 200)):
+                rows = [parse_reply(x.as_py()) for x in part.column(at)]
+                own = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.bool_(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *own], names=names)
 
-    return replies.mapInPandas(parse, f"{kinds}, payload string, salvaged boolean, error string")
+    return replies.mapInArrow(parse, f"{kinds}, payload string, salvaged boolean, error string")
 
 
 def items_of(replies: DataFrame, payload: str = "payload") -> DataFrame:

@@ -192,3 +192,11 @@ def test_clause_spans(spark):
     many = spark.createDataFrame([(i, "the " * 300 + ("unseen" if i == 7 else "")) for i in range(50)], "doc_id int, text string")
     most, rows = most_rows(P.clause_spans(many, spark.createDataFrame([(1, "the unseen word")], "clause_id int, text string")))
     assert most <= 300 and [tuple(r) for r in rows] == [(7, 1, 299, 301)]
+
+
+def test_replies_some_at_a_time(spark):
+    """A worker parses 200 replies before it gives them on; all columns stay what they are, whole numbers beside nulls too."""
+    frame = spark.range(450, numPartitions=1).selectExpr("if(id % 3 = 0, null, id + 9007199254740993) AS k", "if(id % 2 = 0, '{\"a\": 1}', null) AS raw")
+    rows = A.parsed(frame).collect()
+    assert [r.k for r in rows] == [None if n % 3 == 0 else n + 9007199254740993 for n in range(450)]
+    assert {(r.payload, r.salvaged, r.error) for r in rows} == {('{"a": 1}', False, None), (None, False, "empty reply")}
