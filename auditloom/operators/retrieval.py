@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,43 +32,84 @@ def normalised_vector(v: Column) -> Column:
 
 
 def packed(rows: DataFrame, key: str, value: str, size: int) -> DataFrame:
-    """The rows (key, value) in blocks of at most `size`: ids and values as arrays. Blocks are made within tasks, without a shuffle."""
+    """The rows (key, value) in blocks of at most `size`: ids and values as arrays. Blocks are made within tasks, without a shuffle, and no row becomes a Python object."""
     kinds = f"ids array<{rows.schema[key].dataType.simpleString()}>, vals array<{rows.schema[value].dataType.simpleString()}>"
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [batch.iloc[at : at + size] for at in range(0, len(batch), size)]
-            yield pd.DataFrame({"ids": [p[key].tolist() for p in parts], "vals": [p[value].tolist() for p in parts]})
+            for part in (batch.slice(at, size) for at in range(0, batch.num_rows, size)):
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), c) for c in part.columns], names=["ids", "vals"])
 
-    return rows.where(F.col(key).isNotNull()).select(key, value).mapInPandas(pack, kinds)
+    return rows.where(F.col(key).isNotNull()).select(key, value).mapInArrow(pack, kinds)
 
 
-def best_of_block(queries: np.ndarray, docs: np.ndarray, score: np.ndarray, k: int, least: float = -np.inf) -> pd.DataFrame:
-    """The k best documents of each row of a score matrix: largest score first, then the smaller id. Scores up to `least` don't count."""
-    edge = -np.partition(-score, k - 1, axis=1)[:, k - 1] if score.shape[1] > k else np.full(len(score), -np.inf)
-    q, d = np.nonzero((score >= edge[:, None]) & (score > least))
-    value = score[q, d]
+def best_of_block(docs: np.ndarray, score: np.ndarray, k: int, edges: np.ndarray, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and values of the k best documents of each row of a score matrix, rounded to 9 places: largest first, then the smaller id.
+
+    Scores up to `least` don't count. edges: scores that k documents of each row reached before; those below don't count
+    either, and what k documents reach here raises them.
+    """
+    if np.isnan(score.sum()):
+        score = np.where(np.isnan(score), -np.inf, score)
+    if score.shape[1] > k and np.isneginf(edges).any():
+        np.maximum(edges, np.round(np.partition(score, score.shape[1] - k, axis=1)[:, -k], 9), out=edges)
+    floor = edges - 1e-9 - 1e-12 * np.abs(edges)  # what rounding may lift to the edge
+    flat = np.flatnonzero((score >= floor[:, None]) & (score > least))
+    q, d = np.divmod(flat, score.shape[1])
+    value = np.round(score.ravel()[flat], 9)
+    keep = (value >= edges[q]) & (value > least)
+    q, d, value = q[keep], d[keep], value[keep]
     order = np.lexsort((docs[d], -value, q))
     q, d, value = q[order], d[order], value[order]
     place = np.arange(len(q)) - np.searchsorted(q, q)
-    keep = place < k
-    return pd.DataFrame({"query_id": queries[q[keep]], "doc_id": docs[d[keep]], "score": value[keep]})
+    edges[q[place == k - 1]] = value[place == k - 1]
+    return q[place < k], d[place < k], value[place < k]
+
+
+#: From a pair of blocks (q_ids, q_vals, ids, vals) to a name for the query block, or none, and its parts: first row and scores.
+BlockScore = Callable[[dict[str, pa.Array]], tuple[bytes | None, Iterator[tuple[int, np.ndarray]]]]
 
 
-def block_topk(queries: DataFrame, corpus: DataFrame, score: Callable[[pd.Series], np.ndarray], k: int, kinds: str, least: float = -np.inf) -> DataFrame:
-    """The k best of each query over all pairs of a query block and a corpus block; only a pair's best become rows.
+def block_topk(queries: DataFrame, corpus: DataFrame, score: BlockScore, k: int, kinds: str, least: float = -np.inf) -> DataFrame:
+    """The k best of each query over all pairs of a query block and a corpus block; only what may be best becomes rows.
 
     Both are tables of blocks, so that nothing passes through the driver: Spark sends the query blocks to all tasks where
-    they are few, and deals out the pairs where they are not.
+    they are few, and deals out the pairs where they are not. A worker holds one Arrow batch of pairs and one part's scores;
+    of a query block that it meets again it knows the scores that k documents have reached.
     """
 
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reached: dict[tuple[bytes, int], np.ndarray] = {}
         for batch in batches:
-            for _, row in batch.iterrows():
-                yield best_of_block(np.asarray(list(row["q_ids"])), np.asarray(list(row["ids"])), score(row), k, least)
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i].values for name in ("q_ids", "q_vals", "ids", "vals")}
+                docs = np.asarray(row["ids"].to_pylist())
+                name, parts = score(row)
+                for at, scores in parts:
+                    edges = np.full(len(scores), -np.inf)
+                    if name is not None:
+                        edges = reached.setdefault((name, at), edges)
+                    q, d, value = best_of_block(docs, scores, k, edges, least)
+                    yield pa.RecordBatch.from_arrays([row["q_ids"].take(pa.array(q + at)), row["ids"].take(pa.array(d)), pa.array(value)], names=["query_id", "doc_id", "score"])
+
+    # Query blocks stand in a shuffle, as each corpus partition reads them anew.
+    own = queries.select(*(F.col(c).alias(f"q_{c}") for c in queries.columns)).hint("rebalance")
+    return corpus.crossJoin(own).mapInArrow(best, kinds)
+
+
+def matrix(vectors: pa.ListArray) -> np.ndarray:
+    """Vectors of equal length as rows."""
+    sizes = set(vectors.value_lengths().to_pylist())
+    if len(sizes) != 1 or None in sizes:
+        raise ValueError(f"vectors must have the same length: {sorted(map(str, sizes))}")
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), sizes.pop())
+
 
-    pairs = corpus.crossJoin(queries.select(*(F.col(c).alias(f"q_{c}") for c in queries.columns)))
-    return pairs.mapInPandas(best, kinds)
+def dot_scores(row: dict[str, pa.Array], size: int = 128) -> tuple[bytes, Iterator[tuple[int, np.ndarray]]]:
+    """Dot products of a pair of blocks of vectors, of `size` queries at a time."""
+    own, other = matrix(row["q_vals"]), matrix(row["vals"]).T
+    name = hashlib.md5(own.tobytes() + str(row["q_ids"].to_pylist()).encode(), usedforsecurity=False).digest()
+    return name, ((at, own[at : at + size] @ other) for at in range(0, len(own), size))
 
 
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = False, where: Column | None = None) -> DataFrame:
@@ -77,9 +119,8 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool
     if exclude_self:
         k += 1
     kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {corpus.schema['doc_id'].dataType.simpleString()}, score double"
-    matrix = lambda v: np.array([np.asarray(x, dtype=np.float64) for x in v])
-    score = lambda row: np.round(matrix(row["q_vals"]) @ matrix(row["vals"]).T, 9)
-    out = block_topk(packed(queries, "query_id", "vector", QUERY_BLOCK), packed(corpus, "doc_id", "vector", DOC_BLOCK), score, k, kinds)
+    own = queries.select("query_id", "vector").hint("rebalance")  # so that blocks are full
+    out = block_topk(packed(own, "query_id", "vector", QUERY_BLOCK), packed(corpus, "doc_id", "vector", DOC_BLOCK), dot_scores, k, kinds)
     return top_k(out.where("query_id <> doc_id"), k - 1) if exclude_self else top_k(out, k)
 
 
@@ -102,19 +143,20 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 1.2, b:
     own = packed(own.select("query_id", F.struct("t", "avg_len").alias("v")), "query_id", "v", TERM_BLOCK)
     kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {corpus.schema['doc_id'].dataType.simpleString()}, score double"
 
-    def score(row: pd.Series) -> np.ndarray:
+    def score(row: dict[str, pa.Array]) -> tuple[None, Iterator[tuple[int, np.ndarray]]]:
+        own = row["q_vals"].to_pylist()
         index: dict[str, int] = {}
-        cells = [(i, index.setdefault(t["term"], len(index)), t["w"]) for i, q in enumerate(row["q_vals"]) for t in q["t"]]
-        weights = np.zeros((len(row["q_ids"]), len(index)))
+        cells = [(i, index.setdefault(t["term"], len(index)), t["w"]) for i, q in enumerate(own) for t in q["t"]]
+        weights = np.zeros((len(own), len(index)))
         for i, t, w in cells:
             weights[i, t] = w
-        average, found = float(row["q_vals"][0]["avg_len"]), np.zeros((len(index), len(row["ids"])))
-        for j, text in enumerate(row["vals"]):
-            words = text.split(" ") if text else []
+        average, found = float(own[0]["avg_len"]), np.zeros((len(index), len(row["ids"])))
+        for j, value in enumerate(row["vals"]):
+            words = text.split(" ") if (text := value.as_py()) else []
             at, tf = np.unique([index[w] for w in words if w in index], return_counts=True)
             if len(at):
                 found[at.astype(np.int64), j] = tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(words) / average))
-        return np.round(weights @ found, 9)
+        return None, iter([(0, weights @ found)])
 
     texts = packed(docs.select("doc_id", F.array_join("terms", " ").alias("v")), "doc_id", "v", DOC_BLOCK)
     return top_k(block_topk(own, texts, score, k, kinds, least=0.0), k)

@@ -194,6 +194,28 @@ def test_clause_spans(spark):
     assert most <= 300 and [tuple(r) for r in rows] == [(7, 1, 299, 301)]
 
 
+def test_search_memory(spark):
+    """A worker's blocks are arrays: what meets is scored some queries at a time, and a second block is held against what the first reached."""
+    from auditloom.operators import retrieval as R
+
+    own = lambda n, f: spark.range(n, numPartitions=2).selectExpr("id", f"transform(sequence(1, 4), i -> cast(({f}) % 7 AS float)) AS vector")
+    queries, docs = own(300, "id * i * 3 + i"), own(5000, "id * id * i + 2 * i")
+    got = R.dense_topk(queries.withColumnRenamed("id", "query_id"), docs.withColumnRenamed("id", "doc_id"), 3).collect()
+    vectors = [(r.id, list(r.vector)) for r in docs.collect()]
+    for q in queries.collect():
+        best = sorted((-sum(a * b for a, b in zip(q.vector, v, strict=True)), n) for n, v in vectors)[:3]
+        assert sorted((r.rk, -r.score, r.doc_id) for r in got if r.query_id == q.id) == [(k + 1, s, n) for k, (s, n) in enumerate(best)]
+    import numpy as np
+    import pyarrow as pa
+
+    block = pa.array([[1.0, 2.0]] * 300)
+    _, parts = R.dot_scores({"q_ids": pa.array(range(300)), "q_vals": block, "ids": pa.array(range(300)), "vals": block})
+    assert [x.shape for _, x in parts] == [(128, 300), (128, 300), (44, 300)]
+    edges = np.full(1, -np.inf)
+    assert R.best_of_block(np.arange(4), np.array([[1.0, 5.0, 3.0, 4.0]]), 2, edges)[1].tolist() == [1, 3] and edges.tolist() == [4.0]
+    assert R.best_of_block(np.arange(4, 7), np.array([[3.9, 4.0, np.nan]]), 2, edges)[1].tolist() == [1]
+
+
 def test_replies_some_at_a_time(spark):
     """A worker parses 200 replies before it gives them on; all columns stay what they are, whole numbers beside nulls too."""
     frame = spark.range(450, numPartitions=1).selectExpr("if(id % 3 = 0, null, id + 9007199254740993) AS k", "if(id % 2 = 0, '{\"a\": 1}', null) AS raw")
