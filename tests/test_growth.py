@@ -55,7 +55,8 @@ def test_chain_searches_once(spark):
     steps = []
 
     def keep(df):
-        steps.append(df._jdf.queryExecution().optimizedPlan().toString().count("InPandas") + df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython"))
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        steps.append(plan.count("MapIn") + plan.count("ArrowEvalPython"))
         return df.localCheckpoint()
 
     def retrieve(queries):
